@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, language, rule_ensemble, secrets
+from . import host_rules, language, packing, rule_ensemble, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.scored(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *host_rules.STATS, "base_failed", "kept")
 
