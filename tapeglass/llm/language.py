@@ -33,6 +33,8 @@ TRAIN_ROWS, TRAIN_SYMBOLS = 96, 24_000
 MOST_LANGUAGES, MOST_LETTERS = 64, 62
 BLOCK = 1024
 CHUNK = 1 << 20
+#: Bits a symbol beyond which a text is in none of the languages (letters at random take about 4.7).
+MAX_SURPRISE = 4.5
 SPACE_SYMBOL, OTHER_SYMBOL = 0, 1
 
 
@@ -167,8 +169,8 @@ def build(samples: dict[str, list[str]], train_symbols: int = TRAIN_SYMBOLS) ->
     return Model(list(coded), symbol.astype(np.uint8), step, np.array(roots, np.int32), np.array([np.log2(len(v) + 2) for v in coded.values()]))
 
 
-def entropies(model: Model, buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits a symbol, (texts, languages), and letters of each text."""
+def entropies(model: Model, buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bits a symbol, (texts, languages), the same without the phrases that blocks' ends cut, and letters of each text."""
     n, langs = len(cuts) - 1, len(model.languages)
     low, at = normalised(buf, cuts)
     sizes = np.diff(at)
@@ -195,21 +197,22 @@ def entropies(model: Model, buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarr
         phrases[:m] += here & 1
         state[:m] = here
     total = np.zeros((n, langs))
-    np.add.at(total, owner, phrases + 1)
-    return total * model.bits / np.maximum(sizes, 1)[:, None], n_letters
+    np.add.at(total, owner, phrases)
+    scale = model.bits / np.maximum(sizes, 1)[:, None]
+    return (total + blocks[:, None]) * scale, total * scale, n_letters
 
 
-def decide(model: Model, buf: np.ndarray, cuts: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text.  The score is the winner's share under weights 2 ** -(bits a symbol), sharpened."""
-    bits, n_letters = entropies(model, buf, cuts)
+def decide(model: Model, buf: np.ndarray, cuts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and surprise (the winner's bits a symbol) of each text.  The score is the winner's share under weights 2 ** -(bits a symbol), sharpened."""
+    bits, surprise, n_letters = entropies(model, buf, cuts)
     n = len(cuts) - 1
     if not model.languages:
-        return [UNKNOWN] * n, np.zeros(n)
+        return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
     best = bits.argmin(axis=1)
     weight = np.exp2(-4.0 * (bits - bits.min(axis=1, keepdims=True)))
     score = 1.0 / weight.sum(axis=1)
     known = n_letters > 0
-    return [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
+    return [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), surprise[np.arange(n), best]
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_rows: int = TRAIN_ROWS, train_symbols: int = TRAIN_SYMBOLS) -> Model:
@@ -236,16 +239,23 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, lang_pred and score of every whole text: one pass without a shuffle."""
+    """The kept columns, lang_pred, score and surprise of every whole text: one pass without a shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    at = keep.index(text) if text in keep else len(keep)
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for c in chunks(batch.column(len(keep)), CHUNK):
-                langs, score = decide(own, c.buf, c.cuts)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(c.first, c.n) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            for c in chunks(batch.column(at), CHUNK):
+                langs, score, surprise = decide(own, c.buf, c.cuts)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(c.first, c.n) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(surprise, pa.float64())], names=[*keep, "lang_pred", "score", "surprise"])
 
-    schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("surprise", "double")
     return rows.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", max_surprise: float = MAX_SURPRISE) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and is not as surprising as letters at random in every language."""
+    told = predict(docs, model, text, tuple(docs.columns))
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("surprise") <= max_surprise)).select(*docs.columns)
