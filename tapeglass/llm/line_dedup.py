@@ -14,7 +14,7 @@ share needs no large task.  Partners are verified word by word.
 
 Cases: a null text stays null; blank and short lines stay; a repeated row (same id, same text) is treated like the first;
 rows with a null id come before all others; an empty table gives an empty table; the other columns are passed through
-whatever their names (the operator's own begin with two underscores).
+whatever their names; __n_lines and __n_dropped are added.
 """
 
 from __future__ import annotations
@@ -91,15 +91,19 @@ def _one_apart(x: Column, y: Column) -> Column:
     return F.when(F.size(x) == F.size(y), same).when(F.size(y) == F.size(x) + 1, longer(x, y)).when(F.size(x) == F.size(y) + 1, longer(y, x)).otherwise(False)
 
 
-def near_lines(distinct: DataFrame, lines: DataFrame, near_words: int) -> DataFrame:
+def near_lines(distinct: DataFrame, rows: DataFrame, near_words: int) -> DataFrame:
     """KEY of the distinct lines that have an earlier line one word apart.
 
-    ``distinct`` (written) has KEY, ORD of the first occurrence and the half keys; ``lines`` has all occurrences.
+    ``distinct`` (written) has KEY, ORD of the first occurrence and the half keys; ``rows`` has the texts, of which only
+    those with a line that goes on are split again.
     """
     halves = distinct.where(F.size("__keys") > 0).select(*KEY, *ORD, F.explode("__keys").alias("__k")).where("__k is not null")
     shared = written(halves.groupBy("__k").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1").select("__k"))
     some = written(halves.join(offered(shared, 24), "__k", "left_semi").select(*KEY, *ORD).distinct())
-    texts = written(lines.where(F.col("__n") >= near_words).select(*KEY, *ORD, "__n", "__w").join(offered(some, 64), [*KEY, *ORD], "left_semi").dropDuplicates([*KEY]))
+    holders = written(some.select("__doc", "__th").distinct())
+    split = rows.join(offered(holders, 40), ["__doc", "__th"], "left_semi").select("__doc", "__th", F.posexplode(F.split("__text", "\n")).alias("__line", "__s"))
+    texts = split.join(offered(some, 64), ORD).select(*KEY, *ORD, words_of(F.col("__s")).alias("__w"))
+    texts = written(texts.withColumn("__n", F.size("__w")).dropDuplicates([*KEY]))
     variants = written(_variants(texts))
     me = F.struct(*ORD, *KEY)
     cells = written(variants.groupBy("__v", "__pos").agg(F.min(me).alias("__m"), F.count(F.lit(1)).alias("__c")))
@@ -117,11 +121,12 @@ def near_lines(distinct: DataFrame, lines: DataFrame, near_words: int) -> DataFr
 
 def dropped_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(__doc, __th, __drop): the numbers of the lines of each text that are dropped, ascending.  Written."""
-    lines = _lines(_rows(docs, text, doc_id), min_words)
-    distinct = lines.select(*KEY, *ORD, F.when(F.col("__n") >= near_words, _half_keys(near_words)).alias("__keys"))
-    distinct = distinct.groupBy(*KEY).agg(F.min(F.struct(*ORD)).alias("__o"), F.count(F.lit(1)).alias("__c"), F.first("__keys").alias("__keys"))
+    rows = _rows(docs, text, doc_id)
+    # The hashes of all lines are written (some 70 bytes a line), so that texts are split and hashed once.
+    lines = written(_lines(rows, min_words).select(*KEY, *ORD, F.when(F.col("__n") >= near_words, _half_keys(near_words)).alias("__keys")))
+    distinct = lines.groupBy(*KEY).agg(F.min(F.struct(*ORD)).alias("__o"), F.count(F.lit(1)).alias("__c"), F.first("__keys").alias("__keys"))
     distinct = written(distinct.select(*KEY, *(F.col(f"__o.{o}") for o in ORD), "__c", "__keys"))
-    near = written(near_lines(distinct, lines, near_words).withColumn("__near", F.lit(True)))
+    near = written(near_lines(distinct, rows, near_words).withColumn("__near", F.lit(True)))
     verdict = distinct.select(*KEY, *(F.col(o).alias(f"{o}0") for o in ORD), "__c").join(offered(near, 40), KEY, "left")
     verdict = written(verdict.where("__c > 1 or __near").withColumn("__near", F.coalesce("__near", F.lit(False))))
     first = (F.col("__doc") == F.col("__doc0")) & (F.col("__th") == F.col("__th0")) & (F.col("__line") == F.col("__line0"))
@@ -138,9 +143,12 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_wo
     size = drops.agg(F.coalesce(F.sum(F.size("__drop") * 8 + 64), F.lit(0)).alias("b")).first()["b"]
     if size <= BROADCAST_BYTES:
         drops = F.broadcast(drops)
-    keyed = docs.withColumn("__doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).withColumn("__th", F.xxhash64(F.col(text)))
-    out = keyed.join(drops, ["__doc", "__th"], "left").withColumn("__lines", F.split(text, "\n"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    keyed = docs.select(row, F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__doc"), F.xxhash64(F.col(text)).alias("__th"), F.split(text, "\n").alias("__lines"))
+    out = keyed.join(drops, ["__doc", "__th"], "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
-    new = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
-    out = out.withColumn("__n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long")).withColumn("__n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long"))
-    return out.withColumn(text, new).select(*docs.columns, "__n_lines", "__n_dropped")
+    old = F.col(f"__row.`{text}`")
+    new = F.when(F.col("__drop").isNull(), old).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
+    columns = [new.alias(c) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    counts = F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long")
+    return out.select(*columns, counts[0].alias("__n_lines"), counts[1].alias("__n_dropped"))
