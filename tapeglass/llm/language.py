@@ -241,8 +241,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred, score and surprise of every whole text: one pass without a shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = keep.index(text) if text in keep else len(keep)
-    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    at = len(keep)
+    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -257,5 +257,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", max_surprise: float = MAX_SURPRISE) -> DataFrame:
     """The rows of ``docs`` whose text has letters and is not as surprising as letters at random in every language."""
-    told = predict(docs, model, text, tuple(docs.columns))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("surprise") <= max_surprise)).select(*docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(at), CHUNK):
+                langs, _, surprise = decide(sent.value, c.buf, c.cuts)
+                keep = (np.array(langs, object) != UNKNOWN) & (surprise <= max_surprise)
+                yield batch.slice(c.first, c.n).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
