@@ -152,19 +152,21 @@ def build(samples: dict[str, list[str]], train_symbols: int = TRAIN_SYMBOLS) ->
     base = 0
     for v in coded.values():
         steps = automaton(symbol[v].tolist())
-        # What is not in the automaton ends a phrase: the next one starts with this symbol, from the root.
-        start = np.full(width, 2 * base + 1, np.int32)
+        # What cannot go on ends a phrase: the next one starts with this symbol, from the root.  A symbol that the sample
+        # lacks is a phrase by itself: its state (the last one) has no way on at all.
+        start = np.full(width, 2 * (base + len(steps)) + 1, np.int32)
         for s, to in steps[0].items():
             if s != OTHER_SYMBOL:
                 start[s] = 2 * (base + to) + 1
-        table = np.tile(start, (len(steps), 1))
+        table = np.tile(start, (len(steps) + 1, 1))
+        table[0] -= 1  # at a block's start no phrase is open
         for i, moves in enumerate(steps):
             for s, to in moves.items():
                 if s != OTHER_SYMBOL:
                     table[i, s] = 2 * (base + to)
         tables.append(table)
         roots.append(base)
-        base += len(steps)
+        base += len(steps) + 1
     step = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
     return Model(list(coded), symbol.astype(np.uint8), step, np.array(roots, np.int32), np.array([np.log2(len(v) + 2) for v in coded.values()]))
 
