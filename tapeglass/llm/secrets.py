@@ -28,7 +28,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 #: Candidates that are decoded.
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}|[A-Za-z0-9_-]{32,}={0,2}")
 SIGNED = re.compile(r"([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 ANY_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{32}")
@@ -142,12 +142,15 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         for m in BASE64.finditer(text):
             if kind := _key_kind(_b64(m[0])):
                 out.append((kind, m.start(), m.end()))
-            elif "\n" in m[0]:  # a line of text may follow or precede the key's own lines
-                at = m.start()
-                for part in re.split(r"\r?\n", m[0]):
+            elif "\n" in m[0]:  # lines of text may precede or follow the key's own lines
+                breaks = [0, *(x.end() for x in re.finditer(r"\r?\n", m[0])), len(m[0]) + 1]
+                tries = ((a, b) for a in range(min(3, len(breaks) - 1)) for b in range(len(breaks) - 1, max(a, len(breaks) - 4), -1))
+                for a, b in tries:
+                    part = m[0][breaks[a] : breaks[b]].rstrip("\r\n")
                     if kind := _key_kind(_b64(part)):
-                        at = text.index(part, at)
+                        at = m.start() + breaks[a]
                         out.append((kind, at, at + len(part)))
+                        break
         for m in ANY_HEX.finditer(text):
             if kind := _key_kind(bytes.fromhex(m[0])):
                 out.append((kind, m.start(), m.end()))
