@@ -9,6 +9,7 @@ from .. import config
 from ..config import DEFAULT, Settings
 from ..functions import text
 from ..functions.nulls import ensure_columns, is_true
+from .ordered import exact_quantiles
 
 
 def match_entities(articles: DataFrame, instruments: list[tuple[str, list[str]]], columns: tuple[str, ...], as_name: str = "ticker") -> DataFrame:
@@ -44,7 +45,7 @@ def weak_labels(articles: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Adds source_tier and weak_label: 0 organic, 1 sponsored, NULL neither; organic wins over sponsored."""
     url = F.col("source_url")
     rows = articles.withColumn("source_tier", text.source_tier(url))
-    limit = articles.agg(F.percentile("tone", F.lit(settings.very_positive)).alias("__p95"))
+    limit = exact_quantiles(articles, "tone", {"__p95": settings.very_positive})
     quality = text.contains_any(url, config.ORGANIC_LABEL_DOMAINS)
     organic = quality & (is_true(F.col("tone") <= 0) | text.contains_any(url, config.RISK_KEYWORDS))
     sponsored = text.contains_any(url, config.SPONSORED_URL_PATTERNS) | text.is_pr_wire(url) | (is_true(F.col("tone") >= F.col("__p95")) & (F.col("source_tier") > 1))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import is_true
+from .ordered import running
 
 
 def describe(rows: DataFrame, column: str, *by: str) -> DataFrame:
@@ -55,10 +56,9 @@ def funnel(rows: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
 
 
 def _cumulative(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and rows at each distinct score and above it.  One row a distinct score goes through the window."""
+    """Positives and rows at each distinct score and above it."""
     by = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select("s", "pos", "n", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("seen"))
+    return running(by, (F.desc("s"),), {"tp": "pos", "seen": "n"})
 
 
 def auc_ap(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from .ordered import exact_quantiles
 
 
 def returns(prices: DataFrame) -> DataFrame:
@@ -42,9 +43,9 @@ def panel(prices: DataFrame, regimes: DataFrame, dimension: DataFrame) -> DataFr
 
 def winsorize(rows: DataFrame, columns: tuple[str, ...], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Clips each column at its exact quantiles; ``n_<column>`` flags rows that changed (missing ones count as changed)."""
-    limits = rows.agg(*(F.percentile(c, F.lit(q)).alias(f"__{k}_{c}") for c in columns for k, q in (("lo", low), ("hi", high))))
-    out = rows.crossJoin(F.broadcast(limits))
+    out = rows
     for c in columns:
+        out = out.crossJoin(F.broadcast(exact_quantiles(rows, c, {f"__lo_{c}": low, f"__hi_{c}": high})))
         x, lo, hi = F.col(c), F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
         new = F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))
         out = out.withColumn(f"n_{c}", F.coalesce(F.abs(x - new) > F.lit(1e-8) + F.lit(1e-5) * F.abs(new), F.lit(True)).cast("int")).withColumn(c, new)

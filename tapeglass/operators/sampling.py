@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import row_ids
+
 
 def portable_hash(key: Column, seed: int = 42) -> Column:
     """An integer hash below 1,000,003 that any SQL engine repeats."""
@@ -13,18 +15,6 @@ def portable_hash(key: Column, seed: int = 42) -> Column:
     return (h * 48271 + seed) % 1000003
 
 
-def row_ids(df: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
-    """Position from 0 in a stable order.
-
-    Rows are range-partitioned, sorted and numbered from the partitions' counts, so no task sees all of them.
-    """
-    from pyspark.sql import types as T
-
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    rdd = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rdd, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
-
-
 def split(df: DataFrame, key: str, share: float = 0.7, seed: int = 42, name: str = "is_train") -> DataFrame:
     """Marks exactly floor(share * n) rows, those of least hash: an exact quantile of the hash, then a comparison."""
     h = F.xxhash64(F.col(key), F.lit(seed))
@@ -57,8 +47,8 @@ def stratified(df: DataFrame, bucket: str, key: str, total: int, seed: int = 42,
 
 def permuted(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:
     """``column`` dealt anew among the rows: positions by key meet positions by hash."""
-    by_key = df.drop(column).withColumn("__i", F.row_number().over(Window.orderBy(key)))
-    by_hash = df.select(column, F.row_number().over(Window.orderBy(portable_hash(F.col(key), seed), key)).alias("__i"))
+    by_key = row_ids(df.drop(column), key, name="__i")
+    by_hash = row_ids(df.select(column, portable_hash(F.col(key), seed).alias("__h"), F.col(key).alias("__k")), "__h", "__k", name="__i").select(column, "__i")
     return by_key.join(by_hash, "__i").drop("__i")
 
 

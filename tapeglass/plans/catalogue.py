@@ -12,8 +12,8 @@ from ..config import DEFAULT
 from ..functions import text, timeops
 from ..functions.nulls import row_mean, rounded, safe_corr
 from ..operators import articles as art
-from ..operators import audit, events, ml, nlp, prices, sampling, signals, stats
-from ..sources import adapters, files
+from ..operators import audit, events, ml, nlp, ordered, prices, sampling, signals, stats
+from ..sources import adapters, files, news
 from . import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,23 @@ def v2tone_parse(spark, d):
     return adapters.tone_strings(spark, d).select("article_id", *(c.alias(n) for n, c in text.tone_parts(F.col("V2Tone")).items()))
 
 
+@query
+def processed_articles(spark, d):
+    raw = adapters.tone_strings(spark, d).join(adapters.urls(spark, d).select("article_id", F.col("source_url").alias("DocumentIdentifier")), "article_id")
+    raw = raw.withColumns({"SourceCommonName": F.lit("s"), "V2Organizations": F.when(F.col("article_id") % 3 == 0, "Some Reed Corp")})
+    got = news.processed(news.scan(raw, "20240101", "20240131", "reed|zeebiz"))
+    return got.select(F.date_format(F.col("datetime_ist").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("local"), "tone", "word_count", "source_url", "source_domain")
+
+
+@query
+def bucket_counts(spark, d):
+    a = adapters.articles(spark, d)
+    kind = F.when(F.col("sponsored_prob") < 0.3, "organic").when(F.col("sponsored_prob") > 0.7, "sponsored")
+    rows = a.select(F.concat_ws("_", kind, F.when(timeops.is_closed(F.col("time_bucket")), "closed").otherwise("open")).alias("bucket"), kind.alias("k")).where("k is not null")
+    out = audit.value_counts(rows.select("bucket"), "bucket")
+    return out.withColumn("label", F.format_string("%s (n=%d)", "bucket", "n"))
+
+
 @query
 def int_timestamp_parse(spark, d):
     local = timeops.to_local(timeops.int_timestamp(F.col("DATE")))
@@ -430,7 +447,8 @@ def per_stock_corr(spark, d):
 @query
 def sentiment_corr(spark, d):
     a = adapters.articles(spark, d).where("tone_score is not null and sponsored_prob is not null")
-    r = a.select("time_bucket", "tone_score", "sponsored_prob", stats.average_rank("tone_score", "time_bucket").alias("rx"), stats.average_rank("sponsored_prob", "time_bucket").alias("ry"))
+    r = ordered.average_ranks(a.select("time_bucket", "tone_score", "sponsored_prob"), "tone_score", "time_bucket", name="rx")
+    r = ordered.average_ranks(r, "sponsored_prob", "time_bucket", name="ry")
     return r.groupBy("time_bucket").agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("tone_score"), F.col("sponsored_prob")).alias("pearson"), safe_corr(F.col("rx"), F.col("ry")).alias("spearman"))
 
 
@@ -452,7 +470,7 @@ def train_split(spark, d):
 
 @query
 def row_numbers(spark, d):
-    return sampling.row_ids(adapters.articles(spark, d).select("article_id", "ticker"), "ticker", "article_id")
+    return ordered.row_ids(adapters.articles(spark, d).select("article_id", "ticker"), "ticker", "article_id")
 
 
 @query

@@ -71,7 +71,7 @@ NEEDS = {
     "art": "art0 art1 art2 art", "sig": "art0 art1 art2 art sig", "ret": "px ret", "mst": "art0 art1 art2 art sig px ret idx reg mst",
     "nxt": "art0 art1 art2 art sig px ret idx reg mst nxt", "ics": "art0 art1 art2 art sig px ret idx reg mst nxt pairs ranked ics",
     "rolled": "art0 art1 art2 art sig px ret idx reg mst nxt pairs ranked ics rolled", "grid": "art0 art1 art2 art sig px ret idx reg mst nxt pairs ranked ics grid",
-    "lim": "art0 art1 art2 art sig px ret idx reg mst ab lim", "urls": "url0 urls", "wl": "url0 urls ul uw wl", "uw": "url0 urls ul uw", "lab": "lab", "cum": "lab cum", "tones": "tones",
+    "lim": "art0 art1 art2 art sig px ret idx reg mst ab lim", "urls": "url0 urls", "wl": "url0 urls ul uw wl", "uw": "url0 urls ul uw", "lab": "lab", "cum": "lab cum", "rawurls": "url0 urls tones", "tones": "tones",
     "chk": "ans chk", "dim": "dim", "artdim": "art0 art1 art2 art dim", "oret": "oidx oret", "cov": "art0 art1 art2 art cov", "grp": "art0 art1 art2 art grp", "hashed": "art0 art1 art2 art hashed",
     "panel": "px ret idx reg dim", "mstdim": "art0 art1 art2 art sig px ret idx reg dim", "reg": "idx reg", "": "",
 }
@@ -117,6 +117,11 @@ _add("url_slug_title", "urls", r"""SELECT article_id, CASE WHEN length(title) >=
     SELECT article_id, string_split(regexp_replace(rtrim(regexp_extract(source_url, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/'), '(?i)\.(html?|cms|php|asp|aspx|jsp|xml|json)$', ''), '/') AS parts FROM urls)))""")
 _add("v2tone_parse", "tones", "SELECT article_id, " + ", ".join(f"round(coalesce(TRY_CAST(string_split(coalesce(t, ''), ',')[{i + 1}] AS DOUBLE), 0), 6) AS {f}" for i, f in enumerate(("tone", "positive_score", "negative_score", "polarity", "activity_ref_density", "self_group_ref_density", "word_count"))) + " FROM tones")
 _add("int_timestamp_parse", "", "SELECT event_id AS article_id, strftime(date_trunc('second', ts) + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS local FROM events WHERE event_id % 13 <> 0")
+_add("processed_articles", "rawurls", r"""SELECT strftime(date_trunc('second', ts) + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS local, round(coalesce(TRY_CAST(string_split(coalesce(t, ''), ',')[1] AS DOUBLE), 0), 6) AS tone,
+    round(coalesce(TRY_CAST(string_split(coalesce(t, ''), ',')[7] AS DOUBLE), 0), 6) AS word_count, source_url, nullif(lower(regexp_extract(source_url, 'https?://(?:www\.)?([^/]+)', 1)), '') AS source_domain
+    FROM tones JOIN urls USING (article_id) WHERE article_id % 13 <> 0 AND (article_id % 3 = 0 OR regexp_matches(lower(source_url), 'reed|zeebiz'))""")
+_add("bucket_counts", "art", """SELECT bucket, n, pct, bucket || ' (n=' || n || ')' AS label FROM (SELECT CASE WHEN org THEN 'organic' ELSE 'sponsored' END || '_' || CASE WHEN closed THEN 'closed' ELSE 'open' END AS bucket,
+    count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM art WHERE org OR spon GROUP BY 1)""")
 _add("keyword_regex_filter", "", "SELECT lang, count(*) AS n FROM documents WHERE regexp_matches(lower(coalesce(text, '')), 'tion|l&t|queux') GROUP BY lang")
 _WORDS = ("then", "ation", "quel", "unge", "ciones", "ther", "lich", "eaux", "ción", "heit")
 _ENT = "ent AS (SELECT 'E' || (i - 1) AS ticker, w FROM (SELECT unnest([" + ", ".join(f"'{w}'" for w in _WORDS) + "]) AS w, generate_subscripts([" + ", ".join(f"'{w}'" for w in _WORDS) + "], 1) AS i))"

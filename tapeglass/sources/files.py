@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -58,6 +60,15 @@ def month_coverage(spine: DataFrame, rows: DataFrame, key: str = "year_month") -
     return spine.join(counts, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("is_empty"))
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written once in the folder that ``spark.checkpoint.dir`` names (one of our own where it is unset) and read again."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tapeglass-')}"
+    path = f"{base.rstrip('/')}/tapeglass-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def content_hash(df: DataFrame) -> str:
     """A hash of the rows that does not depend on their order."""
     h = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))

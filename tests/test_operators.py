@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tapeglass import schemas
 from tapeglass.functions import nulls, text, timeops
-from tapeglass.operators import articles, audit, events, nlp, prices, sampling, signals, stats
-from tapeglass.sources import files
+from tapeglass.operators import articles, audit, events, nlp, ordered, prices, sampling, signals, stats
+from tapeglass.sources import files, news, quotes
 from tapeglass.streaming import ingest
 
 TS = dt.datetime
@@ -167,7 +167,7 @@ def test_split_and_sample(spark):
     assert sampling.split(df, "id").where("is_train").count() == 70
     got = sampling.stratified(df, "b", "id", 50)
     assert got.count() == 50 and sampling.stratified(df, "b", "id", 500).count() == 101
-    ids = sampling.row_ids(df.select("id"), "id").collect()
+    ids = ordered.row_ids(df.select("id"), "id").collect()
     assert all(r["id"] == r["row_id"] for r in ids)
     p = sampling.permuted(df, "b", "id", 3)
     assert p.groupBy("b").count().orderBy("b").collect() == df.groupBy("b").count().orderBy("b").collect()
@@ -225,3 +225,46 @@ def test_streaming(spark, tmp_path):
     q.stop()
     got = spark.sql("SELECT n, tone FROM tone").collect()
     assert [tuple(r) for r in got] == [(2, 2.0)]
+
+
+def test_total_order(spark):
+    x = np.random.default_rng(4).integers(0, 40, 500)
+    df = spark.createDataFrame([(int(i % 3), float(v)) for i, v in enumerate(x)], "b int, v double").repartition(7)
+    got = ordered.exact_quantiles(df, "v", {"a": 0.01, "b": 0.5, "c": 0.95, "d": 1.0}).first()
+    assert np.allclose(got, np.quantile(x, [0.01, 0.5, 0.95, 1.0]))
+    r = ordered.average_ranks(df, "v", "b").toPandas()
+    assert np.allclose(r["rank"], r.groupby("b")["v"].rank())
+    none = df.where("false")
+    assert ordered.exact_quantiles(none, "v", {"a": 0.5}).first()["a"] is None and ordered.row_ids(none, "v").count() == 0
+
+
+def test_news_loading(spark, tmp_path):
+    path = str(tmp_path / "news")
+    spine = spark.createDataFrame([("2024-01",), ("2024-02",), ("2024-03",)], "year_month string")
+
+    def fetch(month):
+        if month == "2024-02":
+            raise OSError("remote")
+        return spark.createDataFrame([(1, 2.0)], "a int, b double")
+
+    assert news.load_months(spark, spine, path, fetch) == [("2024-01", "loaded"), ("2024-02", "failed"), ("2024-03", "loaded")]
+    assert [x for _, x in news.load_months(spark, spine, path, fetch)] == ["skipped"] * 3
+    assert ("2024-02", "failed") in news.load_months(spark, spine, path, fetch, retry_failed=True)
+    raw = spark.createDataFrame([(20240105120000, "x", "https://a.com/REED", "1,2", None)], schemas.ARTICLES_RAW)
+    assert news.scan(raw, "20240101", "20240131", "reed").count() == 1 and news.scan(raw, "20240201", "20240229", "reed").count() == 0
+    with pytest.raises(news.TooLarge):
+        news.scan(raw, "20240101", "20240131", "reed", most_bytes=1)
+    assert news.processed(raw).first()["source_domain"] == "a.com"
+
+
+def test_quotes(spark, tmp_path):
+    def source(ticker, start, end):
+        if ticker == "BAD":
+            raise OSError("remote")
+        return [(dt.datetime(2024, 1, 3), 1, 2, 1, 2, 10), (dt.date(2024, 1, 2), 1, 2, 1, None, 10)][: 1 if ticker == "A" else None][::-1]
+
+    got = quotes.download(spark, lambda *a: [(x[0].date() if isinstance(x[0], dt.datetime) else x[0], *x[1:]) for x in source(*a)], ["A", "BAD", "C"], "2024-01-01", "2024-02-01").collect()
+    assert sorted((r["ticker"], r["date"].day) for r in got) == [("A", 3), ("C", 2), ("C", 3)]
+    (tmp_path / "i.jsonl").write_text('{"ticker": "A", "company": "Co", "sector": "S", "keywords": ["co"], "cap_tier": "MID"}\n')
+    assert quotes.instruments(spark, str(tmp_path / "i.jsonl")).first()["keywords"] == ["co"]
+    assert quotes.file_name("^X") == "IDX_X.parquet"
