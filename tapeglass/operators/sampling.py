@@ -16,16 +16,9 @@ def portable_hash(key: Column, seed: int = 42) -> Column:
 
 
 def split(df: DataFrame, key: str, share: float = 0.7, seed: int = 42, name: str = "is_train") -> DataFrame:
-    """Marks exactly floor(share * n) rows, those of least hash: an exact quantile of the hash, then a comparison."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    rows = df.withColumn("__h", F.struct(h.alias("h"), F.col(key).alias("k")))
-    n = df.count()
-    take = int(n * share)
-    if take == 0 or take == n:
-        return df.withColumn(name, F.lit(take == n))
-    last = rows.select("__h").orderBy("__h").offset(take - 1).limit(1).collect()[0]["__h"]
-    limit = F.struct(F.lit(last["h"]).alias("h"), F.lit(last["k"]).alias("k"))
-    return rows.withColumn(name, F.col("__h") <= limit).drop("__h")
+    """Marks exactly floor(share * n) rows, those of least hash, by their position in a total order."""
+    rows = row_ids(df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), "__h", key, name="__i")
+    return rows.withColumn(name, F.col("__i") < int(df.count() * share)).drop("__h", "__i")
 
 
 def stratified(df: DataFrame, bucket: str, key: str, total: int, seed: int = 42, order: Column | None = None) -> DataFrame:
