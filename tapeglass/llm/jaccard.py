@@ -32,14 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Chunk, U, chunks, mix, window_hashes, windows_inside
-from .shared import components, offered, written
+from .shared import components, key_filter, offered, passes, written
 from .textstats import tagged
 
 WORDS, NUM, DEN, SPARE = 3, 90, 100, 2
 #: Sets of one hub that one task compares, and that one block of differences indexes.
 SALT_SETS, BLOCK_SETS = 2000, 4000
-#: Bits of the filter of shared blocks (of fixed size, whatever the data).
-FILTER_BITS = 26
 LOW48 = U((1 << 48) - 1)
 NO_ID = -(1 << 63)
 
@@ -156,40 +154,13 @@ def _index(words: int, num: int, den: int, filter_=None):
             for c in chunks(batch.column(1)):
                 text, key = blocks_of(*shingle_sets(c, words), sizes)
                 if bits is not None:
-                    at = key >> U(64 - FILTER_BITS)
-                    seen = (bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1
-                    text, key = text[seen == 1], key[seen == 1]
+                    seen = passes(bits, key)
+                    text, key = text[seen], key[seen]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(_ids(batch, c)[text])], names=["key", "doc"])
 
     return run
 
 
-def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of the filter: 64 bytes each, of the keys of one partition (which holds all keys of its parts)."""
-    parts: dict[int, np.ndarray] = {}
-    for batch in batches:
-        at = batch.column(0).to_numpy().view(U) >> U(64 - FILTER_BITS)
-        part = (at >> U(12)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        at, part = at[order], part[order]
-        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = parts.setdefault(int(part[a]), np.zeros(512, np.uint8))
-            bit = at[a:b] & U(4095)
-            np.bitwise_or.at(own, (bit >> U(3)).astype(np.int64), np.uint8(1) << (bit & U(7)).astype(np.uint8))
-    if parts:
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([v.tobytes() for v in parts.values()], pa.binary())], names=["part", "bits"])
-
-
-def shared_filter(keys: DataFrame) -> np.ndarray:
-    """The filter of all keys, 8 MB: each part is made where its keys are, so no more than that reaches the driver."""
-    dealt = keys.select("key").repartition(F.shiftrightunsigned("key", 64 - FILTER_BITS + 12))
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in dealt.mapInArrow(_bitmap, "part long, bits binary").toLocalIterator():
-        bits[r["part"] * 512 : r["part"] * 512 + 512] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    return bits
-
-
 def _packed6(values: np.ndarray) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -360,7 +331,7 @@ def links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int) -> D
     mine = docs.join(offered(reps.select("doc"), 24), "doc", "left_semi")
     index = mine.mapInArrow(_index(words, num, den), "key long, doc long")
     lists = written(index.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub <> last").select("key", "hub"))
-    bits = spark.sparkContext.broadcast(shared_filter(lists))
+    bits = spark.sparkContext.broadcast(key_filter(lists, "key"))
     index = mine.mapInArrow(_index(words, num, den, bits), "key long, doc long")
     pairs = written(index.join(lists, "key").where("doc <> hub").select("doc", "hub").distinct())
     counts = written(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT_SETS).cast("int").alias("salts")))

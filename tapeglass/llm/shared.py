@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes that one side of a join may have, by its row count and width, to be broadcast.
 BROADCAST_BYTES = 24 << 20
+#: Bits of the filters of hashes (of fixed size, whatever the data).
+FILTER_BITS = 26
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +47,42 @@ def offered(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, row_bytes) else df
 
 
+def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the filter: 512 bytes each, of the keys of one partition (which holds all keys of its parts)."""
+    parts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+        part = (at >> np.uint64(12)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        at, part = at[order], part[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = parts.setdefault(int(part[a]), np.zeros(512, np.uint8))
+            bit = at[a:b] & np.uint64(4095)
+            np.bitwise_or.at(own, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([v.tobytes() for v in parts.values()], pa.binary())], names=["part", "bits"])
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A filter of the hashes in ``column``: 8 MB, whatever their number.
+
+    It only saves rows of a join that follows (it lets through what it cannot tell).  Each part is made where its keys
+    are, so the driver gets no more than the filter itself.
+    """
+    dealt = keys.select(column).repartition(F.shiftrightunsigned(column, 64 - FILTER_BITS + 12))
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in dealt.mapInArrow(_bitmap, "part long, bits binary").toLocalIterator():
+        bits[r["part"] * 512 : r["part"] * 512 + 512] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among the filter's."""
+    at = hashes >> np.uint64(64 - FILTER_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long).  Returns (node, component), component the least node reachable.
 

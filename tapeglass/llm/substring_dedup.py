@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import Chunk, U, chunks, mix, window_hashes
-from .shared import BROADCAST_BYTES, offered, written
+from .shared import BROADCAST_BYTES, key_filter, offered, passes, written
 
 WINDOW, SEED = 20, 8
 NO_ID = -(1 << 63)
@@ -102,17 +102,19 @@ def _seeds(window: int, seed: int):
     return run
 
 
-def _paths(window: int, seed: int):
+def _paths(window: int, seed: int, filter_):
     names = ["seed", "p1", "p2", "windows", "doc", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = filter_.value
         for batch in batches:
-            ids_of = lambda c: _ids(batch, c)  # noqa: B023, E731
             for c in chunks(batch.column(1)):
                 p = paths(c, window, seed)
+                seen = passes(bits, p["seed"])
+                p = {**p, **{k: p[k][seen] for k in ("text", "at", "count", "seed")}}
                 h1, h2 = path_hashes(p, window)
                 start = p["at"] - p["cuts"][:-1][p["text"]]
-                yield pa.RecordBatch.from_arrays([pa.array(p["seed"].view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(p["count"].astype(np.int32)), pa.array(ids_of(c)[p["text"]]), pa.array(start.astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(p["seed"].view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(p["count"].astype(np.int32)), pa.array(_ids(batch, c)[p["text"]]), pa.array(start.astype(np.int32))], names=names)
 
     return run
 
@@ -151,7 +153,8 @@ def repeated_windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     rows = _rows(docs, text, doc_id)
     seeds = rows.mapInArrow(_seeds(window, seed), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
     shared = written(seeds.select("seed"))
-    sources = rows.mapInArrow(_paths(window, seed), "seed long, p1 long, p2 long, windows int, doc long, start int").join(offered(shared, 24), "seed", "left_semi")
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(shared, "seed"))
+    sources = rows.mapInArrow(_paths(window, seed, bits), "seed long, p1 long, p2 long, windows int, doc long, start int").join(offered(shared, 24), "seed", "left_semi")
     sources = written(sources.select("seed", "p1", "p2", "windows", "doc", "start"))
     # Equal paths meet: one row a path, with its earliest source.
     merged = written(sources.groupBy("p1", "p2", "windows").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("seed").alias("seed")))
@@ -174,7 +177,14 @@ def repeated_windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
     some = F.transform("older", lambda k: F.struct(k.alias("a"), k.alias("b")))
     spans = hits.select("doc", "start", F.explode(F.when(~own, whole).otherwise(some)).alias("s"))
     # A path that is met again is older in all its edges; the first one only where others have them earlier.
-    return written(spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")))).alias("spans")))
+    spans = spans.select("doc", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+    # Runs whose words touch become one.
+    order = Window.partitionBy("doc").orderBy("a", "b")
+    reached = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.coalesce((F.col("a") > reached + window).cast("int"), F.lit(1)))
+    spans = spans.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spans.groupBy("doc", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return written(runs.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
 def removed_words(n_words: int, spans: list[dict], window: int) -> np.ndarray:
@@ -215,7 +225,7 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window
     The spans join the texts by broadcast while their counted size is under the bound, else by a shuffle.
     """
     spans = repeated_windows(docs, text=text, doc_id=doc_id, window=window, seed=seed)
-    width = spans.agg(F.coalesce(F.sum(F.size("spans") * 24 + 64), F.lit(0)).alias("b")).first()["b"]
+    width = spans.agg(F.coalesce(F.sum(F.size("spans") * 32 + 64), F.lit(0)).alias("b")).first()["b"]
     rows = _rows(docs, text, doc_id).join(F.broadcast(spans) if width <= BROADCAST_BYTES else spans, "doc", "left").select("doc", "text", "spans")
     out = rows.mapInArrow(_kept(window), "doc long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
