@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Chunk, U, chunks, mix, window_hashes, windows_inside
-from .shared import components, key_filter, offered, passes, written
+from .shared import Scratch, components, key_filter, offered, passes, written
 from .textstats import tagged
 
 WORDS, NUM, DEN, SPARE = 3, 90, 100, 2
@@ -328,28 +328,30 @@ def _around(num: int, den: int):
 def links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b): links between representatives that connect all that are linked.  ``reps`` (written): doc."""
     spark = docs.sparkSession
-    mine = docs.join(offered(reps.select("doc"), 24), "doc", "left_semi")
-    index = mine.mapInArrow(_index(words, num, den), "key long, doc long")
-    lists = written(index.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub <> last").select("key", "hub"))
-    bits = spark.sparkContext.broadcast(key_filter(lists, "key"))
-    index = mine.mapInArrow(_index(words, num, den, bits), "key long, doc long")
-    pairs = written(index.join(lists, "key").where("doc <> hub").select("doc", "hub").distinct())
-    counts = written(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT_SETS).cast("int").alias("salts")))
-    member = pairs.join(offered(counts, 32), "hub").groupBy("doc").agg(F.collect_list(F.struct("hub", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"))).alias("hubs"))
-    wanted = written(member.join(counts.withColumnRenamed("hub", "doc"), "doc", "full_outer"))
-    bodies = docs.join(offered(wanted, 160), "doc").dropDuplicates(["doc"]) if _repeats(docs, wanted) else docs.join(offered(wanted, 160), "doc")
-    bodies = bodies.select("doc", "text", "hubs", "salts").mapInArrow(_contents(words), CONTENT)
-    around = written(bodies.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "doc").mapInArrow(_compare(num, den), DELTA))
-    inner = F.col("cost") <= (den - num) * F.col("size")
-    direct = around.where(inner).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-    # Only hubs with a set that is not linked to them need the second step.
-    open_hubs = written(around.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum((~inner).cast("long")).alias("out")).where("out > 0 and m > 1").select("hub", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks")))
-    rows = around.join(offered(open_hubs, 32), "hub").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    fields = ("doc", "size", "cost", "gone", "added")
-    members = rows.select("hub", F.col("own").alias("block"), F.lit(0).alias("kind"), *fields)
-    probes = rows.where(~inner & (F.col("blocks") > 1)).select("hub", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))).alias("block"), F.lit(1).alias("kind"), *fields)
-    more = members.unionAll(probes).repartition("hub", "block").sortWithinPartitions("hub", "block", "kind", "doc").mapInArrow(_around(num, den), "a long, b long")
-    return written(direct.unionAll(more))
+    with Scratch(spark) as tmp:
+        mine = docs.join(offered(reps.select("doc"), 24), "doc", "left_semi")
+        index = mine.mapInArrow(_index(words, num, den), "key long, doc long")
+        lists = tmp.written(index.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub <> last").select("key", "hub"))
+        bits = spark.sparkContext.broadcast(key_filter(lists, "key"))
+        index = mine.mapInArrow(_index(words, num, den, bits), "key long, doc long")
+        pairs = tmp.written(index.join(lists, "key").where("doc <> hub").select("doc", "hub").distinct())
+        counts = tmp.written(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT_SETS).cast("int").alias("salts")))
+        member = pairs.join(offered(counts, 32), "hub").groupBy("doc").agg(F.collect_list(F.struct("hub", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"))).alias("hubs"))
+        wanted = tmp.written(member.join(counts.withColumnRenamed("hub", "doc"), "doc", "full_outer"))
+        bodies = docs.join(offered(wanted, F.coalesce(F.size("hubs"), F.lit(0)) * 40 + 64), "doc")
+        bodies = bodies.dropDuplicates(["doc"]) if _repeats(docs, wanted) else bodies
+        bodies = bodies.select("doc", "text", "hubs", "salts").mapInArrow(_contents(words), CONTENT)
+        around = tmp.written(bodies.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "doc").mapInArrow(_compare(num, den), DELTA))
+        inner = F.col("cost") <= (den - num) * F.col("size")
+        direct = around.where(inner).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+        # Only hubs with a set that is not linked to them need the second step.
+        open_hubs = tmp.written(around.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum((~inner).cast("long")).alias("out")).where("out > 0 and m > 1").select("hub", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks")))
+        rows = around.join(offered(open_hubs, 32), "hub").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        fields = ("doc", "size", "cost", "gone", "added")
+        members = rows.select("hub", F.col("own").alias("block"), F.lit(0).alias("kind"), *fields)
+        probes = rows.where(~inner & (F.col("blocks") > 1)).select("hub", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))).alias("block"), F.lit(1).alias("kind"), *fields)
+        more = members.unionAll(probes).repartition("hub", "block").sortWithinPartitions("hub", "block", "kind", "doc").mapInArrow(_around(num, den), "a long, b long")
+        return written(direct.unionAll(more))
 
 
 def _repeats(docs: DataFrame, wanted: DataFrame) -> bool:
@@ -367,8 +369,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words:
     sets = written(rows.mapInArrow(_prints(words), "doc long, n long, f1 long, f2 long"))
     classes = written(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("copies")))
     reps = written(classes.select(F.col("node").alias("doc")).distinct())
-    found = links(rows, reps, words, num, den)
-    same = components(found)
+    same = components(links(rows, reps, words, num, den))
     node = sets.join(offered(classes.where("copies > 1").select("n", "f1", "f2", "node"), 56), ["n", "f1", "f2"], "left").withColumn("node", F.coalesce("node", "doc"))
     out = node.join(offered(same, 32), "node", "left")
     back = lambda c: F.when(c != NO_ID, c)

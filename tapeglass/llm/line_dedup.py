@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, offered, written
+from .shared import Scratch, offered, written
 
 MIN_WORDS, NEAR_WORDS = 4, 8
 KEY = ["__h1", "__h2"]
@@ -91,26 +91,26 @@ def _one_apart(x: Column, y: Column) -> Column:
     return F.when(F.size(x) == F.size(y), same).when(F.size(y) == F.size(x) + 1, longer(x, y)).when(F.size(x) == F.size(y) + 1, longer(y, x)).otherwise(False)
 
 
-def near_lines(distinct: DataFrame, rows: DataFrame, near_words: int) -> DataFrame:
+def near_lines(distinct: DataFrame, rows: DataFrame, near_words: int, tmp: Scratch) -> DataFrame:
     """KEY of the distinct lines that have an earlier line one word apart.
 
     ``distinct`` (written) has KEY, ORD of the first occurrence and the half keys; ``rows`` has the texts, of which only
     those with a line that goes on are split again.
     """
     halves = distinct.where(F.size("__keys") > 0).select(*KEY, *ORD, F.explode("__keys").alias("__k")).where("__k is not null")
-    shared = written(halves.groupBy("__k").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1").select("__k"))
-    some = written(halves.join(offered(shared, 24), "__k", "left_semi").select(*KEY, *ORD).distinct())
-    holders = written(some.select("__doc", "__th").distinct())
+    shared = tmp.written(halves.groupBy("__k").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1").select("__k"))
+    some = tmp.written(halves.join(offered(shared, 24), "__k", "left_semi").select(*KEY, *ORD).distinct())
+    holders = tmp.written(some.select("__doc", "__th").distinct())
     split = rows.join(offered(holders, 40), ["__doc", "__th"], "left_semi").select("__doc", "__th", F.posexplode(F.split("__text", "\n")).alias("__line", "__s"))
     texts = split.join(offered(some, 64), ORD).select(*KEY, *ORD, words_of(F.col("__s")).alias("__w"))
-    texts = written(texts.withColumn("__n", F.size("__w")).dropDuplicates([*KEY]))
-    variants = written(_variants(texts))
+    texts = tmp.written(texts.withColumn("__n", F.size("__w")).dropDuplicates([*KEY]))
+    variants = tmp.written(_variants(texts))
     me = F.struct(*ORD, *KEY)
-    cells = written(variants.groupBy("__v", "__pos").agg(F.min(me).alias("__m"), F.count(F.lit(1)).alias("__c")))
+    cells = tmp.written(variants.groupBy("__v", "__pos").agg(F.min(me).alias("__m"), F.count(F.lit(1)).alias("__c")))
     whole = F.col("__pos") == -1
     across = cells.groupBy("__v").agg(F.min(F.when(whole, F.col("__m"))).alias("__full"), F.min(F.when(~whole, F.col("__m"))).alias("__cut"), F.sum("__c").alias("__all")).where("__all > 1")
     partner = F.when(whole, F.col("__cut")).otherwise(F.least(F.col("__m"), F.coalesce("__full", "__m")))
-    table = written(cells.join(across, "__v").select("__v", "__pos", partner.alias("__partner")).where("__partner is not null"))
+    table = tmp.written(cells.join(across, "__v").select("__v", "__pos", partner.alias("__partner")).where("__partner is not null"))
     pairs = variants.select("__v", "__pos", *KEY, *ORD).join(offered(table, 96), ["__v", "__pos"])
     pairs = pairs.where(F.col("__partner") < me).select(*KEY, F.col("__partner.__h1").alias("__p1"), F.col("__partner.__h2").alias("__p2")).distinct()
     mine = texts.select(*KEY, F.col("__w").alias("__x"))
@@ -122,16 +122,17 @@ def near_lines(distinct: DataFrame, rows: DataFrame, near_words: int) -> DataFra
 def dropped_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(__doc, __th, __drop): the numbers of the lines of each text that are dropped, ascending.  Written."""
     rows = _rows(docs, text, doc_id)
-    # The hashes of all lines are written (some 70 bytes a line), so that texts are split and hashed once.
-    lines = written(_lines(rows, min_words).select(*KEY, *ORD, F.when(F.col("__n") >= near_words, _half_keys(near_words)).alias("__keys")))
-    distinct = lines.groupBy(*KEY).agg(F.min(F.struct(*ORD)).alias("__o"), F.count(F.lit(1)).alias("__c"), F.first("__keys").alias("__keys"))
-    distinct = written(distinct.select(*KEY, *(F.col(f"__o.{o}") for o in ORD), "__c", "__keys"))
-    near = written(near_lines(distinct, rows, near_words).withColumn("__near", F.lit(True)))
-    verdict = distinct.select(*KEY, *(F.col(o).alias(f"{o}0") for o in ORD), "__c").join(offered(near, 40), KEY, "left")
-    verdict = written(verdict.where("__c > 1 or __near").withColumn("__near", F.coalesce("__near", F.lit(False))))
-    first = (F.col("__doc") == F.col("__doc0")) & (F.col("__th") == F.col("__th0")) & (F.col("__line") == F.col("__line0"))
-    hits = lines.select(*KEY, *ORD).join(offered(verdict, 64), KEY).where(F.col("__near") | ~first)
-    return written(hits.groupBy("__doc", "__th").agg(F.array_sort(F.collect_set("__line")).alias("__drop")))
+    with Scratch(docs.sparkSession) as tmp:
+        # The hashes of all lines are written (some 70 bytes a line), so that texts are split and hashed once.
+        lines = tmp.written(_lines(rows, min_words).select(*KEY, *ORD, F.when(F.col("__n") >= near_words, _half_keys(near_words)).alias("__keys")))
+        distinct = lines.groupBy(*KEY).agg(F.min(F.struct(*ORD)).alias("__o"), F.count(F.lit(1)).alias("__c"), F.first("__keys").alias("__keys"))
+        distinct = tmp.written(distinct.select(*KEY, *(F.col(f"__o.{o}") for o in ORD), "__c", "__keys"))
+        near = tmp.written(near_lines(distinct, rows, near_words, tmp).withColumn("__near", F.lit(True)))
+        verdict = distinct.select(*KEY, *(F.col(o).alias(f"{o}0") for o in ORD), "__c").join(offered(near, 40), KEY, "left")
+        verdict = tmp.written(verdict.where("__c > 1 or __near").withColumn("__near", F.coalesce("__near", F.lit(False))))
+        first = (F.col("__doc") == F.col("__doc0")) & (F.col("__th") == F.col("__th0")) & (F.col("__line") == F.col("__line0"))
+        hits = lines.select(*KEY, *ORD).join(offered(verdict, 96), KEY).where(F.col("__near") | ~first)
+        return written(hits.groupBy("__doc", "__th").agg(F.array_sort(F.collect_set("__line")).alias("__drop")))
 
 
 def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
@@ -140,9 +141,7 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_wo
     The line numbers join the texts by broadcast while their counted size is under the bound, else by a shuffle.
     """
     drops = dropped_lines(docs, text=text, doc_id=doc_id, min_words=min_words, near_words=near_words)
-    size = drops.agg(F.coalesce(F.sum(F.size("__drop") * 8 + 64), F.lit(0)).alias("b")).first()["b"]
-    if size <= BROADCAST_BYTES:
-        drops = F.broadcast(drops)
+    drops = offered(drops, F.size("__drop") * 8 + 80)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
     keyed = docs.select(row, F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__doc"), F.xxhash64(F.col(text)).alias("__th"), F.split(text, "\n").alias("__lines"))
     out = keyed.join(drops, ["__doc", "__th"], "left")

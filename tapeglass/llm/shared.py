@@ -1,4 +1,4 @@
-"""Helpers that several operators share: the shared folder, size-checked joins, components."""
+"""Helpers that several operators share: tables in the shared folder, size-checked joins, components."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes that one side of a join may have, by its row count and width, to be broadcast.
 BROADCAST_BYTES = 24 << 20
+#: The shuffle files of a write that is done are of no more use: Spark deletes them at once.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of the filters of hashes (of fixed size, whatever the data).
 FILTER_BITS = 26
 
@@ -31,19 +33,57 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage is cut and lost executors lose nothing."""
+    return _write(df)[0]
+
+
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tapeglass-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables that only the steps inside a ``with`` block read: they are deleted at its end.
+
+    What leaves the block must itself be written before, so that nothing depends on them any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame) -> DataFrame:
+        out, path = _write(df)
+        self.paths.append(path)
+        return out
+
+    def __exit__(self, *failure) -> None:
+        delete(self.spark, self.paths)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
 
 
-def small_enough(df: DataFrame, row_bytes: int) -> bool:
-    """Whether ``df`` (cheap to count: a written table) surely fits a broadcast."""
-    return df.count() * row_bytes <= BROADCAST_BYTES
+def small_enough(df: DataFrame, row_bytes: int | Column) -> bool:
+    """Whether ``df`` (cheap to read: a written table) surely fits a broadcast; a column gives the bytes row by row."""
+    size = F.count(F.lit(1)) * row_bytes if isinstance(row_bytes, int) else F.sum(row_bytes)
+    return (df.agg(size.alias("b")).first()["b"] or 0) <= BROADCAST_BYTES
 
 
-def offered(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size is under the bound, else as it is: the join then shuffles."""
+def offered(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """``df`` with a broadcast hint if its measured size is under the bound, else as it is: the join then shuffles."""
     return F.broadcast(df) if small_enough(df, row_bytes) else df
 
 
@@ -89,13 +129,15 @@ def components(edges: DataFrame) -> DataFrame:
     Every round takes the least label among the neighbours and then the label of that label; labels are written
     after each round.  Only minima cross a shuffle, so a hub with many edges needs no large task.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = written(step.join(up, "label", "left").select("node", "was", F.least("label", "up").alias("label")))
-        if new.where("label <> was").isEmpty():
-            return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
+    with Scratch(edges.sparkSession) as tmp:
+        both = tmp.written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+        labels, path = _write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+        while True:
+            near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+            step = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+            up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            new, new_path = _write(step.join(up, "label", "left").select("node", "was", F.least("label", "up").alias("label")))
+            delete(edges.sparkSession, [path])
+            if new.where("label <> was").isEmpty():
+                return new.select("node", F.col("label").alias("component"))
+            labels, path = new.select("node", "label"), new_path

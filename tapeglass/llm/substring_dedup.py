@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import Chunk, U, chunks, mix, window_hashes
-from .shared import BROADCAST_BYTES, key_filter, offered, passes, written
+from .shared import Scratch, key_filter, offered, passes, written
 
 WINDOW, SEED = 20, 8
 NO_ID = -(1 << 63)
@@ -151,40 +151,40 @@ def _open(window: int, seed: int):
 def repeated_windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc, spans: for each document with repeats, its runs of windows (first, last) that also start earlier.  Written."""
     rows = _rows(docs, text, doc_id)
-    seeds = rows.mapInArrow(_seeds(window, seed), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
-    shared = written(seeds.select("seed"))
-    bits = docs.sparkSession.sparkContext.broadcast(key_filter(shared, "seed"))
-    sources = rows.mapInArrow(_paths(window, seed, bits), "seed long, p1 long, p2 long, windows int, doc long, start int").join(offered(shared, 24), "seed", "left_semi")
-    sources = written(sources.select("seed", "p1", "p2", "windows", "doc", "start"))
-    # Equal paths meet: one row a path, with its earliest source.
-    merged = written(sources.groupBy("p1", "p2", "windows").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("seed").alias("seed")))
-    several = written(merged.groupBy("seed").agg(F.count(F.lit(1)).alias("paths")).where("paths > 1").select("seed"))
-    branching = merged.join(offered(several, 24), "seed", "left_semi")
-    branching = written(branching.select("p1", "p2", F.col("first.doc").alias("doc"), F.col("first.start").alias("start")))
-    wanted = written(branching.groupBy("doc").agg(F.collect_set("start").alias("starts")))
-    width = wanted.agg(F.coalesce(F.sum(F.size("starts") * 4 + 48), F.lit(0)).alias("b")).first()["b"]
-    opened = rows.join(F.broadcast(wanted) if width <= BROADCAST_BYTES else wanted, "doc").select("doc", "text", "starts")
-    edges = opened.mapInArrow(_open(window, seed), "p1 long, p2 long, k int, e1 long, e2 long").join(branching, ["p1", "p2"])
-    edges = written(edges.select("p1", "p2", "k", "e1", "e2", "doc", (F.col("start") + F.col("k")).alias("start")).dropDuplicates(["p1", "p2", "k"]))
-    earliest = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("e1", "e2", "first")
-    # Of a path's edges those that another path has earlier; the rest are first met on the path itself.
-    older = edges.join(earliest, ["e1", "e2"]).where(F.col("first") < F.struct("doc", "start")).groupBy("p1", "p2").agg(F.array_sort(F.collect_set("k")).alias("older"))
-    verdict = merged.join(older, ["p1", "p2"], "left").where("n > 1 or older is not null").select("p1", "p2", "windows", "first", "older")
-    verdict = written(verdict)
-    hits = sources.join(verdict, ["p1", "p2", "windows"])
-    own = F.struct("doc", "start") == F.col("first")
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b")))
-    some = F.transform("older", lambda k: F.struct(k.alias("a"), k.alias("b")))
-    spans = hits.select("doc", "start", F.explode(F.when(~own, whole).otherwise(some)).alias("s"))
-    # A path that is met again is older in all its edges; the first one only where others have them earlier.
-    spans = spans.select("doc", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
-    # Runs whose words touch become one.
-    order = Window.partitionBy("doc").orderBy("a", "b")
-    reached = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", F.coalesce((F.col("a") > reached + window).cast("int"), F.lit(1)))
-    spans = spans.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = spans.groupBy("doc", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return written(runs.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    with Scratch(docs.sparkSession) as tmp:
+        seeds = rows.mapInArrow(_seeds(window, seed), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
+        shared = tmp.written(seeds.select("seed"))
+        bits = docs.sparkSession.sparkContext.broadcast(key_filter(shared, "seed"))
+        sources = rows.mapInArrow(_paths(window, seed, bits), "seed long, p1 long, p2 long, windows int, doc long, start int").join(offered(shared, 24), "seed", "left_semi")
+        sources = tmp.written(sources.select("seed", "p1", "p2", "windows", "doc", "start"))
+        # Equal paths meet: one row a path, with its earliest source.
+        merged = tmp.written(sources.groupBy("p1", "p2", "windows").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("seed").alias("seed")))
+        several = tmp.written(merged.groupBy("seed").agg(F.count(F.lit(1)).alias("paths")).where("paths > 1").select("seed"))
+        branching = merged.join(offered(several, 24), "seed", "left_semi")
+        branching = tmp.written(branching.select("p1", "p2", F.col("first.doc").alias("doc"), F.col("first.start").alias("start")))
+        wanted = tmp.written(branching.groupBy("doc").agg(F.collect_set("start").alias("starts")))
+        opened = rows.join(offered(wanted, F.size("starts") * 8 + 64), "doc").select("doc", "text", "starts")
+        edges = opened.mapInArrow(_open(window, seed), "p1 long, p2 long, k int, e1 long, e2 long").join(branching, ["p1", "p2"])
+        edges = tmp.written(edges.select("p1", "p2", "k", "e1", "e2", "doc", (F.col("start") + F.col("k")).alias("start")).dropDuplicates(["p1", "p2", "k"]))
+        earliest = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("e1", "e2", "first")
+        # Of a path's edges those that another path has earlier; the rest are first met on the path itself.
+        older = edges.join(earliest, ["e1", "e2"]).where(F.col("first") < F.struct("doc", "start")).groupBy("p1", "p2").agg(F.array_sort(F.collect_set("k")).alias("older"))
+        verdict = merged.join(older, ["p1", "p2"], "left").where("n > 1 or older is not null").select("p1", "p2", "windows", "first", "older")
+        verdict = tmp.written(verdict)
+        hits = sources.join(verdict, ["p1", "p2", "windows"])
+        own = F.struct("doc", "start") == F.col("first")
+        whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b")))
+        some = F.transform("older", lambda k: F.struct(k.alias("a"), k.alias("b")))
+        spans = hits.select("doc", "start", F.explode(F.when(~own, whole).otherwise(some)).alias("s"))
+        # A path that is met again is older in all its edges; the first one only where others have them earlier.
+        spans = spans.select("doc", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+        # Runs whose words touch become one.
+        order = Window.partitionBy("doc").orderBy("a", "b")
+        reached = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        spans = spans.withColumn("new", F.coalesce((F.col("a") > reached + window).cast("int"), F.lit(1)))
+        spans = spans.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        runs = spans.groupBy("doc", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+        return written(runs.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
 
 def removed_words(n_words: int, spans: list[dict], window: int) -> np.ndarray:
@@ -225,8 +225,7 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window
     The spans join the texts by broadcast while their counted size is under the bound, else by a shuffle.
     """
     spans = repeated_windows(docs, text=text, doc_id=doc_id, window=window, seed=seed)
-    width = spans.agg(F.coalesce(F.sum(F.size("spans") * 32 + 64), F.lit(0)).alias("b")).first()["b"]
-    rows = _rows(docs, text, doc_id).join(F.broadcast(spans) if width <= BROADCAST_BYTES else spans, "doc", "left").select("doc", "text", "spans")
+    rows = _rows(docs, text, doc_id).join(offered(spans, F.size("spans") * 40 + 64), "doc", "left").select("doc", "text", "spans")
     out = rows.mapInArrow(_kept(window), "doc long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
 
