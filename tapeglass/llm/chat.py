@@ -62,20 +62,18 @@ def ranked_leaves(nodes: DataFrame, top: int = 1) -> tuple[DataFrame, list[DataF
     base = nodes.join(ids, "parent", "left_semi").select("id", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("score"))
     roots = nodes.join(ids, "parent", "left_anti").select("id", F.lit(None).cast("long").alias("up"), F.coalesce("score", F.lit(0.0)).alias("score"))
     own = written(base.union(roots))
-    # top_id: the highest message reached; up: the next jump from it; total: the scores passed.
-    walk = written(own.select("id", F.col("id").alias("top_id"), "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")))
+    # top_id: the highest message reached; up: the next jump from it; total: the scores passed.  Only messages that have
+    # not reached their root yet go through a round; those that have are kept aside, as targets of the others' jumps.
+    first = own.select("id", F.col("id").alias("top_id"), "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
+    done, walking = first.where("up is null"), first.where("up is not null")
     jumps: list[DataFrame] = []
     n = None
-    while True:
-        open_rows = walk.where("up is not null")
-        left = open_rows.count()
-        if left == 0 or (n is not None and left == n and len(jumps) > 40):
-            break
+    while (left := walking.count()) and left != n:  # no message arrived: what is left walks in circles
         n = left
-        jumps.append(open_rows.select("id", "up"))
-        above = walk.select(F.col("id").alias("up"), F.col("top_id").alias("a_top"), F.col("up").alias("a_up"), F.col("total").alias("a_total"), F.col("depth").alias("a_depth"))
-        walk = written(walk.join(above, "up", "left").select("id", F.coalesce("a_top", "top_id").alias("top_id"), F.when(F.col("a_top").isNotNull(), F.col("a_up")).otherwise(F.col("up")).alias("up"), (F.col("total") + F.coalesce("a_total", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth")))
-    done = walk.where("up is null")
+        jumps.append(walking.select("id", "up"))
+        above = done.unionByName(walking).select(F.col("id").alias("up"), F.col("top_id").alias("a_top"), F.col("up").alias("a_up"), F.col("total").alias("a_total"), F.col("depth").alias("a_depth"))
+        step = written(walking.join(above, "up").select("id", F.col("a_top").alias("top_id"), F.col("a_up").alias("up"), (F.col("total") + F.col("a_total")).alias("total"), (F.col("depth") + F.col("a_depth")).alias("depth")))
+        done, walking = done.unionByName(step.where("up is null")), step.where("up is not null")
     parents = own.where("up is not null").select(F.col("up").alias("id")).distinct()
     leaves = done.join(parents, "id", "left_anti")
     # Rank 1 needs no window: a maximum that is combined before the shuffle.
