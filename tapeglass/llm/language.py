@@ -128,8 +128,24 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return steps
 
 
-def build(samples: dict[str, list[str]], train_symbols: int = TRAIN_SYMBOLS) -> Model:
-    """The model of texts by language; the same number of symbols is used of each."""
+@dataclass(frozen=True)
+class Samples:
+    """What a model is made of: the symbols of each language.  This is sent to the workers, which build the tables."""
+
+    coded: tuple[tuple[str, bytes], ...]
+
+    def model(self) -> Model:
+        if self not in _models:
+            _models.clear()
+            _models[self] = tables({k: np.frombuffer(v, np.uint16) for k, v in self.coded})
+        return _models[self]
+
+
+_models: dict[Samples, Model] = {}
+
+
+def build(samples: dict[str, list[str]], train_symbols: int = TRAIN_SYMBOLS) -> Samples:
+    """The samples of texts by language; the same number of symbols is used of each."""
     coded: dict[str, np.ndarray] = {}
     for lang in sorted(samples):
         parts = []
@@ -139,7 +155,11 @@ def build(samples: dict[str, list[str]], train_symbols: int = TRAIN_SYMBOLS) ->
             if sum(map(len, parts)) >= train_symbols:
                 break
         coded[lang] = np.concatenate(parts)[:train_symbols] if parts else np.zeros(0, np.uint16)
-    coded = {k: v for k, v in coded.items() if len(v)}
+    return Samples(tuple((k, v.astype(np.uint16).tobytes()) for k, v in coded.items() if len(v)))
+
+
+def tables(coded: dict[str, np.ndarray]) -> Model:
+    """One table of the automata of all languages."""
     symbol = np.full(0x10000, OTHER_SYMBOL, np.int64)
     symbol[0] = SPACE_SYMBOL
     if coded:
@@ -217,8 +237,8 @@ def decide(model: Model, buf: np.ndarray, cuts: np.ndarray) -> tuple[list[str],
     return [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0), surprise[np.arange(n), best]
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_rows: int = TRAIN_ROWS, train_symbols: int = TRAIN_SYMBOLS) -> Model:
-    """A model from labelled rows: of each language, those ``train_rows`` whose ``key`` has the least hash.
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_rows: int = TRAIN_ROWS, train_symbols: int = TRAIN_SYMBOLS) -> Samples:
+    """Samples from labelled rows: of each language, those ``train_rows`` whose ``key`` has the least hash.
 
     Two passes: the first reads labels and keys only and finds a threshold for each language (the window keeps
     ``train_rows`` a language before its shuffle); the second fetches the few texts under the thresholds.
@@ -240,14 +260,14 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return build({k: [t for _, t in sorted(set(v))[:train_rows]] for k, v in samples.items()}, train_symbols)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: Samples, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred, score and surprise of every whole text: one pass without a shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = len(keep)
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent.value.model()
         for batch in batches:
             for c in chunks(batch.column(at), CHUNK):
                 langs, score, surprise = decide(own, c.buf, c.cuts)
@@ -257,15 +277,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     return rows.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model: Model, text: str = "text", max_surprise: float = MAX_SURPRISE) -> DataFrame:
+def accepted(docs: DataFrame, model: Samples, text: str = "text", max_surprise: float = MAX_SURPRISE) -> DataFrame:
     """The rows of ``docs`` whose text has letters and is not as surprising as letters at random in every language."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value.model()
         for batch in batches:
             for c in chunks(batch.column(at), CHUNK):
-                langs, _, surprise = decide(sent.value, c.buf, c.cuts)
+                langs, _, surprise = decide(own, c.buf, c.cuts)
                 keep = (np.array(langs, object) != UNKNOWN) & (surprise <= max_surprise)
                 yield batch.slice(c.first, c.n).filter(pa.array(keep))
 

@@ -33,7 +33,7 @@ def symbols(text):
 
 def test_cross_parsing_is_the_greedy_parse():
     train = {"a": [" ".join(prose(300, 1))], "b": ["zig zag zug zog " * 40]}
-    model = language.build(train, 1500)
+    model = language.build(train, 1500).model()
     for seed in range(5):
         text = " ".join(prose(60, seed + 10)) + " zig zagzog"
         raw = np.frombuffer(text.encode(), np.uint8)
