@@ -13,6 +13,9 @@ from tapeglass.llm import decontaminate, jaccard, language, line_dedup, packing
 from tapeglass.llm.queries import fold, table, tokenizer_path
 from tapeglass.llm.shared import offered, written
 
+#: The number of a row where ids are null or repeated.
+ROW = "__row"
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts unlike every learned language; learns from labelled rows outside the held-out fold."""
@@ -27,17 +30,33 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", changed).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and a column that names each row: ``doc_id`` if it does, else a number given to the rows and written with them."""
+    n = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["rows"] == n["ids"]:
+        return docs, "doc_id"
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id())), ROW
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by five-word shingles at a Jaccard similarity of 0.8, the smallest id stays."""
-    found = jaccard.join(docs, words=5, num=80, den=100)
-    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(offered(gone, 24), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of texts linked by five-word shingles at a Jaccard similarity of 0.8, one row stays: the smallest id's, null ids last."""
+    rows, key = keyed(docs)
+    found = jaccard.join(rows, doc_id=key, words=5, num=80, den=100)
+    if key == "doc_id":
+        gone = found.where("component_id <> doc_id").select(key)
+    else:
+        found = written(found.select(F.col("doc_id").alias(key), "component_id"))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)
+        stay = found.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{key}"))
+        gone = found.select(key).join(stay, key, "left_anti")
+    return rows.join(offered(written(gone.distinct()), 24), key, "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with an aligned benchmark window."""
-    gone = written(decontaminate.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(offered(gone, 24), "doc_id", "left_anti").select(*docs.columns)
+    """Drops the rows with an aligned benchmark window."""
+    rows, key = keyed(docs)
+    gone = written(decontaminate.find(rows, table(spark, sf_dir, "benchmark"), doc_id=key).select(F.col("doc_id").alias(key)).distinct())
+    return rows.join(offered(gone, 24), key, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

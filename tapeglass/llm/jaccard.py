@@ -17,8 +17,8 @@ finds.  No pairs of a group are spelled out; hubs with many sets are dealt over
 
 Cases: a null or empty text has an empty set and is its own component; a text of fewer words than a shingle has one
 shingle, its whole sequence; repeated rows are one document; of different texts under one id, links are sought for the one
-with the least fingerprint; null ids count as one smallest id; an empty table gives no rows; columns other than those named
-are not read.
+with the least fingerprint; each text without an id is a document of its own, and never names a component that has an id
+(a component without any id is null); an empty table gives no rows; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ WORDS, NUM, DEN, SPARE = 3, 90, 100, 2
 #: Sets of one hub that one task compares, and that one block of differences indexes.
 SALT_SETS, BLOCK_SETS = 2000, 4000
 LOW48 = U((1 << 48) - 1)
-NO_ID = -(1 << 63)
 
 
 class Sizes:
@@ -98,7 +97,9 @@ def _ids(batch: pa.RecordBatch, c: Chunk) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).cast("string").alias("text"))
+    """doc, text and whether the id is null: then a 64-bit hash of the text stands for it."""
+    own, body = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    return docs.select(F.coalesce(own, F.xxhash64(F.lit(61), body)).alias("doc"), body.alias("text"), own.isNull().alias("none"))
 
 
 def _prints(words: int):
@@ -106,7 +107,7 @@ def _prints(words: int):
         for batch in batches:
             for c in chunks(batch.column(1)):
                 sets, cuts = shingle_sets(c, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(np.diff(cuts)), *(pa.array(_sums(mix(sets, salt), cuts).view(np.int64)) for salt in (21, 22))], names=["doc", "n", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), batch.column(2).slice(c.first, c.n), pa.array(np.diff(cuts)), *(pa.array(_sums(mix(sets, salt), cuts).view(np.int64)) for salt in (21, 22))], names=["doc", "none", "n", "f1", "f2"])
 
     return run
 
@@ -366,11 +367,14 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words:
     Two documents link when den * (size of the intersection) >= num * (size of the union) and neither set is empty.
     """
     rows = _rows(docs, text, doc_id)
-    sets = written(rows.mapInArrow(_prints(words), "doc long, n long, f1 long, f2 long"))
+    sets = written(rows.mapInArrow(_prints(words), "doc long, none boolean, n long, f1 long, f2 long"))
     classes = written(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("copies")))
     reps = written(classes.select(F.col("node").alias("doc")).distinct())
-    same = components(links(rows, reps, words, num, den))
+    same = components(links(rows.select("doc", "text"), reps, words, num, den))
     node = sets.join(offered(classes.where("copies > 1").select("n", "f1", "f2", "node"), 56), ["n", "f1", "f2"], "left").withColumn("node", F.coalesce("node", "doc"))
-    out = node.join(offered(same, 32), "node", "left")
-    back = lambda c: F.when(c != NO_ID, c)
-    return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("component", "node")).alias("component_id"))
+    out = node.join(offered(same, 32), "node", "left").select("doc", "none", "n", F.coalesce("component", "node").alias("component"))
+    if not sets.where("none").isEmpty():
+        # The least id of each component that has a row without one.
+        named = out.groupBy("component").agg(F.min(F.when(~F.col("none"), F.col("doc"))).alias("least"), F.max("none").alias("some")).where("some").select("component", "least", "some")
+        out = out.join(offered(written(named), 32), "component", "left").withColumn("component", F.when(F.col("some"), F.col("least")).otherwise(F.col("component")))
+    return out.select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
