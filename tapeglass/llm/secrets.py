@@ -29,7 +29,8 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 #: Candidates that are decoded.
 BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}|[A-Za-z0-9_-]{32,}={0,2}")
-SIGNED = re.compile(r"([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+#: A JSON object's first two bytes are "{" and a quote or white space: "ey" or "ew" in base64.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 ANY_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{32}")
 KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "signed_token")
@@ -83,11 +84,14 @@ def is_der_key(data: bytes) -> bool:
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 SSH_MAGIC = b"openssh-key-v1\0"
+#: How many counted strings follow the name of each sort of public key.
+SSH_STRINGS = ((b"ssh-rsa", 2), (b"ssh-ed25519", 1), (b"ecdsa-sha2-", 2), (b"ssh-dss", 4))
 
 
 def is_ssh_key(data: bytes) -> bool:
     """The container of private keys, or a public key: counted strings, the first of which names a known sort."""
-    at = len(SSH_MAGIC) if data.startswith(SSH_MAGIC) else 0
+    private = data[: len(SSH_MAGIC)] == SSH_MAGIC
+    at = len(SSH_MAGIC) if private else 0
     found = []
     while at + 4 <= len(data) and len(found) < 3:
         n = int.from_bytes(data[at : at + 4], "big")
@@ -95,9 +99,39 @@ def is_ssh_key(data: bytes) -> bool:
             return False
         found.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    if data.startswith(SSH_MAGIC):
+    if private:
         return len(found) == 3
-    return len(found) >= 2 and found[0].startswith((b"ssh-rsa", b"ssh-ed25519", b"ecdsa-sha2-", b"ssh-dss")) and len(found[0]) <= 40
+    return len(found) >= 2 and len(found[0]) <= 40 and bytes(found[0]).startswith(tuple(p for p, _ in SSH_STRINGS))
+
+
+def _skip(data: memoryview, at: int, strings: int) -> int | None:
+    """The end of so many counted strings."""
+    for _ in range(strings):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) else None
+
+
+def _sizes(data: memoryview) -> tuple[int, ...]:
+    """The bytes that a key at the start of ``data`` has, by its outer length.
+
+    A DER key may have two bytes more behind it, and a container of private keys a 16-byte tag.
+    """
+    if data[:1] == b"0":
+        top = _element(data, 0, len(data))
+        return () if top is None else (top[2], top[2] + 1, top[2] + 2)
+    if data[: len(SSH_MAGIC)] == SSH_MAGIC:
+        at = _skip(data, len(SSH_MAGIC), 3)
+        if at is None or (end := _skip(data, at + 4, int.from_bytes(data[at : at + 4], "big") + 1)) is None:
+            return ()
+        return end, end + 16
+    name = _skip(data, 0, 1)
+    if name is None or name > 44:
+        return ()
+    strings = next((k for p, k in SSH_STRINGS if bytes(data[4:name]).startswith(p)), None)
+    end = None if strings is None else _skip(data, name, strings)
+    return () if end is None else (end,)
 
 
 def _b64(s: str) -> bytes | None:
@@ -121,12 +155,50 @@ def is_token_header(part: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
-def _key_kind(data: bytes | None) -> str | None:
+def _key_kind(data: bytes | memoryview | None) -> str | None:
     if not data or len(data) < 24:
         return None
     return "der_key" if data[0] == 0x30 and is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 
 
+#: What the base64 of a DER key, a container of private keys and a public key starts with.
+KEY_STARTS = ("M", "b3BlbnNzaC1rZXktdjEA", "AAAA")
+
+
+def _block_keys(block: str) -> Iterator[tuple[str, int, int]]:
+    """Kind, start and end of all keys that begin and end with a line of a base64 block.
+
+    At every line start that may begin a key, the block is cut behind the outer length that the bytes there name, and the
+    search goes on behind a key.  The block is decoded once for each place of a line start modulo 4, so the work is linear.
+    An OpenSSH key without such a length ends with the block.
+    """
+    lines = [m.span() for m in re.finditer(r"[^\r\n]+", block)]
+    flat = "".join(block[a:b] for a, b in lines).rstrip("=")
+    starts = [0]
+    for a, b in lines:
+        starts.append(min(starts[-1] + b - a, len(flat)))
+    ends = {n: i for i, n in enumerate(starts) if i}
+    decoded: dict[int, memoryview] = {}
+    i = 0
+    while i < len(lines):
+        at = starts[i]
+        i += 1
+        if not flat.startswith(KEY_STARTS, at):
+            continue
+        if at % 4 not in decoded:
+            n = len(flat) - at % 4
+            decoded[at % 4] = memoryview(_b64(flat[at % 4 : len(flat) - (n % 4 == 1)]) or b"")
+        data = decoded[at % 4][at // 4 * 3 :]
+        cuts = [(size, ends[at - (-size * 4 // 3)]) for size in _sizes(data) if at - (-size * 4 // 3) in ends]
+        if data[:1] != b"0":
+            cuts.append((len(data), len(lines)))
+        for size, last in cuts:
+            if kind := _key_kind(data[:size]):
+                yield kind, lines[i - 1][0], lines[last - 1][1]
+                i = last
+                break
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as listed."""
     if not text:
@@ -140,22 +212,20 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if LONG_RUN.search(text):
         for m in BASE64.finditer(text):
-            if kind := _key_kind(_b64(m[0])):
+            if "\n" in m[0]:  # lines of text or other keys may precede or follow a key's own lines
+                out += [(kind, m.start() + a, m.start() + b) for kind, a, b in _block_keys(m[0])]
+            elif kind := _key_kind(_b64(m[0])):
                 out.append((kind, m.start(), m.end()))
-            elif "\n" in m[0]:  # lines of text may precede or follow the key's own lines
-                breaks = [0, *(x.end() for x in re.finditer(r"\r?\n", m[0])), len(m[0]) + 1]
-                tries = ((a, b) for a in range(min(3, len(breaks) - 1)) for b in range(len(breaks) - 1, max(a, len(breaks) - 4), -1))
-                for a, b in tries:
-                    part = m[0][breaks[a] : breaks[b]].rstrip("\r\n")
-                    if kind := _key_kind(_b64(part)):
-                        at = m.start() + breaks[a]
-                        out.append((kind, at, at + len(part)))
-                        break
         for m in ANY_HEX.finditer(text):
             if kind := _key_kind(bytes.fromhex(m[0])):
                 out.append((kind, m.start(), m.end()))
-    if "." in text and "ey" in text:
-        out += [("signed_token", m.start(), m.end()) for m in SIGNED.finditer(text) if m[1].startswith("e") and is_token_header(m[1])]
+    if "." in text and ("ey" in text or "ew" in text):
+        at = 0
+        while m := SIGNED.search(text, at):
+            header = is_token_header(m[1])
+            if header:
+                out.append(("signed_token", m.start(), m.end()))
+            at = m.end(0 if header else 1)
     return sorted(out, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 

@@ -1,11 +1,16 @@
 """Cases in which an operator once did less than its whole job."""
 
+import base64
+
+import numpy as np
+
 import corpus_pipeline
-from tapeglass.llm import jaccard, queries
+from tapeglass.llm import jaccard, queries, secrets
 from tests.conftest import DATA
 
 from . import brute
 from .conftest import prose
+from .test_scans import der
 
 
 def test_rows_without_an_id_join_their_group(spark):
@@ -32,3 +37,31 @@ def test_stages_remove_rows_without_an_id(spark):
     assert got.columns == docs.columns and order(got) == want([(4, a), (None, b), (6, c), *far, (None, item), (None, None), (None, None), (None, "")])
     got = stage["decontaminate"](spark, docs, DATA)
     assert got.columns == docs.columns and order(got) == want([r for r in rows if not (r[1] or "").endswith(item)])
+
+
+def test_every_key_of_a_base64_block():
+    rng = np.random.default_rng(8)
+    b64 = lambda b: base64.b64encode(b).decode().rstrip("=")
+    counted = lambda *x: b"".join(len(b).to_bytes(4, "big") + b for b in x)
+    spki = lambda n: der(0x30, der(0x30, der(6, rng.bytes(9)) + b"\5\0") + der(3, b"\0" + rng.bytes(n)))
+    pkcs8 = lambda: der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, rng.bytes(32))))
+    ssh = lambda: counted(b"ssh-ed25519", rng.bytes(32))
+    private = secrets.SSH_MAGIC + counted(b"none", b"none", b"") + b"\0\0\0\1" + counted(rng.bytes(51), rng.bytes(136))
+    assert len(b64(pkcs8())) == 64
+    wrap = lambda s: "\n".join(s[i : i + 64] for i in range(0, len(s), 64))
+    for make, kind in ((lambda: spki(270), "der_key"), (pkcs8, "der_key"), (lambda: der(0x30, der(2, b"\1") + der(4, rng.bytes(32))), "der_key"), (ssh, "ssh_key"), (lambda: private, "ssh_key")):
+        for n in (1, 2, 5, 6, 40):
+            for shape in (str, wrap):
+                for before, after in (([], []), (["A" * 40], ["one", "word", "a", "line"]), (["Mr"] * 9, ["MA"] * 9)):
+                    keys = [shape(b64(make())) for _ in range(n)]
+                    text = "words!\n" + "\n".join([*before, *keys, *after]) + "\nend."
+                    assert [(k, text[a:b]) for k, a, b in secrets.spans(text)] == [(kind, k) for k in keys]
+                    text = text.replace("\n", "\r\n")
+                    assert [k for k, _, _ in secrets.spans(text)] == [kind] * n
+
+
+def test_token_headers_with_white_space():
+    token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{\n "alg": "HS256"}', b'[1, 2, 3]', b"\1" * 32))
+    assert "ey" not in token and [s[0] for s in secrets.spans(token)] == ["signed_token"]
+    at = len("download.")
+    assert secrets.spans("download." + token + ".") == [("signed_token", at, at + len(token))]
