@@ -5,7 +5,7 @@ automaton of it is built.  Prediction: a text is parsed greedily into the longes
 sample; phrases a symbol, times the bits that name a place in the sample, estimate the cross entropy.  The language with
 the fewest normalised phrases wins.
 
-The automata are one table of bounded size (``TRAIN_SYMBOLS`` a language).  Texts are parsed in blocks of ``BLOCK``
+The automata are tables of bounded size (``TRAIN_SYMBOLS`` a language) over all letters of the samples.  Texts are parsed in blocks of ``BLOCK``
 symbols, all blocks of a chunk in step, so a long text costs what its length says; a block's start costs every language
 the same one phrase.
 
@@ -29,8 +29,11 @@ from .kernel import chunks
 UNKNOWN = "und"
 #: The sample: at most this many labelled rows are fetched a language, and this many of their symbols used.
 TRAIN_ROWS, TRAIN_SYMBOLS = 96, 24_000
-#: At most this many languages (labels in use by most rows first) are learned, and this many letters told apart.
-MOST_LANGUAGES, MOST_LETTERS = 64, 62
+#: Letters (the most frequent first) whose transitions are in the dense table, and columns of it over all languages: the
+#: more languages, the fewer letters.  The transitions of all other letters are in a sorted one.
+DENSE_LETTERS, DENSE_COLUMNS = 62, 4096
+#: Letters are in the planes 0 to 3; the last code point of these is none and stands for all beyond.
+CODES = 0x40000
 BLOCK = 1024
 CHUNK = 1 << 20
 #: Bits a symbol beyond which a text is in none of the languages (letters at random take about 4.7).
@@ -38,16 +41,13 @@ MAX_SURPRISE = 4.5
 SPACE_SYMBOL, OTHER_SYMBOL = 0, 1
 
 
-def _letter_table() -> tuple[np.ndarray, np.ndarray]:
-    """For the basic plane: the lower-case form of each letter, 0 for what is no letter."""
-    lower = np.zeros(0x10000, np.uint16)
-    for c in range(0x10000):
-        if 0xD800 <= c < 0xE000:
-            continue
+def _letter_table() -> np.ndarray:
+    """The lower-case form of each letter, 0 for what is no letter."""
+    lower = np.zeros(CODES, np.uint32)
+    for c in range(CODES):
         if unicodedata.category(chr(c)).startswith("L"):
-            low = chr(c).lower()
-            lower[c] = ord(low[0]) if len(low) >= 1 and ord(low[0]) < 0x10000 else c
-    return lower, lower > 0
+            lower[c] = ord(chr(c).lower()[0])
+    return lower
 
 
 _tables: list[np.ndarray] = []
@@ -55,12 +55,12 @@ _tables: list[np.ndarray] = []
 
 def letters() -> np.ndarray:
     if not _tables:
-        _tables.append(_letter_table()[0])
+        _tables.append(_letter_table())
     return _tables[0]
 
 
 def decode(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points (the basic plane; others as 0xFFFF) of UTF-8 bytes, and the byte at which each starts."""
+    """Code points (from ``CODES`` on as the last one below) of UTF-8 bytes, and the byte at which each starts."""
     at = np.flatnonzero((buf & 0xC0) != 0x80)
     lead = buf[at].astype(np.uint32)
     code = lead.copy()
@@ -70,7 +70,9 @@ def decode(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         code[two] = ((lead[two] & 0x1F) << 6) | (padded[at[two] + 1] & 0x3F)
         three = np.flatnonzero((lead >= 0xE0) & (lead < 0xF0))
         code[three] = ((lead[three] & 0x0F) << 12) | ((padded[at[three] + 1] & 0x3F) << 6) | (padded[at[three] + 2] & 0x3F)
-        code[lead >= 0xF0] = 0xFFFF
+        four = np.flatnonzero(lead >= 0xF0)
+        long = ((lead[four] & 0x07) << 18) | ((padded[at[four] + 1] & 0x3F) << 12) | ((padded[at[four] + 2] & 0x3F) << 6) | (padded[at[four] + 3] & 0x3F)
+        code[four] = np.minimum(long, CODES - 1)
     return code, at
 
 
@@ -92,8 +94,13 @@ def normalised(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 @dataclass
 class Model:
     languages: list[str]
-    symbol: np.ndarray  # of each code point of the basic plane
-    step: np.ndarray  # (states * symbols): twice the next state, plus 1 where a phrase ends
+    symbol: np.ndarray  # of each code point
+    width: int  # of the dense table, which has the symbols below
+    step: np.ndarray  # (states * width): twice the next state, plus 1 where a phrase ends
+    keys: np.ndarray  # the other symbols' transitions: state * (number of symbols) + symbol, ascending
+    moves: np.ndarray  # and twice the next state
+    start: np.ndarray  # (languages, other symbols): where a phrase starts that begins with one
+    symbols: int
     roots: np.ndarray  # per language
     bits: np.ndarray  # per language: log2 of the sample's length
 
@@ -137,7 +144,7 @@ class Samples:
     def model(self) -> Model:
         if self not in _models:
             _models.clear()
-            _models[self] = tables({k: np.frombuffer(v, np.uint16) for k, v in self.coded})
+            _models[self] = tables({k: np.frombuffer(v, np.uint32) for k, v in self.coded})
         return _models[self]
 
 
@@ -154,41 +161,55 @@ def build(samples: dict[str, list[str]], train_symbols: int = TRAIN_SYMBOLS) ->
             parts.append(normalised(raw, np.array([0, len(raw)]))[0])
             if sum(map(len, parts)) >= train_symbols:
                 break
-        coded[lang] = np.concatenate(parts)[:train_symbols] if parts else np.zeros(0, np.uint16)
-    return Samples(tuple((k, v.astype(np.uint16).tobytes()) for k, v in coded.items() if len(v)))
+        coded[lang] = np.concatenate(parts)[:train_symbols] if parts else np.zeros(0, np.uint32)
+    return Samples(tuple((k, v.astype(np.uint32).tobytes()) for k, v in coded.items() if len(v)))
 
 
 def tables(coded: dict[str, np.ndarray]) -> Model:
-    """One table of the automata of all languages."""
-    symbol = np.full(0x10000, OTHER_SYMBOL, np.int64)
+    """One pair of tables, dense and sorted, of the automata of all languages."""
+    symbol = np.full(CODES, OTHER_SYMBOL, np.int32)
     symbol[0] = SPACE_SYMBOL
+    symbols = 2
     if coded:
         found, counts = np.unique(np.concatenate(list(coded.values())), return_counts=True)
         found, counts = found[found > 0], counts[found > 0]
-        for i, c in enumerate(found[np.argsort(-counts, kind="stable")][:MOST_LETTERS]):
-            symbol[c] = 2 + i
-    width = 2 + MOST_LETTERS
-    tables, roots = [], []
+        symbol[found[np.argsort(-counts, kind="stable")]] = 2 + np.arange(len(found))
+        symbols += len(found)
+    width = min(symbols, 2 + min(DENSE_LETTERS, DENSE_COLUMNS // max(len(coded), 1)))
+    tables, roots, keys, to_states = [], [], [], []
+    first = np.zeros((len(coded), symbols - width), np.int32)
     base = 0
-    for v in coded.values():
+    for nth, v in enumerate(coded.values()):
         steps = automaton(symbol[v].tolist())
         # What cannot go on ends a phrase: the next one starts with this symbol, from the root.  A symbol that the sample
         # lacks is a phrase by itself: its state (the last one) has no way on at all.
-        start = np.full(width, 2 * (base + len(steps)) + 1, np.int32)
+        start = np.full(symbols, 2 * (base + len(steps)) + 1, np.int32)
         for s, to in steps[0].items():
-            if s != OTHER_SYMBOL:
-                start[s] = 2 * (base + to) + 1
-        table = np.tile(start, (len(steps) + 1, 1))
+            start[s] = 2 * (base + to) + 1
+        first[nth] = start[width:]
+        table = np.tile(start[:width], (len(steps) + 1, 1))
         table[0] -= 1  # at a block's start no phrase is open
         for i, moves in enumerate(steps):
             for s, to in moves.items():
-                if s != OTHER_SYMBOL:
+                if s < width:
                     table[i, s] = 2 * (base + to)
+                else:
+                    keys.append((base + i) * symbols + s)
+                    to_states.append(2 * (base + to))
         tables.append(table)
         roots.append(base)
         base += len(steps) + 1
     step = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-    return Model(list(coded), symbol.astype(np.uint8), step, np.array(roots, np.int32), np.array([np.log2(len(v) + 2) for v in coded.values()]))
+    order = np.argsort(np.array(keys, np.int64), kind="stable")
+    bits = np.array([np.log2(len(v) + 2) for v in coded.values()])
+    return Model(list(coded), symbol, width, step, np.array(keys, np.int64)[order], np.array(to_states, np.int32)[order], first, symbols, np.array(roots, np.int32), bits)
+
+
+def _rare_steps(model: Model, state: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The steps from states (texts, languages) by symbols that the dense table does not have."""
+    key = state.astype(np.int64) * model.symbols + s[:, None]
+    at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
+    return np.where(model.keys[at] == key, model.moves[at], model.start[:, s - model.width].T - (state == model.roots))
 
 
 def entropies(model: Model, buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,15 +228,19 @@ def entropies(model: Model, buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarr
     length = np.minimum(BLOCK, at[1:][owner] - start)
     order = np.argsort(-length, kind="stable")
     start, length, owner = start[order], length[order], owner[order]
-    width = 2 + MOST_LETTERS
+    width = model.width
+    rare = codes >= width
+    near = np.where(rare, OTHER_SYMBOL, codes) if rare.any() else codes
     state = np.tile(model.roots, (len(start), 1)) * 2
     phrases = np.zeros((len(start), langs), np.int32)
     longest = int(length[0]) if len(length) else 0
     alive = np.searchsorted(-length, -np.arange(longest), "left")  # blocks longer than i
     for i in range(longest):
         m = alive[i]
-        s = codes[start[:m] + i]
+        s = near[start[:m] + i]
         here = model.step[(state[:m] >> 1) * width + s[:, None]]
+        if near is not codes and len(other := np.flatnonzero(rare[start[:m] + i])):
+            here[other] = _rare_steps(model, state[other] >> 1, codes[start[other] + i])
         phrases[:m] += here & 1
         state[:m] = here
     total = np.zeros((n, langs))
@@ -240,24 +265,30 @@ def decide(model: Model, buf: np.ndarray, cuts: np.ndarray) -> tuple[list[str],
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_rows: int = TRAIN_ROWS, train_symbols: int = TRAIN_SYMBOLS) -> Samples:
     """Samples from labelled rows: of each language, those ``train_rows`` whose ``key`` has the least hash.
 
-    Two passes: the first reads labels and keys only and finds a threshold for each language (the window keeps
-    ``train_rows`` a language before its shuffle); the second fetches the few texts under the thresholds.
+    Every label is learned.  Two passes: the first reads labels and keys only and finds a threshold for each language (the
+    window keeps ``train_rows`` a language before its shuffle); the second fetches the few texts under the thresholds.
     """
     from pyspark.sql import Window
 
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(key), F.lit(17)).alias("h"), F.col(text).cast("string").alias("t"))
-    langs = [r["l"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()]
     w = Window.partitionBy("l").orderBy("h")
-    top = rows.where(F.col("l").isin(langs)).select("l", "h").withColumn("r", F.row_number().over(w)).where(F.col("r") <= train_rows) if langs else None
-    limits = {r["l"]: r["m"] for r in top.groupBy("l").agg(F.max("h").alias("m")).collect()} if top is not None else {}
-    wanted = F.lit(False)
-    for name, limit in limits.items():
-        wanted = wanted | ((F.col("l") == name) & (F.col("h") <= limit))
-    samples: dict[str, list[tuple[int, str]]] = {}
-    budget = 8 * train_symbols
-    for r in rows.where(wanted).select("l", "h", F.substring("t", 1, budget).alias("t")).collect() if limits else []:
-        samples.setdefault(r["l"], []).append((r["h"], r["t"]))
-    return build({k: [t for _, t in sorted(set(v))[:train_rows]] for k, v in samples.items()}, train_symbols)
+    top = rows.select("l", "h").withColumn("r", F.row_number().over(w)).where(F.col("r") <= train_rows)
+    limits = [(r["l"], r["m"]) for r in top.groupBy("l").agg(F.max("h").alias("m")).collect()]
+    if not limits:
+        return build({}, train_symbols)
+    wanted = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(limits, "l string, m long")), "l").where("h <= m")
+    # Texts arrive language by language, and only what a language's sample needs is held.
+    samples: dict[str, list[str]] = {}
+    taken, had = 0, None
+    for r in wanted.select("l", "h", F.substring("t", 1, 8 * train_symbols).alias("t")).distinct().orderBy("l", "h", "t").toLocalIterator():
+        if r["l"] != had:
+            taken, had = 0, r["l"]
+        own = samples.setdefault(had, [])
+        if len(own) < train_rows and taken < train_symbols:
+            own.append(r["t"])
+            raw = np.frombuffer(r["t"].encode(), np.uint8)
+            taken += len(normalised(raw, np.array([0, len(raw)]))[0])
+    return build(samples, train_symbols)
 
 
 def predict(docs: DataFrame, model: Samples, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

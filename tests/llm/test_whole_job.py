@@ -5,12 +5,12 @@ import base64
 import numpy as np
 
 import corpus_pipeline
-from tapeglass.llm import jaccard, queries, secrets
+from tapeglass.llm import jaccard, language, queries, secrets
 from tests.conftest import DATA
 
 from . import brute
 from .conftest import prose
-from .test_scans import der
+from .test_scans import der, plain_phrases, symbols
 
 
 def test_rows_without_an_id_join_their_group(spark):
@@ -65,3 +65,29 @@ def test_token_headers_with_white_space():
     assert "ey" not in token and [s[0] for s in secrets.spans(token)] == ["signed_token"]
     at = len("download.")
     assert secrets.spans("download." + token + ".") == [("signed_token", at, at + len(token))]
+
+
+def scripts(first, n, seed):
+    """A text of words over so many letters from a code point on."""
+    r = np.random.default_rng(seed)
+    vocabulary = ["".join(map(chr, first + np.random.default_rng(first + i).integers(0, n, 3))) for i in range(80)]
+    return " ".join(r.choice(vocabulary, 200))
+
+
+def test_languages_of_many_letters_and_labels(spark):
+    starts = {"zh": 0x4E00, "ko": 0xAC00, "xa": 0x20000, "xb": 0x20800, "ru": 0x430, "el": 0x3B1, "en": 0x61}
+    samples = {k: [scripts(c, 700 if c > 0x3000 else 17, s) for s in range(3)] for k, c in starts.items()}
+    model = language.build(samples).model()
+    raw = [np.frombuffer(scripts(c, 700 if c > 0x3000 else 17, 99).encode(), np.uint8) for c in starts.values()]
+    cuts = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    langs, _, surprise = language.decide(model, np.concatenate(raw), cuts)
+    assert langs == list(starts) and (surprise < language.MAX_SURPRISE).all()
+    _, plain, _ = language.entropies(model, np.concatenate(raw), cuts)
+    for t, c in enumerate(starts.values()):
+        text = symbols(scripts(c, 700 if c > 0x3000 else 17, 99))
+        for i, k in enumerate(model.languages):
+            want = plain_phrases("".join(symbols(x) for x in samples[k])[:24_000], text)
+            assert round(plain[t, i] * len(text) / model.bits[i]) == want
+    rows = [(i, f"l{i:03}", " ".join(prose(40, i)) + chr(0x4E00 + i) * 9) for i in range(70)]
+    got = language.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert [k for k, _ in got.coded] == [k for _, k, _ in rows] and len(got.model().languages) == 70
