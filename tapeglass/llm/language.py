@@ -36,8 +36,9 @@ DENSE_LETTERS, DENSE_COLUMNS = 62, 4096
 CODES = 0x40000
 BLOCK = 1024
 CHUNK = 1 << 20
-#: Bits a symbol beyond which a text is in none of the languages (letters at random take about 4.7).
-MAX_SURPRISE = 4.5
+#: Bits a symbol beyond which a text may be in none of the languages; it is rejected only if all its symbols together are so
+#: many bits beyond, and it is nearly as surprising (by this share) as its own letters in random order.
+MAX_SURPRISE, EVIDENCE, RANDOM_SHARE = 4.5, 128, 0.9
 SPACE_SYMBOL, OTHER_SYMBOL = 0, 1
 
 
@@ -308,6 +309,27 @@ def predict(docs: DataFrame, model: Samples, text: str = "text", keep: tuple[str
     return rows.mapInArrow(run, schema)
 
 
+def familiar(model: Model, buf: np.ndarray, cuts: np.ndarray, max_surprise: float = MAX_SURPRISE) -> np.ndarray:
+    """Which texts have letters and are not as surprising as their letters at random; without languages, all with letters."""
+    low, at = normalised(buf, cuts)
+    counts = np.zeros(len(low) + 1, np.int64)
+    np.cumsum(low > 0, out=counts[1:])
+    keep = counts[at[1:]] > counts[at[:-1]]
+    if not model.languages:
+        return keep
+    _, _, surprise = decide(model, buf, cuts)
+    suspects = np.flatnonzero(keep & ((surprise - max_surprise) * np.diff(at) > EVIDENCE))
+    if len(suspects):
+        mixed = []
+        for i in suspects:
+            own = low[at[i] : at[i + 1]].copy()
+            own[own > 0] = np.random.default_rng(len(own)).permutation(own[own > 0])  # words keep their lengths
+            mixed.append(np.frombuffer("".join(chr(c or 32) for c in own.tolist()).encode(), np.uint8))
+        _, _, random = decide(model, np.concatenate(mixed), np.concatenate([[0], np.cumsum([len(m) for m in mixed])]))
+        keep[suspects] = surprise[suspects] < RANDOM_SHARE * random
+    return keep
+
+
 def accepted(docs: DataFrame, model: Samples, text: str = "text", max_surprise: float = MAX_SURPRISE) -> DataFrame:
     """The rows of ``docs`` whose text has letters and is not as surprising as letters at random in every language."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -317,8 +339,6 @@ def accepted(docs: DataFrame, model: Samples, text: str = "text", max_surprise:
         own = sent.value.model()
         for batch in batches:
             for c in chunks(batch.column(at), CHUNK):
-                langs, _, surprise = decide(own, c.buf, c.cuts)
-                keep = (np.array(langs, object) != UNKNOWN) & (surprise <= max_surprise)
-                yield batch.slice(c.first, c.n).filter(pa.array(keep))
+                yield batch.slice(c.first, c.n).filter(pa.array(familiar(own, c.buf, c.cuts, max_surprise)))
 
     return docs.mapInArrow(run, docs.schema)

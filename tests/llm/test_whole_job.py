@@ -91,3 +91,14 @@ def test_languages_of_many_letters_and_labels(spark):
     rows = [(i, f"l{i:03}", " ".join(prose(40, i)) + chr(0x4E00 + i) * 9) for i in range(70)]
     got = language.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
     assert [k for k, _ in got.coded] == [k for _, k, _ in rows] and len(got.model().languages) == 70
+
+
+def test_only_evidence_rejects_a_text(spark):
+    model = language.build({"en": [" ".join(prose(2000, 1))], "xx": ["zig zag zug zog " * 400]})
+    key = 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" '
+    r = np.random.default_rng(5)
+    noise = "".join(r.choice([*"abcdefghijklmnopqrstuvwxyz    "], 300))
+    texts = [key + "the green house", "Kowalczyk", "Zbigniew Brzeziński", "B.\nquay", noise, "123", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {x["doc_id"] for x in language.accepted(docs, model).collect()} == {0, 1, 2, 3}
+    assert {x["doc_id"] for x in language.accepted(docs, language.build({})).collect()} == {0, 1, 2, 3, 4}
