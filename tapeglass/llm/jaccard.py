@@ -1,28 +1,36 @@
 """Exact n-gram Jaccard join and its components, by skipping over set relations.
 
-A document's set is its distinct shingles.  Equal sets are one class with the smallest id as its representative.  For
-representatives there is an index of lists: hashing deals a set's shingles over p positions (p by size group: one more than
-two linked sets of these sizes can differ in, plus ``SPARE``), and a list holds the sets whose whole block of shingles at
-one position is equal.  Two linked sets share a block, so all others are skipped block by block without being read.
+A document's set is its distinct shingles, each told apart by two independent 64-bit hashes.  Equal sets are one class.
+Two indexes lead to the pairs that may be linked.
 
-Within a list the set with the smallest id is the hub.  Every other set is compared with its hub once, in full, and from
-then on stands for itself by its difference from the hub: with d shingles of the hub missing and i others added,
+* Index of blocks.  Hashing deals a set's shingles over p positions (p by size group: one more than two linked sets of
+  these sizes can differ in, plus a spare for positions that stay empty), and a list holds the classes whose whole block of
+  shingles at one position is equal.  Two linked sets share a block, so sets that share none are never read.  The class
+  with the least fingerprint is a list's hub.
+* Index of differences.  A set is compared with its hub once, in full, and from then on stands for itself by its
+  difference from it: with d shingles of the hub missing and i others added,
 
     A and B are linked  <=>  (den - num) * |H| + (den + num) * s >= cost(A) + cost(B),    cost = den * d + num * i,
 
-s being the shingles that both differences share.  Answers among the sets around a hub are thus derived from their answers
-to the hub: sets linked to the hub need no comparison with each other, and a set that is not must share at least
-(cost - (den - num) * |H|) / den shingles of its difference with a partner, which a prefix index over the differences
-finds.  No pairs of a group are spelled out; hubs with many sets are dealt over salts and blocks.
+  s being the shingles that both differences share.  So answers among the sets around a hub are derived from their
+  answers to the hub: sets linked to the hub need no comparison with each other; for a set that is not, inverted lists
+  over the prefixes of the differences are read.  A list is kept in blocks by how many shingles follow an entry's
+  position in its difference (and by cost); a block whose position leaves too few shingles in common is skipped whole.
+
+A class is compared with one hub first, that with which it shares most lists.  Lists whose classes are then in one
+component, or were all compared around one hub, are settled; classes go to further hubs only for the other lists.  No
+pairs of a group are spelled out; hubs with many sets are dealt over salts and blocks.
 
 Cases: a null or empty text has an empty set and is its own component; a text of fewer words than a shingle has one
-shingle, its whole sequence; repeated rows are one document; of different texts under one id, links are sought for the one
-with the least fingerprint; each text without an id is a document of its own, and never names a component that has an id
-(a component without any id is null); an empty table gives no rows; columns other than those named are not read.
+shingle, its whole sequence; where ids are null or repeated, each row is a document of its own (so rows that share an id
+but not a text are linked each by its own text); a row without an id never names a component that has one (a component
+without any id is null); an empty table gives no rows; columns other than those named are not read.  A text is held whole
+while its shingles are hashed (some 60 bytes a byte of it).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,14 +39,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Chunk, U, chunks, mix, window_hashes, windows_inside
-from .shared import Scratch, components, key_filter, offered, passes, written
+from .kernel import BYTE2, Chunk, U, chunks, mix, window_hashes, windows_inside
+from .shared import Scratch, components, identified, key_filter, offered, passes, written
 from .textstats import tagged
 
-WORDS, NUM, DEN, SPARE = 3, 90, 100, 2
+WORDS, NUM, DEN = 3, 90, 100
 #: Sets of one hub that one task compares, and that one block of differences indexes.
 SALT_SETS, BLOCK_SETS = 2000, 4000
-LOW48 = U((1 << 48) - 1)
+#: Shingles behind an entry's position that one block of an inverted list spans.
+BLOCK_POSITIONS = 4
+#: The share of sets, at most, that have more empty positions than are spare (those have them indexed, too).
+MANY_EMPTY = 1e-6
+#: Fingerprints that a task remembers, so that it indexes a copy once.
+REMEMBERED = 1 << 20
+
+
+def spare_positions(differ: int, n: int) -> int:
+    """The least spare such that a set of n shingles rarely has more empty ones of differ + 1 + spare positions."""
+    for spare in range(n + differ + 2):
+        p, k = differ + 1 + spare, spare + 1
+        if k >= p:
+            return spare
+        most = math.lgamma(p + 1) - math.lgamma(k + 1) - math.lgamma(p - k + 1) + n * math.log1p(-k / p)
+        if most <= math.log(MANY_EMPTY):
+            return spare
+    return n
 
 
 class Sizes:
@@ -55,35 +80,60 @@ class Sizes:
         self.low = np.array(low)
         high = np.array([*high, high[-1] * den // num])
         self.differ = (high[:-1] + high[1:]) * (den - num) // (den + num)  # most by which two linked sets differ
-        self.positions = np.where(self.differ > 0, self.differ + 1 + SPARE, 0)
+        self._spare: dict[int, int] = {}
 
     def groups(self, n: np.ndarray) -> list[np.ndarray]:
         k = np.searchsorted(self.low, n, "right") - 1
         return [k, np.maximum(k - 1, 0)]
 
+    def spare(self, group: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(group), np.int64)
+        for g in np.unique(group).tolist():
+            if g not in self._spare:
+                self._spare[g] = spare_positions(int(self.differ[g]), int(self.low[g])) if self.differ[g] else 0
+            out[group == g] = self._spare[g]
+        return out
+
+    def positions(self, group: np.ndarray) -> np.ndarray:
+        return np.where(self.differ[group] > 0, self.differ[group] + 1 + self.spare(group), 0)
+
+
+_sizes: dict[tuple[int, int], Sizes] = {}
+
 
-def shingle_sets(c: Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles (48 bits, ascending) of each text, and the texts' offsets among them."""
+def sizes_of(num: int, den: int) -> Sizes:
+    return _sizes.setdefault((num, den), Sizes(num, den))
+
+
+def shingle_sets(c: Chunk, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text (a hash, by which they ascend, and an independent one) and the texts' offsets."""
     _, _, cuts = c.words()
     n = np.diff(cuts)
-    hashes = c.hashes(lower=True)
+    both = c.hashes(lower=True), c.hashes(lower=True, byte=BYTE2)
     owner = c.owner(n)
-    found, of = [], []
+    found, again, of = [], [], []
     for k in range(1, words + 1):
         which = (n >= words) if k == words else (n == k)
         if not which.any():
             continue
         at = np.flatnonzero(windows_inside(cuts, k))
         at = at[which[owner[at]]]
-        found.append(window_hashes(hashes, k)[at])
+        found.append(window_hashes(both[0], k)[at])
+        again.append(window_hashes(both[1], k)[at])
         of.append(owner[at])
     if not found:
-        return np.zeros(0, U), np.zeros(c.n + 1, np.int64)
-    keys = np.sort(tagged(np.concatenate(of), np.concatenate(found)))
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    keys = keys[new]
-    return keys & LOW48, np.searchsorted(keys, np.arange(c.n + 1).astype(U) << U(48))
+        return np.zeros(0, U), np.zeros(0, U), np.zeros(c.n + 1, np.int64)
+    h1, h2, of = np.concatenate(found), np.concatenate(again), np.concatenate(of)
+    keys = tagged(of, h1)
+    order = np.argsort(keys)
+    near = keys[order[1:]] == keys[order[:-1]]
+    h1, h2, of = h1[order], h2[order], of[order]
+    if (near & ((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))).any():  # shingles that differ beyond the first 48 bits only
+        order = np.lexsort((h2, h1, of))
+        h1, h2, of = h1[order], h2[order], of[order]
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (of[1:] != of[:-1])
+    return h1[new], h2[new], np.searchsorted(of[new], np.arange(c.n + 1))
 
 
 def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -92,22 +142,16 @@ def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return total[cuts[1:]] - total[cuts[:-1]]
 
 
-def _ids(batch: pa.RecordBatch, c: Chunk) -> np.ndarray:
-    return batch.column(0).slice(c.first, c.n).to_numpy(zero_copy_only=False)
-
-
-def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc, text and whether the id is null: then a 64-bit hash of the text stands for it."""
-    own, body = F.col(doc_id).cast("long"), F.col(text).cast("string")
-    return docs.select(F.coalesce(own, F.xxhash64(F.lit(61), body)).alias("doc"), body.alias("text"), own.isNull().alias("none"))
+def _long(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
 
 def _prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
-                sets, cuts = shingle_sets(c, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), batch.column(2).slice(c.first, c.n), pa.array(np.diff(cuts)), *(pa.array(_sums(mix(sets, salt), cuts).view(np.int64)) for salt in (21, 22))], names=["doc", "none", "n", "f1", "f2"])
+                h1, h2, cuts = shingle_sets(c, words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(np.diff(cuts)), _long(_sums(mix(h1, 21), cuts)), _long(_sums(mix(h2, 22), cuts))], names=["doc", "n", "f1", "f2"])
 
     return run
 
@@ -115,18 +159,16 @@ def _prints(words: int):
 def blocks_of(sets: np.ndarray, cuts: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
     """(text, key) of every list that a set is on.
 
-    Empty blocks are left out unless a set has more than ``SPARE`` of them: two linked sets that agree in empty blocks
+    Empty blocks are left out unless a set has more of them than are spare: two linked sets that agree in empty blocks
     only would both have more.
     """
     n = np.diff(cuts)
     owner = np.repeat(np.arange(len(n)), n)
     place, value = mix(sets, 31), mix(sets, 32)
     texts, keys = [], []
-    for g in dict.fromkeys(("own", "below")):
-        group = sizes.groups(n)[0 if g == "own" else 1]
-        p = np.where(n > 0, sizes.positions[group], 0)
-        if g == "below":
-            p = np.where(group == sizes.groups(n)[0], 0, p)
+    own, below = sizes.groups(n)
+    for group, of in ((own, n > 0), (below, (n > 0) & (below != own))):
+        p = np.where(of, sizes.positions(group), 0)
         if not p.any():
             continue
         base = np.cumsum(p) - p
@@ -137,68 +179,50 @@ def blocks_of(sets: np.ndarray, cuts: np.ndarray, sizes: Sizes) -> tuple[np.ndar
         full = np.bincount(cell, minlength=len(total)) > 0
         text = np.repeat(np.arange(len(n)), p)
         empty = np.bincount(text[~full], minlength=len(n))
-        keep = full | (empty > SPARE)[text]
+        keep = full | (empty > sizes.spare(group))[text]
         position = np.arange(len(total)) - base[text]
-        key = mix(total + mix((group[text] * (1 << 32) + position).astype(U), 33), 34)
         texts.append(text[keep])
-        keys.append(key[keep])
+        keys.append(mix(total + mix((group[text] * (1 << 32) + position).astype(U), 33), 34)[keep])
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, U)
     return np.concatenate(texts), np.concatenate(keys)
 
 
 def _index(words: int, num: int, den: int, filter_=None):
+    """(key, print) of the lists of every text; a task leaves out copies of sets that it had."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(num, den)
+        sizes = sizes_of(num, den)
         bits = None if filter_ is None else filter_.value
+        had: set[int] = set()
         for batch in batches:
-            for c in chunks(batch.column(1)):
-                text, key = blocks_of(*shingle_sets(c, words), sizes)
-                if bits is not None:
-                    seen = passes(bits, key)
-                    text, key = text[seen], key[seen]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(_ids(batch, c)[text])], names=["key", "doc"])
+            for c in chunks(batch.column(0)):
+                h1, _, cuts = shingle_sets(c, words)
+                prints = _sums(mix(h1, 21), cuts)
+                new = np.zeros(c.n, bool)
+                for i, f in enumerate(prints.tolist()):
+                    if f not in had:
+                        had.add(f)
+                        new[i] = True
+                if len(had) > REMEMBERED:
+                    had.clear()
+                text, key = blocks_of(h1, cuts, sizes)
+                keep = new[text] if bits is None else new[text] & passes(bits, key)
+                yield pa.RecordBatch.from_arrays([_long(key[keep]), _long(prints[text[keep]])], names=["key", "print"])
 
     return run
 
 
-def _packed6(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpacked6(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(U)
+#: A shingle of a difference: its two hashes.
+TOKEN = 16
 
 
-CONTENT = "hub long, salt int, kind int, doc long, body binary"
+def _packed(h1: np.ndarray, h2: np.ndarray) -> bytes:
+    return np.stack([h1, h2], axis=1).astype("<u8").tobytes()
 
 
-def _contents(words: int):
-    """Rows (hub, salt, kind, doc, body): a hub's set for every salt, a member's set for each of its hubs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in chunks(batch.column(1)):
-                sets, cuts = shingle_sets(c, words)
-                ids = _ids(batch, c).tolist()
-                hubs = batch.column(2).slice(c.first, c.n).to_pylist()
-                salts = batch.column(3).slice(c.first, c.n).to_pylist()
-                rows: list[tuple] = []
-                size = 0
-                for i in range(c.n):
-                    body = _packed6(sets[cuts[i] : cuts[i + 1]])
-                    for h, s, k in chain(((ids[i], s, 0) for s in range(salts[i] or 0)), ((e["hub"], e["salt"], 1) for e in hubs[i] or ())):
-                        rows.append((h, s, k, ids[i], body))
-                        size += len(body)
-                        if size > 1 << 23:
-                            yield _batch(rows, CONTENT)
-                            rows, size = [], 0
-                if rows:
-                    yield _batch(rows, CONTENT)
-
-    return run
+def _tokens(data: bytes) -> list[bytes]:
+    return [data[i : i + TOKEN] for i in range(0, len(data), TOKEN)]
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -212,39 +236,78 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 DELTA = "hub long, doc long, size long, cost long, gone binary, added binary"
 
 
-def _compare(num: int, den: int):
-    """Streams sorted (hub, salt, kind, doc): the hub's set comes first, then each member's; one set is held at a time."""
+def _compare(words: int, num: int, den: int):
+    """Streams sorted (hub, salt, kind, doc): the hub's text comes first, then each member's; one set is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub = None, None
         for batch in batches:
-            rows, size = [], 0
-            for h, s, kind, doc, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if kind == 0:
-                    at, hub = (h, s), _unpacked6(body)
-                    continue
-                if at != (h, s):
-                    raise ValueError(f"no set of hub {h}")
-                own = _unpacked6(body)
-                both = np.concatenate([hub, own])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                d, i = len(hub) - inter, len(own) - inter
-                cost = den * d + num * i
-                gone = added = b""
-                if d + i:
-                    gone, added = _packed6(np.setdiff1d(hub, own, True)), _packed6(np.setdiff1d(own, hub, True))
-                rows.append((h, doc, len(hub), cost, gone, added))
-                size += len(gone) + len(added)
-                if size > 1 << 23:
+            heads = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+            for c in chunks(batch.column(4)):
+                h1, h2, cuts = shingle_sets(c, words)
+                rows = []
+                for i, (h, s, kind, doc) in enumerate(heads[c.first : c.first + c.n]):
+                    own = slice(cuts[i], cuts[i + 1])
+                    if kind == 0:
+                        at, hub = (h, s), (h1[own], h2[own])
+                        continue
+                    if at != (h, s):
+                        raise ValueError(f"no set of hub {h}")
+                    place = np.minimum(np.searchsorted(hub[0], h1[own]), len(hub[0]) - 1)
+                    both = (hub[0][place] == h1[own]) & (hub[1][place] == h2[own])
+                    missing = np.ones(len(hub[0]), bool)
+                    missing[place[both]] = False
+                    inter = int(both.sum())
+                    cost = den * (len(hub[0]) - inter) + num * (len(both) - inter)
+                    rows.append((h, doc, len(hub[0]), cost, _packed(hub[0][missing], hub[1][missing]), _packed(h1[own][~both], h2[own][~both])))
+                if rows:
                     yield _batch(rows, DELTA)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows, DELTA)
 
     return run
 
 
+class Lists:
+    """Inverted lists over the prefixes of differences, in blocks by the shingles that follow an entry's position.
+
+    Of two differences whose first common shingle is at positions i and j, at most min(len - i, len - j) are shared; so a
+    block all of whose entries leave too few, given the least cost among them, is skipped.
+    """
+
+    def __init__(self, slack: int, num: int, den: int):
+        self.slack, self.both, self.den = slack, den + num, den
+        self.lists: dict[bytes, dict[int, list]] = {}
+        self.read = self.skipped = 0
+
+    def prefix(self, tokens: list[bytes], cost: int) -> list[bytes]:
+        need = -(-(cost - self.slack) // self.den)
+        return tokens[: len(tokens) - need + 1] if need > 0 else tokens
+
+    def add(self, member: int, tokens: list[bytes], cost: int) -> None:
+        for i, x in enumerate(self.prefix(tokens, cost)):
+            left = (len(tokens) - i) // BLOCK_POSITIONS
+            block = self.lists.setdefault(x, {}).get(left)
+            if block is None:
+                self.lists[x][left] = [cost, [member]]
+            else:
+                block[0] = min(block[0], cost)
+                block[1].append(member)
+
+    def candidates(self, tokens: list[bytes], cost: int) -> Iterator[int]:
+        tried: set[int] = set()
+        for i, x in enumerate(self.prefix(tokens, cost)):
+            left = len(tokens) - i
+            for blocks, (least, members) in self.lists.get(x, {}).items():
+                most = min(left, (blocks + 1) * BLOCK_POSITIONS - 1)
+                if self.slack + self.both * most < cost + least:
+                    self.skipped += 1
+                    continue
+                self.read += 1
+                for m in members:
+                    if m not in tried:
+                        tried.add(m)
+                        yield m
+
+
 def linked_around(members: list[tuple[int, int, int, bytes, bytes]], probes: list[tuple[int, int, int, bytes, bytes]], num: int, den: int) -> list[tuple[int, int]]:
     """Links (reduced to a forest) that members of one hub have among each other or with probes, besides those by the hub.
 
@@ -261,47 +324,29 @@ def linked_around(members: list[tuple[int, int, int, bytes, bytes]], probes: lis
         return x
 
     hub = -(1 << 62)
-    differences, costs = [], []
-    lists: dict[int, list[int]] = {}
-
-    def tokens(row) -> list[int]:  # added ones first, each part ascending: an order that all share
-        return _unpacked6(row[4]).tolist() + _unpacked6(row[3]).tolist()
-
-    def prefix(t: list[int], cost: int) -> list[int]:
-        need = -(-(cost - slack) // den)
-        return t[: len(t) - need + 1] if need > 0 else t
-
+    lists = Lists(slack, num, den)
+    differences = []
     for i, row in enumerate(members):
-        t = tokens(row)
+        t = _tokens(row[4]) + _tokens(row[3])  # added ones first, each part in order of hashes: an order that all share
         differences.append(frozenset(t))
-        costs.append(row[2])
-        for x in prefix(t, row[2]):
-            lists.setdefault(x, []).append(i)
+        lists.add(i, t, row[2])
         if row[2] <= slack:
             parent[row[0]] = hub
             parent.setdefault(hub, hub)
     out = []
     for row in chain((m for m in members if m[2] > slack), probes):
-        t = tokens(row)
+        t = _tokens(row[4]) + _tokens(row[3])
         own = frozenset(t)
-        tried = set()
-        for x in prefix(t, row[2]):
-            for i in lists.get(x, ()):
-                if i in tried:
-                    continue
-                tried.add(i)
-                other = members[i][0]
-                if other == row[0] or root(other) == root(row[0]):
-                    continue
-                if slack + (den + num) * len(own & differences[i]) >= row[2] + costs[i]:
-                    parent[root(row[0])] = root(other)
-                    out.append((row[0], other))
+        for i in lists.candidates(t, row[2]):
+            other = members[i][0]
+            if other == row[0] or root(other) == root(row[0]):
+                continue
+            if slack + (den + num) * len(own & differences[i]) >= row[2] + members[i][2]:
+                parent[root(row[0])] = root(other)
+                out.append((row[0], other))
     return out
 
 
-AROUND = "hub long, block int, kind int, doc long, size long, cost long, gone binary, added binary"
-
-
 def _around(num: int, den: int):
     """Streams sorted (hub, block, kind, doc): a block's members are held (at most about ``BLOCK_SETS``), probes pass by."""
 
@@ -326,39 +371,66 @@ def _around(num: int, den: int):
     return run
 
 
-def links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(a, b): links between representatives that connect all that are linked.  ``reps`` (written): doc."""
-    spark = docs.sparkSession
+def links_by_hubs(rows: DataFrame, pairs: DataFrame, words: int, num: int, den: int, tmp: Scratch) -> DataFrame:
+    """(a, b): links of the sets in ``pairs`` (written: doc, hub) with their hubs and with each other around a hub.
+
+    A text crosses the shuffle once for each of its hubs, a hub's once a salt.  The result is written (not in ``tmp``).
+    """
+    counts = tmp.written(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT_SETS).cast("int").alias("salts")))
+    salted = pairs.join(offered(counts, 32), "hub")
+    place = lambda hub, salt, kind: F.struct(hub.alias("hub"), salt.cast("int").alias("salt"), F.lit(kind).alias("kind"))
+    member = salted.select("doc", place(F.col("hub"), F.pmod(F.xxhash64("doc"), F.col("salts")), 1).alias("to"))
+    hubs = counts.select(F.col("hub").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s")).select("doc", place(F.col("doc"), F.col("s"), 0).alias("to"))
+    wanted = tmp.written(member.unionAll(hubs).groupBy("doc").agg(F.collect_list("to").alias("to")))
+    bodies = rows.select("doc", "text").join(offered(wanted, F.size("to") * 24 + 64), "doc").select(F.explode("to").alias("to"), "doc", "text").select("to.hub", "to.salt", "to.kind", "doc", "text")
+    around = tmp.written(bodies.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "doc").mapInArrow(_compare(words, num, den), DELTA))
+    inner = F.col("cost") <= (den - num) * F.col("size")
+    direct = around.where(inner).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+    # Only hubs with a set that is not linked to them need the second step.
+    open_hubs = tmp.written(around.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum((~inner).cast("long")).alias("out")).where("out > 0 and m > 1").select("hub", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks")))
+    near = around.join(offered(open_hubs, 32), "hub").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    fields = ("doc", "size", "cost", "gone", "added")
+    members = near.select("hub", F.col("own").alias("block"), F.lit(0).alias("kind"), *fields)
+    probes = near.where(~inner & (F.col("blocks") > 1)).select("hub", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))).alias("block"), F.lit(1).alias("kind"), *fields)
+    more = members.unionAll(probes).repartition("hub", "block").sortWithinPartitions("hub", "block", "kind", "doc").mapInArrow(_around(num, den), "a long, b long")
+    return written(direct.unionAll(more))
+
+
+def linked_components(rows: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(node, component) of the linked classes.  ``rows``: doc, text; ``classes`` (written): print, doc (one row a class)."""
+    spark = rows.sparkSession
     with Scratch(spark) as tmp:
-        mine = docs.join(offered(reps.select("doc"), 24), "doc", "left_semi")
-        index = mine.mapInArrow(_index(words, num, den), "key long, doc long")
-        lists = tmp.written(index.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub <> last").select("key", "hub"))
+        texts = rows.select("text")
+        index = texts.mapInArrow(_index(words, num, den), "key long, print long")
+        lists = tmp.written(index.groupBy("key").agg(F.min("print").alias("hub"), F.max("print").alias("last")).where("hub <> last").select("key", "hub"))
         bits = spark.sparkContext.broadcast(key_filter(lists, "key"))
-        index = mine.mapInArrow(_index(words, num, den, bits), "key long, doc long")
-        pairs = tmp.written(index.join(lists, "key").where("doc <> hub").select("doc", "hub").distinct())
-        counts = tmp.written(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT_SETS).cast("int").alias("salts")))
-        member = pairs.join(offered(counts, 32), "hub").groupBy("doc").agg(F.collect_list(F.struct("hub", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"))).alias("hubs"))
-        wanted = tmp.written(member.join(counts.withColumnRenamed("hub", "doc"), "doc", "full_outer"))
-        bodies = docs.join(offered(wanted, F.coalesce(F.size("hubs"), F.lit(0)) * 40 + 64), "doc")
-        bodies = bodies.dropDuplicates(["doc"]) if _repeats(docs, wanted) else bodies
-        bodies = bodies.select("doc", "text", "hubs", "salts").mapInArrow(_contents(words), CONTENT)
-        around = tmp.written(bodies.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "doc").mapInArrow(_compare(num, den), DELTA))
-        inner = F.col("cost") <= (den - num) * F.col("size")
-        direct = around.where(inner).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-        # Only hubs with a set that is not linked to them need the second step.
-        open_hubs = tmp.written(around.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum((~inner).cast("long")).alias("out")).where("out > 0 and m > 1").select("hub", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks")))
-        rows = around.join(offered(open_hubs, 32), "hub").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-        fields = ("doc", "size", "cost", "gone", "added")
-        members = rows.select("hub", F.col("own").alias("block"), F.lit(0).alias("kind"), *fields)
-        probes = rows.where(~inner & (F.col("blocks") > 1)).select("hub", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))).alias("block"), F.lit(1).alias("kind"), *fields)
-        more = members.unionAll(probes).repartition("hub", "block").sortWithinPartitions("hub", "block", "kind", "doc").mapInArrow(_around(num, den), "a long, b long")
-        return written(direct.unionAll(more))
-
-
-def _repeats(docs: DataFrame, wanted: DataFrame) -> bool:
-    """Whether an id that is compared has several rows (then one of them, after equal sets, is used)."""
-    ids = docs.select("doc").join(offered(wanted.select("doc"), 24), "doc", "left_semi")
-    return ids.count() > wanted.count()
+        index = texts.mapInArrow(_index(words, num, den, bits), "key long, print long")
+        entries = tmp.written(index.join(lists, "key").select("key", "print", "hub"))
+        bits.unpersist()
+        shared = tmp.written(entries.where("print <> hub").groupBy("print", "hub").agg(F.count(F.lit(1)).alias("n")))
+        seen = shared.select("print").union(shared.select("hub")).distinct()
+        nodes = tmp.written(classes.join(offered(tmp.written(seen), 24), "print", "left_semi").select("print", "doc"))
+        named = lambda pairs: pairs.join(offered(nodes, 32), "print").join(offered(nodes.select(F.col("print").alias("hub"), F.col("doc").alias("h")), 32), "hub").select("doc", F.col("h").alias("hub"))
+        main = tmp.written(shared.groupBy("print").agg(F.max_by("hub", F.struct("n", "hub")).alias("main")))
+        first = links_by_hubs(rows, tmp.written(named(main.select("print", F.col("main").alias("hub")))), words, num, den, tmp)
+        found = components(first)
+        # Settled lists: one component, or all compared around one hub.
+        state = nodes.join(offered(main, 32), "print", "left").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+        state = tmp.written(state.select("print", F.coalesce("main", "print").alias("main"), F.coalesce("component", "doc").alias("label")))
+        other = F.when(F.col("print") != F.col("hub"), F.col("main"))
+        lists = entries.join(offered(state, 40), "print").groupBy("key").agg(F.first("hub").alias("hub"), *(f(c).alias(n) for c, n in (("label", "l"), ("main", "m")) for f, n in ((F.min, n + "0"), (F.max, n + "1"))), F.min(other).alias("o0"), F.max(other).alias("o1"))
+        unsettled = tmp.written(lists.where("l0 <> l1 and m0 <> m1 and not (o0 = o1 and o0 = hub)").select("key"))
+        if unsettled.isEmpty():
+            return found
+        rest = entries.where("print <> hub").join(offered(unsettled, 24), "key", "left_semi").select("print", "hub").distinct()
+        second = links_by_hubs(rows, tmp.written(named(rest)), words, num, den, tmp)
+        label = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}0"))
+        known = second.join(offered(label("a"), 32), "a", "left").join(offered(label("b"), 32), "b", "left")
+        above = components(known.select(F.coalesce("a0", "a").alias("a"), F.coalesce("b0", "b").alias("b")))
+        up = above.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        lower = found.join(offered(up, 32), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+        fresh = above.join(found.select("node"), "node", "left_anti")
+        return written(lower.unionByName(fresh))
 
 
 def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -366,15 +438,15 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words:
 
     Two documents link when den * (size of the intersection) >= num * (size of the union) and neither set is empty.
     """
-    rows = _rows(docs, text, doc_id)
-    sets = written(rows.mapInArrow(_prints(words), "doc long, none boolean, n long, f1 long, f2 long"))
+    rows, numbered = identified(docs, text, doc_id)
+    sets = written(rows.select("doc", "text").mapInArrow(_prints(words), "doc long, n long, f1 long, f2 long"))
     classes = written(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("copies")))
-    reps = written(classes.select(F.col("node").alias("doc")).distinct())
-    same = components(links(rows.select("doc", "text"), reps, words, num, den))
+    same = linked_components(rows, classes.select(F.col("f1").alias("print"), F.col("node").alias("doc")), words, num, den)
     node = sets.join(offered(classes.where("copies > 1").select("n", "f1", "f2", "node"), 56), ["n", "f1", "f2"], "left").withColumn("node", F.coalesce("node", "doc"))
-    out = node.join(offered(same, 32), "node", "left").select("doc", "none", "n", F.coalesce("component", "node").alias("component"))
-    if not sets.where("none").isEmpty():
-        # The least id of each component that has a row without one.
-        named = out.groupBy("component").agg(F.min(F.when(~F.col("none"), F.col("doc"))).alias("least"), F.max("none").alias("some")).where("some").select("component", "least", "some")
-        out = out.join(offered(written(named), 32), "component", "left").withColumn("component", F.when(F.col("some"), F.col("least")).otherwise(F.col("component")))
-    return out.select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    out = node.join(offered(same, 32), "node", "left").select("doc", "n", F.coalesce("component", "node").alias("component"))
+    if not numbered:
+        return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    # Numbers ascend with ids but for null ones, which come first: a component's name is the least id in it.
+    out = out.join(rows.select("doc", "id"), "doc")
+    named = written(out.groupBy("component").agg(F.min("id").alias("least")))
+    return out.join(offered(named, 32), "component").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))

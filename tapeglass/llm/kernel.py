@@ -33,8 +33,8 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-#: A random value for every byte.
-BYTE = mix(np.arange(256, dtype=U), 7)
+#: A random value for every byte, and another one for hashes that are independent of the first.
+BYTE, BYTE2 = mix(np.arange(256, dtype=U), 7), mix(np.arange(256, dtype=U), 8)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -77,20 +77,20 @@ class Chunk:
             self._words = starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, self.cuts)
         return self._words
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
+    def hashes(self, lower: bool = False, byte: np.ndarray = BYTE) -> np.ndarray:
         """A 64-bit hash of every word."""
         starts, ends, _ = self.words()
-        return span_hashes(LOWER[self.buf] if lower else self.buf, starts, ends)
+        return span_hashes(LOWER[self.buf] if lower else self.buf, starts, ends, byte)
 
     def owner(self, counts: np.ndarray) -> np.ndarray:
         return np.repeat(np.arange(self.n), counts)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte: np.ndarray = BYTE) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, U)
     total = np.zeros(len(buf) + 1, U)
-    np.cumsum(BYTE[buf] * powers(BASE, len(buf)), out=total[1:])
+    np.cumsum(byte[buf] * powers(BASE, len(buf)), out=total[1:])
     return mix((total[ends] - total[starts]) * powers(INVERSE, len(buf) + 1)[starts] + (ends - starts).astype(U))
 
 

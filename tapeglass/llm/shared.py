@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,17 +14,25 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 #: The shuffle files of a write that is done are of no more use: Spark deletes them at once.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Bits of the filters of hashes (of fixed size, whatever the data).
-FILTER_BITS = 26
+#: Bits a key of the filters of hashes, and the logarithm of the bits that a filter has at least and at most (64 MB).
+BITS_A_KEY, FILTER_LEAST, FILTER_MOST = 8, 20, 29
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder set on the context.
+
+    Where neither is set, a local session (driver and executors in one process) gets one of its own; on a cluster that
+    would be a folder of one machine only, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        import tempfile
+
         base = "file://" + tempfile.mkdtemp(prefix="tapeglass-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -87,42 +94,66 @@ def offered(df: DataFrame, row_bytes: int | Column) -> DataFrame:
     return F.broadcast(df) if small_enough(df, row_bytes) else df
 
 
-def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of the filter: 512 bytes each, of the keys of one partition (which holds all keys of its parts)."""
-    parts: dict[int, np.ndarray] = {}
-    for batch in batches:
-        at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-        part = (at >> np.uint64(12)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        at, part = at[order], part[order]
-        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = parts.setdefault(int(part[a]), np.zeros(512, np.uint8))
-            bit = at[a:b] & np.uint64(4095)
-            np.bitwise_or.at(own, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
-    if parts:
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([v.tobytes() for v in parts.values()], pa.binary())], names=["part", "bits"])
+def _bitmap(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts of the filter: 512 bytes each, of the keys of one partition (which holds all keys of its parts)."""
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - size)
+            part = (at >> np.uint64(12)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at, part = at[order], part[order]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = parts.setdefault(int(part[a]), np.zeros(512, np.uint8))
+                bit = at[a:b] & np.uint64(4095)
+                np.bitwise_or.at(own, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([v.tobytes() for v in parts.values()], pa.binary())], names=["part", "bits"])
+
+    return run
 
 
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A filter of the hashes in ``column``: 8 MB, whatever their number.
+    """A filter of the hashes in ``column`` (a written table), sized by their counted number up to 64 MB.
 
-    It only saves rows of a join that follows (it lets through what it cannot tell).  Each part is made where its keys
-    are, so the driver gets no more than the filter itself.
+    It only saves rows of a join that follows (it lets through what it cannot tell, and ever more the more keys there are
+    beyond its bound).  Each part is made where its keys are, so the driver gets no more than the filter itself.
     """
-    dealt = keys.select(column).repartition(F.shiftrightunsigned(column, 64 - FILTER_BITS + 12))
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in dealt.mapInArrow(_bitmap, "part long, bits binary").toLocalIterator():
+    size = min(max(FILTER_LEAST, (BITS_A_KEY * keys.count()).bit_length()), FILTER_MOST)
+    dealt = keys.select(column).repartition(F.shiftrightunsigned(column, 64 - size + 12))
+    bits = np.zeros(1 << (size - 3), np.uint8)
+    for r in dealt.mapInArrow(_bitmap(size), "part long, bits binary").toLocalIterator():
         bits[r["part"] * 512 : r["part"] * 512 + 512] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be among the filter's."""
-    at = hashes >> np.uint64(64 - FILTER_BITS)
+    at = hashes >> np.uint64(64 - (len(bits).bit_length() + 2))
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def identified(docs: DataFrame, text: str, doc_id: str, *, merged: bool = False) -> tuple[DataFrame, bool]:
+    """doc, text, id, and whether ``doc`` is a number given to the rows: where ids are null or repeated it stands for the id.
+
+    The numbers ascend with (id, hash of the text), null ids first.  Rows equal in both have a number each, or, ``merged``,
+    that of the first.  The numbered texts are written once; where ids name the rows, nothing is.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    n = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("distinct")).first()
+    if n["rows"] == n["distinct"]:
+        return rows.select(F.col("id").alias("doc"), "text", "id"), False
+    same = ["id", "th", "th2"]
+    hashed = rows.select("*", F.xxhash64("text").alias("th"), F.xxhash64(F.lit(7), "text").alias("th2"), F.monotonically_increasing_id().alias("n"))
+    rows = written(hashed.sort(*same, "n").drop("n").withColumn("doc", F.monotonically_increasing_id()))  # n deals equal rows over partitions
+    if merged:
+        again = rows.groupBy(*same).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        again = offered(written(again.select(*(F.col(c).alias(f"{c}0") for c in same), "first")), 40)
+        rows = rows.join(again, (F.col("th") == F.col("th0")) & (F.col("th2") == F.col("th20")) & F.col("id").eqNullSafe(F.col("id0")), "left").withColumn("doc", F.coalesce("first", "doc"))
+    return rows.select("doc", "text", "id"), True
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long).  Returns (node, component), component the least node reachable.
 

@@ -50,7 +50,7 @@ def test_linked_around_equals_all_pairs():
                 sets.append(s)
             import numpy as np
 
-            pack = lambda s: jaccard._packed6(np.array(sorted(s), np.uint64))
+            pack = lambda s: jaccard._packed(*[np.array(sorted(s), np.uint64)] * 2)
             rows = [(i, len(hub), den * len(hub - s) + num * len(s - hub), pack(hub - s), pack(s - hub)) for i, s in enumerate(sets) if i and s != hub]
             links = [(i, 0) for i, _, c, _, _ in rows if c <= (den - num) * len(hub)]
             links += jaccard.linked_around(rows[::2], [], num, den) + jaccard.linked_around(rows[1::2], [x for x in rows[::2] if x[2] > (den - num) * len(hub)], num, den)
@@ -61,13 +61,71 @@ def test_linked_around_equals_all_pairs():
 
 
 def test_positions_exceed_differences():
-    sizes = jaccard.Sizes(90, 100)
-    for n in range(1, 400):
-        for m in range(n, n * 100 // 90 + 1):
-            most = max(d for d in range(n + m + 1) if (n + m - d) % 2 == 0 and 100 * ((n + m - d) // 2) >= 90 * ((n + m + d) // 2))
-            groups = [{int(g[0]) for g in sizes.groups(jaccard.np.array([x]))} for x in (n, m)]
-            common = groups[0] & groups[1]
-            assert common and (n == m == 0 or most == 0 or any(sizes.positions[g] >= most + 1 + jaccard.SPARE for g in common))
+    for num in (80, 90):
+        sizes = jaccard.Sizes(num, 100)
+        for n in range(1, 400):
+            for m in range(n, n * 100 // num + 1):
+                most = max(d for d in range(n + m + 1) if (n + m - d) % 2 == 0 and 100 * ((n + m - d) // 2) >= num * ((n + m + d) // 2))
+                groups = [{int(g[0]) for g in sizes.groups(jaccard.np.array([x]))} for x in (n, m)]
+                common = jaccard.np.array(sorted(groups[0] & groups[1]))
+                assert len(common) and (most == 0 or (sizes.positions(common) >= most + 1 + sizes.spare(common)).any())
+
+
+def test_sets_that_agree_in_empty_blocks_share_a_list():
+    r = random.Random(8)
+    sizes = jaccard.Sizes(80, 100)
+    for n in (4, 5, 6, 9, 20, 60, 400):
+        for _ in range(200):
+            a = r.sample(range(1 << 60), n)
+            b = a[: n - r.randint(0, n // 9)]
+            b += r.sample(range(1 << 60), r.randint(0, n // 9))
+            if 100 * len(set(a) & set(b)) < 80 * len(set(a) | set(b)):
+                continue
+            both = jaccard.np.array(sorted(a) + sorted(b), jaccard.np.uint64)
+            text, key = jaccard.blocks_of(both, jaccard.np.array([0, len(a), len(both)]), sizes)
+            assert set(a) == set(b) or set(key[text == 0].tolist()) & set(key[text == 1].tolist())
+
+
+def test_blocks_of_lists_are_skipped():
+    """Of lists by position, blocks that leave too few shingles are skipped, and no pair that is linked is lost."""
+    r = random.Random(6)
+    tokens = [bytes([i // 256, i % 256]) * 8 for i in range(3000)]
+    read = skipped = 0
+    for num, den in ((90, 100), (80, 100)):
+        lists = jaccard.Lists((den - num) * 200, num, den)
+        rows = []
+        for i in range(120):
+            gone, added = r.randint(0, 30), r.randint(0, 60)
+            t = sorted(r.sample(tokens[:150], added)) + sorted(r.sample(tokens[2000:2080], gone))
+            rows.append((t, den * gone + num * added))
+            lists.add(i, *rows[-1])
+        for t, cost in rows:
+            got = set(lists.candidates(t, cost))
+            linked = {j for j, (u, c) in enumerate(rows) if lists.slack + (den + num) * len(set(t) & set(u)) >= cost + c}
+            shared = {j for j, (u, c) in enumerate(rows) if set(lists.prefix(t, cost)) & set(lists.prefix(u, c))}
+            assert {j for j in linked if set(t) & set(rows[j][0])} <= got <= shared
+        read, skipped = read + lists.read, skipped + lists.skipped
+    assert skipped > 100 and read > 100
+
+
+def test_jaccard_by_shuffles_only(spark, monkeypatch):
+    """Nothing is broadcast and no filter helps: the same rows."""
+    from tapeglass.llm import shared
+
+    docs = dict(enumerate(t for s, (size, n, e) in enumerate([(20, 90, 9), (15, 40, 6)]) for t in family(s, size, n, e)))
+    rows = spark.createDataFrame([*docs.items()], "doc_id long, text string")
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(shared, "FILTER_LEAST", 12)
+    monkeypatch.setattr(shared, "FILTER_MOST", 12)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(rows, words=5, num=80, den=100).collect()}
+    assert got == brute.jaccard(docs, 5, 80, 100)
+
+
+def test_texts_under_one_id_are_linked_each(spark):
+    a, b = (" ".join(prose(60, s)) for s in (1, 2))
+    rows = [(2, a), (2, b), (1, a), (3, b), (3, b)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (2, 2), (3, 2), (3, 2)]
 
 
 def test_jaccard_cases(spark, odd, none):
