@@ -1,19 +1,26 @@
 """Substring dedup: repeated word windows by De Bruijn compaction.
 
-Windows of ``WINDOW`` words are the edges of a De Bruijn graph over word (WINDOW - 1)-mers.  A path of edges that share
-their least ``SEED``-mer (its hash picks it, so equal windows pick alike) is taken as one compacted path: a run of words
-around one seed.  Seeds that occur once anywhere hold no repeated edge and are dropped by a count.  Of the others, equal
-paths (nonbranching stretches that several sources walk) meet in one row with the earliest source coordinates; only where
-a seed has several different paths, branches or ends, are the paths opened into their edges, and each edge gets its
-earliest source.  A source's edge is a repeat if that earliest coordinate is not its own; its words are removed.
-
-Every key is a 64-bit hash of the words; a second, independent hash of each path and edge goes with it, and only equal
-pairs meet, so the spans are those of equal words.  Counts and minima are combined before each shuffle; a passage in a
-third of all documents is one row after the first aggregate.
-
-Cases: a null or empty text has no words; earlier means smaller (id, start); a null id comes first; repeated rows (same
-id) count as one source and are treated alike; an empty table gives an empty table; columns other than those named are
-not read.
+Windows of ``WINDOW`` words are the edges of a De Bruijn graph whose nodes are the (WINDOW - 1)-mers at their ends.
+
+1. Partition.  Consecutive windows of a text that share their least ``SEED``-mer (its hash picks it, so equal windows pick
+   alike) are one path around that seed.  Seeds that occur once anywhere hold no repeated edge and are dropped by a count;
+   of the others, equal paths meet in one row with their earliest source coordinate.  A seed with one path only is one
+   edge of several windows; where a seed has several different paths, they are opened into their windows.
+2. Graph.  Edges that occur twice or more are kept, each with its earliest source coordinate and the hashes of the two
+   nodes it joins.  In- and out-degrees of the nodes are counted; at a node with one edge in and one out, whose sources are
+   adjacent too, the two edges are linked, and joins that double the links' reach compact each nonbranching chain into one
+   path with one source coordinate.
+3. Sources.  An edge of a text is a repeat if that earliest coordinate is not its own.  Runs of repeats along one
+   compacted path are one span; the path's words are read at its source coordinate, once, and sent to its spans; a span
+   is removed only if the words at both coordinates are equal.
+
+Counts and minima are combined before each shuffle; a passage in a third of all documents is one edge row after the first
+aggregate, and one row of words; adaptive execution splits the joins that bring it back to its sources.
+
+Cases: a null or empty text has no words; earlier means smaller (id, start); a null id comes first; texts that share an id
+but differ are sources of their own, in the order of their hashes; repeated rows (same id, same text) count as one source
+and are treated alike; an empty table gives an empty table; columns other than those named are not read.  A text is held
+whole while it is hashed (some 80 bytes a byte of it).
 """
 
 from __future__ import annotations
@@ -26,10 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import Chunk, U, chunks, mix, window_hashes
-from .shared import Scratch, key_filter, offered, passes, written
+from .shared import Scratch, identified, key_filter, offered, passes, written
 
 WINDOW, SEED = 20, 8
-NO_ID = -(1 << 63)
+#: Windows of one source within which chains are compacted by one aggregate, before the joins.
+STRETCH = 256
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -84,10 +92,6 @@ def path_hashes(p: dict[str, np.ndarray], window: int) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).cast("string").alias("text"))
-
-
 def _ids(batch: pa.RecordBatch, c: Chunk) -> np.ndarray:
     return batch.column(0).slice(c.first, c.n).to_numpy(zero_copy_only=False)
 
@@ -120,8 +124,8 @@ def _paths(window: int, seed: int, filter_):
 
 
 def _open(window: int, seed: int):
-    """(path hashes, position, edge hashes) of the edges of the wanted paths, from the text that has them first."""
-    names = ["p1", "p2", "k", "e1", "e2"]
+    """(path hashes, position, windows, edge hashes, nodes) of the edges of the wanted paths, from the text that has them first."""
+    names = ["p1", "p2", "k", "w", "e1", "e2", "l", "r"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,72 +133,134 @@ def _open(window: int, seed: int):
                 p = paths(c, window, seed)
                 start = p["at"] - p["cuts"][:-1][p["text"]]
                 wanted = batch.column(2).slice(c.first, c.n).to_pylist()
-                keep = np.zeros(len(start), bool)
+                keep, whole = np.zeros(len(start), bool), np.zeros(len(start), bool)
                 edges = np.searchsorted(p["text"], np.arange(c.n + 1))
                 for i, w in enumerate(wanted):
-                    if w:
-                        own = slice(edges[i], edges[i + 1])
-                        keep[own] = np.isin(start[own], w)
+                    own = slice(edges[i], edges[i + 1])
+                    keep[own] = np.isin(start[own], [x["start"] for x in w])
+                    whole[own] = np.isin(start[own], [x["start"] for x in w if not x["opened"]])
                 if not keep.any():
                     continue
                 p = {**p, **{k: p[k][keep] for k in ("text", "at", "count", "seed")}}
+                whole = whole[keep]
                 h1, h2 = path_hashes(p, window)
-                n = p["count"]
+                n = np.where(whole, 1, p["count"])
                 k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat(p["at"], n) + k
-                e1, e2 = (window_hashes(mix(p["hashes"], salt), window)[at] for salt in (43, 44))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h1, n).view(np.int64)), pa.array(np.repeat(h2, n).view(np.int64)), pa.array(k.astype(np.int32)), pa.array(e1.view(np.int64)), pa.array(e2.view(np.int64))], names=names)
+                of = np.repeat(np.arange(len(n)), n)
+                at, w = p["at"][of] + k, np.where(whole, p["count"], 1)[of]
+                e = [np.where(whole[of], h[of], window_hashes(mix(p["hashes"], salt), window)[at]) for salt, h in ((43, h1), (44, h2))]
+                node = window_hashes(mix(p["hashes"], 45), window - 1)
+                cols = (h1[of], h2[of], k.astype(np.int32), w.astype(np.int32), *e, node[at], node[at + w])
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == U else x) for x in cols], names=names)
 
     return run
 
 
-def repeated_windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """doc, spans: for each document with repeats, its runs of windows (first, last) that also start earlier.  Written."""
-    rows = _rows(docs, text, doc_id)
-    with Scratch(docs.sparkSession) as tmp:
-        seeds = rows.mapInArrow(_seeds(window, seed), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
+def compacted(edges: DataFrame, tmp: Scratch) -> DataFrame:
+    """doc, start, head of every edge: the first window of the nonbranching chain that holds it.  Written.
+
+    ``edges`` (written): doc, start (source coordinate, unique), w (windows), l, r (nodes).
+    """
+    ends = edges.select(F.col("l").alias("v"), F.lit(0).alias("into"), "doc", "start", "w").unionAll(edges.select(F.col("r").alias("v"), F.lit(1).alias("into"), "doc", "start", "w"))
+    side = lambda i: F.max(F.when(F.col("into") == i, F.struct("doc", "start", "w")))
+    nodes = ends.groupBy("v").agg(F.sum("into").alias("in"), F.sum(1 - F.col("into")).alias("out"), side(1).alias("a"), side(0).alias("b"))
+    plain = nodes.where("`in` = 1 and out = 1 and a.doc = b.doc and a.start + a.w = b.start")
+    before = plain.select("b.doc", "b.start", F.col("a.start").alias("up"))
+    linked = edges.select("doc", "start").join(before, ["doc", "start"], "left")
+    # Within a stretch of a source (a bounded number of rows) the chain's first window is the last one without a link.
+    near = Window.partitionBy("doc", "stretch").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    linked = linked.withColumn("stretch", F.floor(F.col("start") / STRETCH))
+    opens = F.col("up").isNull() | (F.floor(F.col("up") / STRETCH) < F.col("stretch"))
+    local = tmp.written(linked.select("doc", "start", "up", F.last(F.when(opens, F.col("start")), ignorenulls=True).over(near).alias("local"), (opens & F.col("up").isNotNull()).alias("walks")))
+    # A chain that comes from another stretch: the reach of its links doubles with every join.
+    at = local.where("local = start").select("doc", "start", "up", "walks")
+    walking = tmp.written(local.where("walks").select("doc", "start", F.col("up").alias("to")).join(local.select("doc", F.col("start").alias("to"), "local"), ["doc", "to"]).select("doc", "start", F.col("local").alias("to")))
+    found = at.where("not walks").select("doc", "start", F.col("start").alias("head"))
+    while not walking.isEmpty():
+        above = found.select("doc", F.col("start").alias("to"), "head", F.lit(None).cast("int").alias("next")).unionAll(walking.select("doc", F.col("start").alias("to"), F.lit(None).cast("int").alias("head"), F.col("to").alias("next")))
+        step = tmp.written(above.join(offered(walking, 24), ["doc", "to"]).select("doc", "start", "head", F.col("next").alias("to")))
+        found = found.unionAll(step.where("head is not null").select("doc", "start", "head"))
+        walking = step.where("head is null").select("doc", "start", "to")
+    heads = found.select("doc", F.col("start").alias("local"), "head")
+    return tmp.written(local.select("doc", "start", "local").join(heads, ["doc", "local"]).select("doc", "start", "head"))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, head, words) of the wanted stretches of texts: (doc, text, array of head and number of words)."""
+    for batch in batches:
+        for c in chunks(batch.column(1)):
+            starts, ends, cuts = c.words()
+            docs, heads, found = [], [], []
+            raw = c.buf.tobytes()
+            for i, (doc, wanted) in enumerate(zip(_ids(batch, c).tolist(), batch.column(2).slice(c.first, c.n).to_pylist(), strict=True)):
+                for x in wanted:
+                    at = slice(cuts[i] + x["head"], cuts[i] + x["head"] + x["words"])
+                    docs.append(doc)
+                    heads.append(x["head"])
+                    found.append(" ".join([raw[p:q].decode() for p, q in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(heads, pa.int32()), pa.array(found, pa.string())], names=["source", "head", "words"])
+
+
+def repeated_spans(rows: DataFrame, several_rows: bool, *, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """doc, spans: for each document with repeats, its runs of windows (a, w) that start earlier, and the words there.  Written.
+
+    ``rows``: doc, text; ``several_rows``: whether a doc may have several (equal) rows.
+    """
+    spark = rows.sparkSession
+    once = lambda df, *key: df.dropDuplicates([*key]) if several_rows else df
+    with Scratch(spark) as tmp:
+        seeds = rows.select("doc", "text").mapInArrow(_seeds(window, seed), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
         shared = tmp.written(seeds.select("seed"))
-        bits = docs.sparkSession.sparkContext.broadcast(key_filter(shared, "seed"))
-        sources = rows.mapInArrow(_paths(window, seed, bits), "seed long, p1 long, p2 long, windows int, doc long, start int").join(offered(shared, 24), "seed", "left_semi")
-        sources = tmp.written(sources.select("seed", "p1", "p2", "windows", "doc", "start"))
+        bits = spark.sparkContext.broadcast(key_filter(shared, "seed"))
+        sources = rows.select("doc", "text").mapInArrow(_paths(window, seed, bits), "seed long, p1 long, p2 long, windows int, doc long, start int").join(offered(shared, 24), "seed", "left_semi")
+        sources = tmp.written(once(sources.select("seed", "p1", "p2", "windows", "doc", "start"), "doc", "start"))
+        bits.unpersist()
         # Equal paths meet: one row a path, with its earliest source.
         merged = tmp.written(sources.groupBy("p1", "p2", "windows").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("seed").alias("seed")))
-        several = tmp.written(merged.groupBy("seed").agg(F.count(F.lit(1)).alias("paths")).where("paths > 1").select("seed"))
-        branching = merged.join(offered(several, 24), "seed", "left_semi")
-        branching = tmp.written(branching.select("p1", "p2", F.col("first.doc").alias("doc"), F.col("first.start").alias("start")))
-        wanted = tmp.written(branching.groupBy("doc").agg(F.collect_set("start").alias("starts")))
-        opened = rows.join(offered(wanted, F.size("starts") * 8 + 64), "doc").select("doc", "text", "starts")
-        edges = opened.mapInArrow(_open(window, seed), "p1 long, p2 long, k int, e1 long, e2 long").join(branching, ["p1", "p2"])
-        edges = tmp.written(edges.select("p1", "p2", "k", "e1", "e2", "doc", (F.col("start") + F.col("k")).alias("start")).dropDuplicates(["p1", "p2", "k"]))
-        earliest = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("e1", "e2", "first")
-        # Of a path's edges those that another path has earlier; the rest are first met on the path itself.
-        older = edges.join(earliest, ["e1", "e2"]).where(F.col("first") < F.struct("doc", "start")).groupBy("p1", "p2").agg(F.array_sort(F.collect_set("k")).alias("older"))
-        verdict = merged.join(older, ["p1", "p2"], "left").where("n > 1 or older is not null").select("p1", "p2", "windows", "first", "older")
-        verdict = tmp.written(verdict)
-        hits = sources.join(verdict, ["p1", "p2", "windows"])
-        own = F.struct("doc", "start") == F.col("first")
-        whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).alias("b")))
-        some = F.transform("older", lambda k: F.struct(k.alias("a"), k.alias("b")))
-        spans = hits.select("doc", "start", F.explode(F.when(~own, whole).otherwise(some)).alias("s"))
-        # A path that is met again is older in all its edges; the first one only where others have them earlier.
-        spans = spans.select("doc", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
-        # Runs whose words touch become one.
-        order = Window.partitionBy("doc").orderBy("a", "b")
-        reached = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        spans = spans.withColumn("new", F.coalesce((F.col("a") > reached + window).cast("int"), F.lit(1)))
-        spans = spans.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        runs = spans.groupBy("doc", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-        return written(runs.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-
-
-def removed_words(n_words: int, spans: list[dict], window: int) -> np.ndarray:
-    """Which words the windows of ``spans`` cover."""
-    cover = np.zeros(n_words + 1, np.int64)
-    if spans:
-        a = np.array([s["a"] for s in spans])
-        b = np.array([s["b"] for s in spans]) + window
-        np.add.at(cover, a, 1)
-        np.add.at(cover, np.minimum(b, n_words), -1)
+        several = tmp.written(merged.groupBy("seed").agg(F.count(F.lit(1)).alias("paths")).where("paths > 1").select("seed", F.lit(True).alias("opened")))
+        known = merged.join(offered(several, 24), "seed", "left").where("opened or n > 1")
+        known = tmp.written(known.select("p1", "p2", "n", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), F.coalesce("opened", F.lit(False)).alias("opened")))
+        wanted = tmp.written(known.groupBy("doc").agg(F.collect_list(F.struct("start", "opened")).alias("starts")))
+        texts = rows.select("doc", "text").join(offered(wanted, F.size("starts") * 16 + 64), "doc").select("doc", "text", "starts")
+        edges = texts.mapInArrow(_open(window, seed), "p1 long, p2 long, k int, w int, e1 long, e2 long, l long, r long")
+        edges = once(edges, "p1", "p2", "k").join(known.select("p1", "p2", "n", "doc", "start"), ["p1", "p2"])
+        edges = tmp.written(edges.select("p1", "p2", "k", "w", "e1", "e2", "l", "r", "n", "doc", (F.col("start") + F.col("k")).alias("start")))
+        graph = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc", "start")).alias("first"), F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("w", "l", "r"))).where("n > 1")
+        graph = tmp.written(graph.select("e1", "e2", "first.doc", "first.start", "w", "l", "r"))
+        heads = compacted(graph, tmp)
+        chains = tmp.written(graph.join(heads, ["doc", "start"]).select("e1", "e2", F.col("doc").alias("source"), F.col("start").alias("at"), "head", "w"))
+        # The pieces of each path that lie on one chain.
+        on = edges.select("p1", "p2", "k", "w", "e1", "e2").join(chains.drop("w"), ["e1", "e2"])
+        order = Window.partitionBy("p1", "p2").orderBy("k")
+        follows = (F.lag(F.col("k") + F.col("w")).over(order) == F.col("k")) & (F.lag("source").over(order) == F.col("source")) & (F.lag("head").over(order) == F.col("head")) & (F.lag(F.col("at") + F.col("w")).over(order) == F.col("at"))
+        on = on.withColumn("new", F.coalesce((~follows).cast("int"), F.lit(1))).withColumn("piece", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        pieces = on.groupBy("p1", "p2", "piece").agg(F.min("k").alias("k"), F.sum("w").cast("int").alias("w"), F.first("source").alias("source"), F.min("at").alias("at"), F.first("head").alias("head"))
+        pieces = tmp.written(pieces.groupBy("p1", "p2").agg(F.collect_list(F.struct("k", "w", "source", "at", "head")).alias("pieces")))
+        hits = sources.select("p1", "p2", "doc", "start").join(pieces, ["p1", "p2"]).select("doc", "start", F.explode("pieces").alias("s"))
+        hits = hits.select("doc", (F.col("start") + F.col("s.k")).alias("a"), "s.w", "s.source", "s.at", "s.head").where("doc <> source or a <> at")
+        # Repeats that go on along the chain are one span.
+        order = Window.partitionBy("doc").orderBy("a")
+        follows = (F.lag(F.col("a") + F.col("w")).over(order) == F.col("a")) & (F.lag("source").over(order) == F.col("source")) & (F.lag("head").over(order) == F.col("head")) & (F.lag(F.col("at") + F.col("w")).over(order) == F.col("at"))
+        spans = hits.withColumn("new", F.coalesce((~follows).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        spans = tmp.written(spans.groupBy("doc", "run").agg(F.min("a").alias("a"), F.sum("w").cast("int").alias("w"), F.first("source").alias("source"), F.first("head").alias("head"), (F.min("at") - F.first("head")).alias("off")))
+        # The words of each chain that has spans, at its source coordinate.
+        used = spans.groupBy("source", "head").agg(F.max(F.col("off") + F.col("w")).alias("w"))
+        wanted = tmp.written(used.groupBy(F.col("source").alias("doc")).agg(F.collect_list(F.struct("head", (F.col("w") + window - 1).alias("words"))).alias("heads")))
+        words = rows.select("doc", "text").join(offered(wanted, F.size("heads") * 16 + 64), "doc").select("doc", "text", "heads").mapInArrow(_words, "source long, head int, words string")
+        words = tmp.written(once(words, "source", "head"))
+        part = F.array_join(F.slice(F.split("words", " "), F.col("off") + 1, F.col("w") + window - 1), " ")
+        checked = spans.join(offered(words, F.length("words") + 64), ["source", "head"]).select("doc", F.struct("a", "w", part.alias("words")).alias("s"))
+        return written(checked.groupBy("doc").agg(F.collect_list("s").alias("spans")))
+
+
+def removed_words(words: list[bytes], spans: list[dict], window: int) -> np.ndarray:
+    """Which words the spans' windows cover, of those spans whose words are these."""
+    cover = np.zeros(len(words) + 1, np.int64)
+    for s in spans or ():
+        a, b = s["a"], s["a"] + s["w"] + window - 1
+        if b" ".join(words[a:b]) == s["words"].encode():
+            cover[a] += 1
+            cover[b] -= 1
     return np.cumsum(cover)[:-1] > 0
 
 
@@ -208,13 +274,13 @@ def _kept(window: int):
                 gone = np.zeros(c.n, np.int64)
                 raw = c.buf.tobytes()
                 for i in range(c.n):
-                    a, b = starts[cuts[i] : cuts[i + 1]], ends[cuts[i] : cuts[i + 1]]
+                    words = [raw[x:y] for x, y in zip(starts[cuts[i] : cuts[i + 1]].tolist(), ends[cuts[i] : cuts[i + 1]].tolist(), strict=True)]
                     if spans[i]:
-                        out = removed_words(len(a), spans[i], window)
+                        out = removed_words(words, spans[i], window)
                         gone[i] = out.sum()
-                        a, b = a[~out], b[~out]
-                    texts.append(" ".join([raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(n), pa.array(gone), pa.array(texts, pa.string())], names=["doc", "n_words", "n_removed", "kept"])
+                        words = [words[k] for k in np.flatnonzero(~out).tolist()]
+                    texts.append(b" ".join(words).decode())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(n), pa.array(gone), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -224,8 +290,8 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window
 
     The spans join the texts by broadcast while their counted size is under the bound, else by a shuffle.
     """
-    spans = repeated_windows(docs, text=text, doc_id=doc_id, window=window, seed=seed)
-    rows = _rows(docs, text, doc_id).join(offered(spans, F.size("spans") * 40 + 64), "doc", "left").select("doc", "text", "spans")
-    out = rows.mapInArrow(_kept(window), "doc long, n_words long, n_removed long, kept string")
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
-
+    rows, numbered = identified(docs, text, doc_id, merged=True)
+    spans = repeated_spans(rows, numbered, window=window, seed=seed)
+    size = F.aggregate("spans", F.lit(64), lambda t, s: t + F.length(s["words"]) + 32)
+    found = rows.join(offered(spans, size), "doc", "left").select("id", "text", "spans")
+    return found.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")

@@ -168,6 +168,42 @@ def test_substring_cases(spark, odd, none):
     assert substring_dedup.dedup(none).count() == 0
 
 
+def test_substrings_of_texts_under_one_id(spark):
+    a, b, c, d = (prose(40, 70 + i) for i in range(4))
+    rows = [(1, a), (2, c + a), (2, b + d), (3, d + b[:25]), (3, d + b[:25])]
+    out = substring_dedup.dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["n_words"], x["n_removed"]) for x in out) == [(1, 40, 0), (2, 80, 0), (2, 80, 40), (3, 65, 65), (3, 65, 65)]
+
+
+def test_chains_are_compacted_and_verified(spark, monkeypatch):
+    """Edges of a nonbranching chain share its first window; a branch, a gap or another source starts a new chain."""
+    from tapeglass.llm.shared import Scratch
+
+    #  source 1: windows 0..9 in a row; the node between 4 and 5 has a second edge out; source 2: 0..699; 800 alone
+    rows = [(1, k, 1, 100 + k, 101 + k) for k in range(10)] + [(3, 7, 1, 105, 9000)]
+    rows += [(2, 3 * k, 3, 10_000 + k, 10_001 + k) for k in range(700)] + [(2, 2500, 1, 5, 6)]
+    edges = spark.createDataFrame(rows, "doc long, start int, w int, l long, r long")
+    for stretch in (4, 256):
+        monkeypatch.setattr(substring_dedup, "STRETCH", stretch)
+        with Scratch(spark) as tmp:
+            got = {(x["doc"], x["start"]): x["head"] for x in substring_dedup.compacted(edges, tmp).collect()}
+        assert got == {(d, s): {1: 0 if s < 5 else 5, 3: 7, 2: 0 if s < 2100 else 2500}[d] for d, s, *_ in rows}
+    words = [b"a", b"b", b"c", b"d", b"e"]
+    spans = [{"a": 0, "w": 1, "words": "a b"}, {"a": 2, "w": 2, "words": "c d X"}]
+    assert substring_dedup.removed_words(words, spans, 2).tolist() == [True, True, False, False, False]
+
+
+def test_substrings_by_shuffles_only(spark, monkeypatch):
+    from tapeglass.llm import shared
+
+    passage = prose(60, 5)
+    docs = {d: " ".join(prose(30, d) + passage[d % 7 : 60 - d % 5] + prose(9, 200 + d)) for d in range(25)}
+    for name, value in (("BROADCAST_BYTES", 0), ("FILTER_LEAST", 12), ("FILTER_MOST", 12)):
+        monkeypatch.setattr(shared, name, value)
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept"]) for x in substring_dedup.dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == brute.substrings(docs)
+
+
 def test_lines_equal_brute_force(spark):
     r = random.Random(4)
     pool = [prose(n, 50 + n) for n in (1, 2, 3, 4, 5, 7, 8, 9, 12, 20, 40)]
