@@ -1,34 +1,40 @@
 """Language identification by cross-parsing entropy.
 
-Training: for every language, a bounded sample of labelled texts is normalised to letters and single spaces and a suffix
-automaton of it is built.  Prediction: a text is parsed greedily into the longest phrases that occur in a language's
-sample; phrases a symbol, times the bits that name a place in the sample, estimate the cross entropy.  The language with
-the fewest normalised phrases wins.
-
-The automata are tables of bounded size (``TRAIN_SYMBOLS`` a language) over all letters of the samples.  Texts are parsed in blocks of ``BLOCK``
+Training: for every language, a sample of labelled texts, whole ones, is normalised to letters and single spaces and a
+suffix automaton of it is built.  Prediction: a text is parsed greedily into the longest phrases that occur in a
+language's sample; phrases a symbol, times the bits that name a place in the sample, estimate the cross entropy.  The
+language with the fewest normalised phrases wins.
+
+The sample is bounded: of each language at most ``TRAIN_ROWS`` rows, taken in the order of a hash of their keys while
+their texts, whole, fit ``TRAIN_SYMBOLS`` characters (texts longer than a share of that come last, the shortest first; one
+text is always taken).  The automata are tables over all letters of the samples.  Texts are parsed in blocks of ``BLOCK``
 symbols, all blocks of a chunk in step, so a long text costs what its length says; a block's start costs every language
 the same one phrase.
 
-Cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the language first in order; repeated
-rows get equal answers; without labelled rows every text is ``und``; columns other than those named are not read.
+Cases: a null text, or one without a letter, is ``und`` with score 0; a letter is any code point that Unicode calls one;
+ties go to the language first in order; repeated rows get equal answers; without labelled rows every text is ``und``;
+columns other than those named are not read.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernel import chunks
 
 UNKNOWN = "und"
-#: The sample: at most this many labelled rows are fetched a language, and this many of their symbols used.
-TRAIN_ROWS, TRAIN_SYMBOLS = 96, 24_000
+#: The sample of a language: at most this many labelled rows, and characters of their whole texts; a text longer than the
+#: share of those is taken only where there are too few others.
+TRAIN_ROWS, TRAIN_SYMBOLS, LONG_SHARE = 96, 30_000, 4
 #: Letters (the most frequent first) whose transitions are in the dense table, and columns of it over all languages: the
 #: more languages, the fewer letters.  The transitions of all other letters are in a sorted one.
 DENSE_LETTERS, DENSE_COLUMNS = 62, 4096
@@ -106,34 +112,49 @@ class Model:
     bits: np.ndarray  # per language: log2 of the sample's length
 
 
-def automaton(symbols: list[int]) -> list[dict[int, int]]:
-    """Transitions of the suffix automaton of a sequence; state 0 is the root."""
-    steps: list[dict[int, int]] = [{}]
-    link, length = [-1], [0]
+def automaton(symbols: list[int], width: int) -> tuple[np.ndarray, dict[int, dict[int, int]]]:
+    """Transitions of the suffix automaton of a sequence; state 0 is the root.
+
+    Those of the first ``width`` symbols are a table (-1: none), those of all others a dictionary a state.
+    """
+    none = array("i", [-1]) * width
+    steps, rare = none * (2 * len(symbols) + 1), {}
+    link, length = array("i", [-1]), array("i", [0])
     last = 0
+
+    def to(p: int, s: int) -> int:
+        return steps[p * width + s] if s < width else rare.get(p, {}).get(s, -1)
+
+    def lead(p: int, s: int, state: int) -> None:
+        if s < width:
+            steps[p * width + s] = state
+        else:
+            rare.setdefault(p, {})[s] = state
+
     for s in symbols:
-        steps.append({})
         link.append(0)
         length.append(length[last] + 1)
-        new, p = len(steps) - 1, last
-        while p >= 0 and s not in steps[p]:
-            steps[p][s] = new
+        new, p = len(link) - 1, last
+        while p >= 0 and to(p, s) < 0:
+            lead(p, s, new)
             p = link[p]
         if p >= 0:
-            q = steps[p][s]
+            q = to(p, s)
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                steps.append(dict(steps[q]))
                 link.append(link[q])
                 length.append(length[p] + 1)
-                copy = len(steps) - 1
-                while p >= 0 and steps[p].get(s) == q:
-                    steps[p][s] = copy
+                copy = len(link) - 1
+                steps[copy * width : (copy + 1) * width] = steps[q * width : (q + 1) * width]
+                if q in rare:
+                    rare[copy] = dict(rare[q])
+                while p >= 0 and to(p, s) == q:
+                    lead(p, s, copy)
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return steps
+    return np.frombuffer(steps, np.int32)[: len(link) * width].reshape(-1, width), rare
 
 
 @dataclass(frozen=True)
@@ -152,17 +173,14 @@ class Samples:
 _models: dict[Samples, Model] = {}
 
 
-def build(samples: dict[str, list[str]], train_symbols: int = TRAIN_SYMBOLS) -> Samples:
-    """The samples of texts by language; the same number of symbols is used of each."""
-    coded: dict[str, np.ndarray] = {}
-    for lang in sorted(samples):
-        parts = []
-        for text in samples[lang]:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            parts.append(normalised(raw, np.array([0, len(raw)]))[0])
-            if sum(map(len, parts)) >= train_symbols:
-                break
-        coded[lang] = np.concatenate(parts)[:train_symbols] if parts else np.zeros(0, np.uint32)
+def symbols_of(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return normalised(raw, np.array([0, len(raw)]))[0]
+
+
+def build(samples: dict[str, list[str]]) -> Samples:
+    """The samples of whole texts by language."""
+    coded = {lang: np.concatenate([symbols_of(t) for t in samples[lang]]) for lang in sorted(samples) if samples[lang]}
     return Samples(tuple((k, v.astype(np.uint32).tobytes()) for k, v in coded.items() if len(v)))
 
 
@@ -181,22 +199,22 @@ def tables(coded: dict[str, np.ndarray]) -> Model:
     first = np.zeros((len(coded), symbols - width), np.int32)
     base = 0
     for nth, v in enumerate(coded.values()):
-        steps = automaton(symbol[v].tolist())
+        steps, rare = automaton(symbol[v].tolist(), width)
         # What cannot go on ends a phrase: the next one starts with this symbol, from the root.  A symbol that the sample
         # lacks is a phrase by itself: its state (the last one) has no way on at all.
         start = np.full(symbols, 2 * (base + len(steps)) + 1, np.int32)
-        for s, to in steps[0].items():
-            start[s] = 2 * (base + to) + 1
+        from_root = np.flatnonzero(steps[0] >= 0)
+        start[from_root] = 2 * (base + steps[0][from_root]) + 1
+        for s, state in rare.get(0, {}).items():
+            start[s] = 2 * (base + state) + 1
         first[nth] = start[width:]
         table = np.tile(start[:width], (len(steps) + 1, 1))
         table[0] -= 1  # at a block's start no phrase is open
-        for i, moves in enumerate(steps):
-            for s, to in moves.items():
-                if s < width:
-                    table[i, s] = 2 * (base + to)
-                else:
-                    keys.append((base + i) * symbols + s)
-                    to_states.append(2 * (base + to))
+        np.copyto(table[:-1], 2 * (base + steps), where=steps >= 0)
+        for i, moves in rare.items():
+            for s, state in moves.items():
+                keys.append((base + i) * symbols + s)
+                to_states.append(2 * (base + state))
         tables.append(table)
         roots.append(base)
         base += len(steps) + 1
@@ -264,32 +282,33 @@ def decide(model: Model, buf: np.ndarray, cuts: np.ndarray) -> tuple[list[str],
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_rows: int = TRAIN_ROWS, train_symbols: int = TRAIN_SYMBOLS) -> Samples:
-    """Samples from labelled rows: of each language, those ``train_rows`` whose ``key`` has the least hash.
+    """Samples from labelled rows, in the order that this module's description gives; every label is learned.
 
-    Every label is learned.  Two passes: the first reads labels and keys only and finds a threshold for each language (the
-    window keeps ``train_rows`` a language before its shuffle); the second fetches the few texts under the thresholds.
+    Two passes: the first reads labels, keys and lengths and finds the last place in the order for each language (the
+    window keeps ``train_rows`` a language before its shuffle); the second fetches the few texts up to there.
     """
-    from pyspark.sql import Window
-
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(key), F.lit(17)).alias("h"), F.col(text).cast("string").alias("t"))
-    w = Window.partitionBy("l").orderBy("h")
-    top = rows.select("l", "h").withColumn("r", F.row_number().over(w)).where(F.col("r") <= train_rows)
-    limits = [(r["l"], r["m"]) for r in top.groupBy("l").agg(F.max("h").alias("m")).collect()]
+    size = F.length("t").cast("long")
+    long = size * LONG_SHARE > train_symbols
+    place = F.struct(long.alias("long"), F.when(long, size).otherwise(F.col("h")).alias("first"), F.col("h"))
+    rows = rows.withColumn("o", place)
+    top = rows.select("l", "o").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("o"))).where(F.col("r") <= train_rows)
+    limits = [(r["l"], r["m"]) for r in top.groupBy("l").agg(F.max("o").alias("m")).collect()]
     if not limits:
-        return build({}, train_symbols)
-    wanted = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(limits, "l string, m long")), "l").where("h <= m")
-    # Texts arrive language by language, and only what a language's sample needs is held.
+        return build({})
+    schema = T.StructType([T.StructField("l2", T.StringType()), T.StructField("m", rows.schema["o"].dataType)])
+    wanted = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(limits, schema)), F.col("l") == F.col("l2")).where("o <= m")
+    # Texts arrive language by language, in order, and only what a language's sample takes is held.
     samples: dict[str, list[str]] = {}
     taken, had = 0, None
-    for r in wanted.select("l", "h", F.substring("t", 1, 8 * train_symbols).alias("t")).distinct().orderBy("l", "h", "t").toLocalIterator():
+    for r in wanted.select("l", "o", "t").distinct().orderBy("l", "o", "t").toLocalIterator():
         if r["l"] != had:
             taken, had = 0, r["l"]
         own = samples.setdefault(had, [])
-        if len(own) < train_rows and taken < train_symbols:
+        if not own or (len(own) < train_rows and taken + len(r["t"]) <= train_symbols):
             own.append(r["t"])
-            raw = np.frombuffer(r["t"].encode(), np.uint8)
-            taken += len(normalised(raw, np.array([0, len(raw)]))[0])
-    return build(samples, train_symbols)
+            taken += len(r["t"])
+    return build(samples)
 
 
 def predict(docs: DataFrame, model: Samples, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -18,10 +18,15 @@ def fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def held_out(n: int, remainder: int) -> Column:
+    """Whether a row is in the fold that is never learned from.  A row without an id is in no fold: neither learned from nor held out."""
+    return F.coalesce(fold(n) == remainder, F.lit(False))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(fold(5) != 0))
-    return language.predict(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
+    return language.predict(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +40,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = rule_ensemble.train(docs, labels.where(fold(3) != 1))
-    return rule_ensemble.scored(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+    return rule_ensemble.scored(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
