@@ -2,8 +2,10 @@
 
 Patterns give candidates; base64 and hex candidates are decoded, and a span is reported only if the bytes have the
 structure of a key or token: nested lengths of a DER key that fill their parents exactly, the OpenSSH container with its
-counted strings, or a signed token whose header is a JSON object naming an algorithm.  Spans of plain assignments, cloud
-access ids and long hex runs are always reported.  Positions are code points, ends exclusive.
+counted strings, or a signed token whose header is a JSON object naming an algorithm.  A key may start anywhere in a run
+of base64 (its lines may be indented, and broken by line ends or by these written as ``\\n``) or of hex digits of either
+case, at any alignment, and ends where its outer length says.  Spans of plain assignments, cloud access ids and long hex
+runs are always reported.  Positions are code points, ends exclusive.
 
 Cases: a null or empty text has no spans; repeated rows are scanned each; a table without rows gives none; columns other
 than the two named are not read.
@@ -13,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -27,12 +31,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
-#: Candidates that are decoded.
-BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}|[A-Za-z0-9_-]{32,}={0,2}")
+#: Candidates that are decoded: runs of one alphabet; those of the first may go on over several lines.
+BREAK = r"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*"
+BASE64 = re.compile(rf"[A-Za-z0-9+/]{{32,}}(?:{BREAK}[A-Za-z0-9+/]+)*={{0,2}}|[A-Za-z0-9_-]{{32,}}={{0,2}}")
+BREAKS = re.compile(BREAK)
 #: A JSON object's first two bytes are "{" and a quote or white space: "ey" or "ew" in base64.
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-ANY_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
+ANY_HEX = re.compile(r"[0-9a-fA-F]{48,}")
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{32}")
+#: How the base64 of a DER key, a container of private keys or a public key may start, and the bytes that a DER key starts with.
+KEY_START = re.compile(r"M(?=[A-I])|b(?=3BlbnNzaC1rZXktdjEA)|A(?=AAA[A-Z](?:3NzaC1|2VjZHNh))")
+DER_HEAD = re.compile(rb"\x30(?:[\x10-\x7f]|\x81.|\x82..|\x83...)(?:\x02\x01[\x00\x01]|\x30(?:[\x03-\x7f]|\x81.|\x82..)\x06)", re.S)
+HEX_HEAD = re.compile(rb"\x30(?=[\x10-\x83])|openssh-key-v1\0|\0\0\0.(?=ssh-|ecdsa-)", re.S)
 KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "signed_token")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
@@ -55,7 +65,7 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     out = []
     while at < end:
         e = _element(data, at, end)
-        if e is None or len(out) > 64:
+        if e is None:
             return None
         out.append(e)
         at = e[2]
@@ -114,13 +124,10 @@ def _skip(data: memoryview, at: int, strings: int) -> int | None:
 
 
 def _sizes(data: memoryview) -> tuple[int, ...]:
-    """The bytes that a key at the start of ``data`` has, by its outer length.
-
-    A DER key may have two bytes more behind it, and a container of private keys a 16-byte tag.
-    """
+    """The bytes that a key at the start of ``data`` has, by its outer length; a container of private keys may have a 16-byte tag."""
     if data[:1] == b"0":
         top = _element(data, 0, len(data))
-        return () if top is None else (top[2], top[2] + 1, top[2] + 2)
+        return () if top is None else (top[2],)
     if data[: len(SSH_MAGIC)] == SSH_MAGIC:
         at = _skip(data, len(SSH_MAGIC), 3)
         if at is None or (end := _skip(data, at + 4, int.from_bytes(data[at : at + 4], "big") + 1)) is None:
@@ -161,42 +168,76 @@ def _key_kind(data: bytes | memoryview | None) -> str | None:
     return "der_key" if data[0] == 0x30 and is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 
 
-#: What the base64 of a DER key, a container of private keys and a public key starts with.
-KEY_STARTS = ("M", "b3BlbnNzaC1rZXktdjEA", "AAAA")
+def _key_at(data: memoryview) -> tuple[str, int] | None:
+    """Kind and size of the key that ``data`` starts with; a container of private keys without a known size takes it all."""
+    if data[:1] == b"0" and not DER_HEAD.match(data[:16]):
+        return None
+    sizes = _sizes(data)
+    for size in (*sizes, len(data)) if data[: len(SSH_MAGIC)] == SSH_MAGIC else sizes[:1]:
+        if size <= len(data) and (kind := _key_kind(data[:size])):
+            return kind, size
+    return None
 
 
-def _block_keys(block: str) -> Iterator[tuple[str, int, int]]:
-    """Kind, start and end of all keys that begin and end with a line of a base64 block.
+def _base64_keys(run: str) -> Iterator[tuple[str, int, int]]:
+    """Kind, start and end of all keys in a run of base64 of one or more lines.
 
-    At every line start that may begin a key, the block is cut behind the outer length that the bytes there name, and the
-    search goes on behind a key.  The block is decoded once for each place of a line start modulo 4, so the work is linear.
-    An OpenSSH key without such a length ends with the block.
+    At every character that may begin a key, the run is cut behind the outer length that the bytes there name, and the
+    search goes on behind a key.  The run is decoded once for each place modulo 4, so the work is linear.
     """
-    lines = [m.span() for m in re.finditer(r"[^\r\n]+", block)]
-    flat = "".join(block[a:b] for a, b in lines).rstrip("=")
-    starts = [0]
-    for a, b in lines:
-        starts.append(min(starts[-1] + b - a, len(flat)))
-    ends = {n: i for i, n in enumerate(starts) if i}
+    breaks = [m.span() for m in BREAKS.finditer(run)]
+    if breaks:
+        edges = [0, *(x for span in breaks for x in span), len(run)]
+        lines = list(zip(edges[::2], edges[1::2], strict=True))
+        flat = "".join(run[a:b] for a, b in lines)
+        before = list(itertools.accumulate((b - a for a, b in lines), initial=0))
+
+        def place(i: int) -> int:
+            k = bisect.bisect_right(before, i) - 1
+            return lines[k][0] + i - before[k]
+    else:
+        flat, place = run, int
+    size = len(flat.rstrip("="))
+    flat = flat[:size].translate({ord("-"): "+", ord("_"): "/"}) + "=" * (len(flat) - size)
     decoded: dict[int, memoryview] = {}
-    i = 0
-    while i < len(lines):
-        at = starts[i]
-        i += 1
-        if not flat.startswith(KEY_STARTS, at):
+    at = 0
+    while m := KEY_START.search(flat, at, size):
+        at = m.start()
+        turn = at % 4
+        if turn not in decoded:
+            n = (size - turn) // 4 * 4
+            rest = flat[turn + n : size]
+            data = binascii.a2b_base64(flat[turn : turn + n])
+            decoded[turn] = memoryview(data + (binascii.a2b_base64(rest + "=" * (4 - len(rest))) if len(rest) > 1 else b""))
+        found = _key_at(decoded[turn][at // 4 * 3 :])
+        if found is None:
+            at += 1
             continue
-        if at % 4 not in decoded:
-            n = len(flat) - at % 4
-            decoded[at % 4] = memoryview(_b64(flat[at % 4 : len(flat) - (n % 4 == 1)]) or b"")
-        data = decoded[at % 4][at // 4 * 3 :]
-        cuts = [(size, ends[at - (-size * 4 // 3)]) for size in _sizes(data) if at - (-size * 4 // 3) in ends]
-        if data[:1] != b"0":
-            cuts.append((len(data), len(lines)))
-        for size, last in cuts:
-            if kind := _key_kind(data[:size]):
-                yield kind, lines[i - 1][0], lines[last - 1][1]
-                i = last
-                break
+        end = min(at - (-found[1] * 4 // 3), size)
+        if end == size:
+            end = len(flat)
+        yield found[0], place(at), place(end - 1) + 1
+        at = end
+
+
+def _hex_keys(run: str) -> list[tuple[str, int, int]]:
+    """Kind, start and end of all keys in a run of hex digits, at either alignment."""
+    found = []
+    for turn in (0, 1):
+        data = bytes.fromhex(run[turn : turn + (len(run) - turn) // 2 * 2])
+        at = 0
+        while m := HEX_HEAD.search(data, at):
+            at = m.start()
+            if key := _key_at(memoryview(data)[at:]):
+                found.append((key[0], turn + 2 * at, turn + 2 * (at + key[1])))
+                at += key[1]
+            else:
+                at += 1
+    out: list[tuple[str, int, int]] = []
+    for key in sorted(found, key=lambda k: (k[1], -k[2])):
+        if not out or key[1] >= out[-1][2]:  # what lies within a key is part of it
+            out.append(key)
+    return out
 
 
 def spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -212,13 +253,9 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if LONG_RUN.search(text):
         for m in BASE64.finditer(text):
-            if "\n" in m[0]:  # lines of text or other keys may precede or follow a key's own lines
-                out += [(kind, m.start() + a, m.start() + b) for kind, a, b in _block_keys(m[0])]
-            elif kind := _key_kind(_b64(m[0])):
-                out.append((kind, m.start(), m.end()))
+            out += [(kind, m.start() + a, m.start() + b) for kind, a, b in _base64_keys(m[0])]
         for m in ANY_HEX.finditer(text):
-            if kind := _key_kind(bytes.fromhex(m[0])):
-                out.append((kind, m.start(), m.end()))
+            out += [(kind, m.start() + a, m.start() + b) for kind, a, b in _hex_keys(m[0])]
     if "." in text and ("ey" in text or "ew" in text):
         at = 0
         while m := SIGNED.search(text, at):

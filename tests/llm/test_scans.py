@@ -33,16 +33,52 @@ def symbols(text):
 
 def test_cross_parsing_is_the_greedy_parse():
     train = {"a": [" ".join(prose(300, 1))], "b": ["zig zag zug zog " * 40]}
-    model = language.build(train, 1500).model()
+    model = language.build(train).model()
     for seed in range(5):
         text = " ".join(prose(60, seed + 10)) + " zig zagzog"
         raw = np.frombuffer(text.encode(), np.uint8)
         _, plain, _ = language.entropies(model, raw, np.array([0, len(raw)]))
         for i, lang in enumerate(model.languages):
-            want = plain_phrases(symbols(train[lang][0])[:1500], symbols(text)[:1024])
+            want = plain_phrases(symbols(train[lang][0]), symbols(text)[:1024])
             assert round(plain[0, i] * len(symbols(text)) / model.bits[i]) == want
 
 
+def test_the_winner_of_long_texts_by_a_plain_parse():
+    """Blocks start again, and each counts the phrase that its end cuts: bits, winner and score are those of the plain sums."""
+    train = {"a": [" ".join(prose(400, 1))], "b": ["zig zag zug zog " * 40], "c": [" ".join(prose(150, 3)) + " ÄÖ ßü"]}
+    model = language.build(train).model()
+    texts = [" ".join(prose(n, n)) + tail for n, tail in ((3, ""), (400, " zig"), (900, " zug" * 300))] + ["", "12 ?", "Zig ZAG"]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    langs, score, _ = language.decide(model, np.concatenate(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    for t, got, s in zip(texts, langs, score.tolist(), strict=True):
+        own = symbols(t)
+        if not own.strip():
+            assert (got, s) == ("und", 0.0)
+            continue
+        pieces = [own[i : i + 1024] for i in range(0, len(own), 1024)]
+        bits = {k: sum(plain_phrases(symbols(v[0]), p) + 1 for p in pieces) * np.log2(len(symbols(v[0])) + 2) / len(own) for k, v in train.items()}
+        assert got == min(bits, key=bits.get)
+        assert abs(s - 1 / sum(2 ** (-4 * (b - min(bits.values()))) for b in bits.values())) < 1e-9
+
+
+def test_samples_are_whole_texts(spark):
+    texts = ["aa bb cc " * 5, "dd ee " * 4, "ff gg hh " * 40, "ii " * 30]
+    rows = [(i, "xx", t) for i, t in enumerate(texts)] + [(9, "yy", "jj kk " * 900), (10, "yy", "ll mm " * 800)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = dict(language.train(df, train_symbols=200).coded)
+    size = lambda t: len(symbols(t)) * 4
+    assert len(got["yy"]) == size("ll mm " * 800)  # only long texts: the shortest, whole
+    whole = {sum(c) for n in range(1, 5) for c in itertools.combinations([size(t) for t in texts], n)}
+    assert len(got["xx"]) in whole and len(got["xx"]) <= 4 * 200
+
+
+def test_a_row_without_an_id_is_not_held_out(spark):
+    from pyspark.sql import Row
+
+    df = spark.createDataFrame([Row(doc_id=None), Row(doc_id=5)], "doc_id long")
+    assert [r["h"] for r in df.select(queries.held_out(5, 0).alias("h")).collect()] in ([False, True], [False, False])
+
+
 def test_language_accuracy(spark):
     got = queries.op1_language_id(spark, DATA).join(queries.table(spark, DATA, "documents").select("doc_id", "lang"), "doc_id").where("held_out")
     r = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.min("score").alias("s"), F.max("score").alias("t")).first()
@@ -101,6 +137,29 @@ def test_structural_confirmation():
     assert kinds(b64(bytes(broken))) == [] and kinds(b64(rng.bytes(200))) == [] and kinds("eyJub25l.abc.def") == []
 
 
+def test_keys_in_odd_places():
+    rng = np.random.default_rng(4)
+    num = lambda k: der(2, b"\x01" + rng.bytes(k))
+    rsa = der(0x30, der(2, b"\0") + b"".join(num(64) for _ in range(8)))
+    many = der(0x30, der(2, b"\0") + b"".join(num(3) for _ in range(200)))
+    b64 = base64.b64encode(rsa).decode()
+    own = lambda t: [(k, t[a:b]) for k, a, b in secrets.spans(t) if k not in secrets.KINDS[:3]]
+    lines = [b64[i : i + 64] for i in range(0, len(b64), 64)]
+    for sep in ("\n    ", "\r\n\t", "\\n", " \n", "\\r\\n"):
+        key = sep.join(lines)
+        assert own("key: |\n    " + key + "\nend") == [("der_key", key)]
+    hexed = rsa.hex()
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(hexed))
+    assert own(mixed) == [("der_key", mixed)] and own("f" + hexed) == [("der_key", hexed)] and own("F0" + hexed.upper()) == [("der_key", hexed.upper())]
+    for junk in ("x", "xy", "xyz", "QUJD"):
+        assert own(junk + b64.rstrip("=")) == [("der_key", b64.rstrip("="))]
+    assert own(base64.b64encode(many).decode()) == [("der_key", base64.b64encode(many).decode())]
+    for n in range(1, 6):
+        block = "\n".join(["Wood" * 10] * n + lines + ["word" * 9] * n)
+        assert [k for k, _ in own(block)] == ["der_key"]
+    assert own("30" * 400) == [] and own("MIIB" * 300) == [] and own("A" * 5000) == []
+
+
 def test_secret_query(spark, odd, none):
     got = {r["doc_id"]: r for r in queries.op2_secret_scan(spark, DATA).collect()}
     for r in queries.table(spark, DATA, "documents").collect():
