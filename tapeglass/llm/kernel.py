@@ -87,11 +87,14 @@ class Chunk:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte: np.ndarray = BYTE) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, U)
-    total = np.zeros(len(buf) + 1, U)
-    np.cumsum(byte[buf] * powers(BASE, len(buf)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(INVERSE, len(buf) + 1)[starts] + (ends - starts).astype(U))
+    return value_hashes(byte[buf], starts, ends) if len(starts) else np.zeros(0, U)
+
+
+def value_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the values from each start to its end."""
+    total = np.zeros(len(values) + 1, U)
+    np.cumsum(values * powers(BASE, len(values)), out=total[1:])
+    return mix((total[ends] - total[starts]) * powers(INVERSE, len(values) + 1)[starts] + (ends - starts).astype(U))
 
 
 def window_hashes(values: np.ndarray, k: int) -> np.ndarray:

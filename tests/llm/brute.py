@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+import unicodedata
 from collections import defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -78,15 +81,43 @@ def lines(docs, least=4, near=8):
     return {d: (len(t.split("\n")), len(gone[d]), "\n".join(s for i, s in enumerate(t.split("\n")) if i not in gone[d])) for d, t in docs.items()}
 
 
-def overlaps(docs, items, window=13, subs=2):
+def plain_words(text):
+    """Runs of letters, marks and digits, each in its lower-case form."""
+    low = lambda ch: ch.lower()[0] if unicodedata.category(ch)[0] in "LMN" else " "
+    return "".join(map(low, text or "")).split(" ")
+
+
+def overlaps(docs, items, window=13, subs=2, short=8, least=3):
     """{(id, item)}."""
-    split = lambda t: [w.lower() for w in re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t or "")]
+    split = lambda t: [w for w in plain_words(t) if w]
     out = set()
     for d, t in docs.items():
         w = split(t)
         for i, s in items.items():
             b = split(s)
-            n, most = (window, subs) if len(b) >= window else (len(b), 0)
-            if n and any(sum(x != y for x, y in zip(w[p : p + n], b[q : q + n], strict=True)) <= most for p in range(len(w) - n + 1) for q in range(len(b) - n + 1)):
+            n, most = (window, subs) if len(b) >= window else (len(b), 1 if len(b) >= short else 0)
+            if n >= least and any(sum(x != y for x, y in zip(w[p : p + n], b[q : q + n], strict=True)) <= most for p in range(len(w) - n + 1) for q in range(len(b) - n + 1)):
                 out.add((d, i))
     return out
+
+
+def fast_overlaps(docs, items, window=13, subs=2, short=8, least=3):
+    """:func:`overlaps` by comparing whole windows as arrays."""
+    number = {}
+    coded = lambda t: np.array([number.setdefault(w, len(number)) for w in plain_words(t) if w])
+    names, parts = [], {}
+    for i, s in items.items():
+        b = coded(s)
+        n, most = (window, subs) if len(b) >= window else (len(b), 1 if len(b) >= short else 0)
+        if n >= least:
+            names.append((i, n, most))
+            parts[i] = np.lib.stride_tricks.sliding_window_view(b, n)
+    out = set()
+    for d, t in docs.items():
+        w = coded(t)
+        for i, n, most in names:
+            if len(w) >= n and np.isin(w, parts[i]).sum() >= n - most:
+                own = np.lib.stride_tricks.sliding_window_view(w, n)
+                if any((n - (own == p).sum(axis=1)).min() <= most for p in parts[i]):
+                    out.add((d, i))
+    return out

@@ -5,12 +5,14 @@ import itertools
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tapeglass.llm import decontaminate, host_rules, language, queries, rule_ensemble, secrets
+from tapeglass.llm.kernel import chunks
 from tests.conftest import DATA
 
-from .brute import WORD, overlaps, sha
+from .brute import WORD, fast_overlaps, overlaps, sha
 from .conftest import odd_documents, prose
 
 
@@ -229,6 +231,51 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.find(odd, bench).count() == 0
 
 
+def test_masks_of_short_items_hit_every_tolerated_one():
+    for n in range(decontaminate.LEAST, decontaminate.WINDOW):
+        for sub in range(n):
+            assert decontaminate.tolerated(n) == 0 or any(sub not in m for m in decontaminate.masks_of(n))
+
+
+def test_decontamination_of_short_odd_and_repeated_texts(spark, monkeypatch):
+    short = [prose(n, 300 + n) for n in range(1, 13)]
+    swap = lambda w, *at: [("zzz" if i in at else x) for i, x in enumerate(w)]
+    items = {n + 1: " ".join(w) for n, w in enumerate(short)} | {50: "same " * 60, 51: "ab cd " * 40, 52: "Ünïcode “quoted words” — and a dash, ٣٤ Ελλάδα ΣΟΦΟΣ then more words here to reach thirteen"}
+    texts = {100 + n: " ".join(prose(9, n) + w + prose(7, 50 + n)) for n, w in enumerate(short)}
+    texts |= {200 + n: " ".join(prose(9, n) + swap(w, n // 2) + prose(7, 50 + n)) for n, w in enumerate(short)}
+    texts |= {300 + n: " ".join(prose(9, n) + swap(w, 0, n) + prose(7, 50 + n)) for n, w in enumerate(short)}
+    texts |= {400: "same " * 2000, 401: "ab cd " * 700, 402: "x " * 30 + "same " * 12 + "y", 403: "same " * 11 + "else same", 404: "ünïcode quoted WORDS and a dash ٣٤ ελλάδα σοφοσ then more words here to reach thirteen", 405: "cd ab " * 6 + "cd"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = overlaps(texts, items)
+    assert {(400, 50), (401, 51), (404, 52), (403, 50), (207, 8), (107, 8), (105, 6)} <= want and (205, 6) not in want and (307, 8) not in want
+    for size in (decontaminate.BLOCK_ITEMS, 4):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", size)
+        got = decontaminate.find(docs, bench).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    assert {r["first_word"] for r in got if r["doc_id"] in (400, 401)} == {0}
+    nameless = spark.createDataFrame([(None, items[9]), (-1, items[9])], "item_id long, text string")
+    assert sorted(str(r["item_id"]) for r in decontaminate.find(docs.where("doc_id = 108"), nameless).collect()) == ["-1", "None"]
+
+
+def test_repeated_words_cost_little():
+    import time
+
+    b = decontaminate.block([1, 2], ["same " * 3000, "ab cd " * 1500])
+    for text in ("same " * 20_000, "ab cd " * 10_000, "ab cd ef " * 6000):
+        start = time.perf_counter()
+        decontaminate.overlaps(b, *decontaminate.words(next(chunks(pa.array([text])))))
+        assert time.perf_counter() - start < 5
+
+
+def test_decontamination_of_a_whole_table(spark):
+    """Both directions, every document and every item."""
+    docs = {r["doc_id"]: r["text"] for r in queries.table(spark, DATA, "documents").collect()}
+    items = {r["item_id"]: r["text"] for r in queries.table(spark, DATA, "benchmark").collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontaminate(spark, DATA).collect()}
+    assert got == fast_overlaps(docs, items)
+
+
 def test_decontamination_on_tables(spark):
     docs = {r["doc_id"]: r["text"] for r in queries.table(spark, DATA, "documents").limit(60).collect()}
     items = {r["item_id"]: r["text"] for r in queries.table(spark, DATA, "benchmark").collect()}
