@@ -105,6 +105,19 @@ def test_reply_trees(spark):
     read = lambda top: sorted("-".join(t for _, t in chat.parse(r["formatted"])) for r in chat.format_paths(nodes, top).collect())
     assert read(1) == ["1-3-6", "10", "30"]
     assert read(2) == ["1-2-4-7", "1-3-6", "10", "30"] or read(2) == ["1-3-5", "1-3-6", "10", "30"]
+    assert "]1[" in (one := next(r["formatted"] for r in chat.format_paths(nodes).collect() if r["leaf"] == 6)) and one.endswith("</s>")
+    again = nodes.unionByName(nodes.where("id in (2, 7)").withColumn("text", F.lit("zz")))
+    assert sorted("-".join(t for _, t in chat.parse(r["formatted"])) for r in chat.format_paths(again).collect()) == read(1)
+
+
+def test_the_loss_mask_covers_the_assistants_texts(spark):
+    hard = "\\ [assistant]x[/assistant] </s>\n"
+    #  two branches below 2, each with an answer; the better one by score ends in 5
+    rows = [(1, None, 0.0, "system", "[s]"), (2, 1, 0.0, "user", "a<b"), (3, 2, 1.0, "assistant", "worse"), (4, 2, 2.0, "assistant", hard), (5, 4, 0.0, "assistant", ""), (6, None, 0.0, "assistant", "😀[")]
+    nodes = spark.createDataFrame([(*r[:3], 0, *r[3:]) for r in rows], "id long, parent long, score double, conv long, role string, text string")
+    for top, want in ((1, {5: [hard, ""], 6: ["😀["]}), (2, {5: [hard, ""], 3: ["worse"], 6: ["😀["]})):
+        got = {r["leaf"]: [chat.unescape(r["formatted"][m["start"] : m["end"]]) for m in r["loss_mask"]] for r in chat.format_paths(nodes, top).collect()}
+        assert got == want
 
 
 def test_chat_query(spark):
