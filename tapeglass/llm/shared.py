@@ -15,7 +15,7 @@ BROADCAST_BYTES = 24 << 20
 #: The shuffle files of a write that is done are of no more use: Spark deletes them at once.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits a key of the filters of hashes, and the logarithm of the bits that a filter has at least and at most (64 MB).
-BITS_A_KEY, FILTER_LEAST, FILTER_MOST = 8, 20, 29
+BITS_A_KEY, FILTER_LEAST, FILTER_MOST = 16, 20, 29
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -114,20 +114,41 @@ def _bitmap(size: int):
     return run
 
 
+def _filter_parts(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """The parts of a filter of the hashes in ``column`` (of a written table), and the logarithm of its bits."""
+    size = min(max(FILTER_LEAST, (BITS_A_KEY * keys.count()).bit_length()), FILTER_MOST)
+    dealt = keys.select(column).repartition(F.shiftrightunsigned(column, 64 - size + 12))
+    return dealt.mapInArrow(_bitmap(size), "part long, bits binary"), size
+
+
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A filter of the hashes in ``column`` (a written table), sized by their counted number up to 64 MB.
+    """A filter of the hashes in ``column`` (of a written table), sized by their counted number up to 64 MB.
 
     It only saves rows of a join that follows (it lets through what it cannot tell, and ever more the more keys there are
     beyond its bound).  Each part is made where its keys are, so the driver gets no more than the filter itself.
     """
-    size = min(max(FILTER_LEAST, (BITS_A_KEY * keys.count()).bit_length()), FILTER_MOST)
-    dealt = keys.select(column).repartition(F.shiftrightunsigned(column, 64 - size + 12))
+    parts, size = _filter_parts(keys, column)
     bits = np.zeros(1 << (size - 3), np.uint8)
-    for r in dealt.mapInArrow(_bitmap(size), "part long, bits binary").toLocalIterator():
+    for r in parts.toLocalIterator():
         bits[r["part"] * 512 : r["part"] * 512 + 512] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits
 
 
+def marked(rows: DataFrame, ids: DataFrame, tmp: Scratch, key: str = "doc") -> DataFrame:
+    """``rows`` with ``maybe``: whether ``key`` may be among that of ``ids`` (written), by such a filter, without a shuffle.
+
+    Rows that are not need no part in a join with ``ids``.
+    """
+    parts, size = _filter_parts(tmp.written(ids.select(F.xxhash64(key).alias("h"))), "h")
+    parts = F.broadcast(tmp.written(parts.withColumnRenamed("part", "__part").withColumnRenamed("bits", "__bits")))  # 64 MB at most
+    h = F.xxhash64(key)
+    bit = F.shiftrightunsigned(h, 64 - size).bitwiseAND(F.lit(4095)).cast("int")
+    found = rows.join(parts.withColumn("__at", F.col("__part")), F.shiftrightunsigned(h, 64 - size + 12) == F.col("__at"), "left").withColumn("__bit", bit)
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit / 8 as int) + 1, 1)")), 16, 10).cast("int")
+    on = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, __bit % 8)")) != 0, F.lit(False))
+    return found.select(*rows.columns, on.alias("maybe"))
+
+
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be among the filter's."""
     at = hashes >> np.uint64(64 - (len(bits).bit_length() + 2))

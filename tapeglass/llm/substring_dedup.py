@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import Chunk, U, chunks, mix, window_hashes
-from .shared import Scratch, identified, key_filter, offered, passes, written
+from .shared import Scratch, identified, key_filter, marked, offered, passes, written
 
 WINDOW, SEED = 20, 8
 #: Windows of one source within which chains are compacted by one aggregate, before the joins.
@@ -124,8 +124,9 @@ def _paths(window: int, seed: int, filter_):
 
 
 def _open(window: int, seed: int):
-    """(path hashes, position, windows, edge hashes, nodes) of the edges of the wanted paths, from the text that has them first."""
-    names = ["p1", "p2", "k", "w", "e1", "e2", "l", "r"]
+    """The edges of the wanted paths, from the text that has them first: path hashes, position in the path, windows, edge
+    hashes, nodes, occurrences of the path, and the source coordinate."""
+    names = ["p1", "p2", "k", "w", "e1", "e2", "l", "r", "n", "doc", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,16 +134,16 @@ def _open(window: int, seed: int):
                 p = paths(c, window, seed)
                 start = p["at"] - p["cuts"][:-1][p["text"]]
                 wanted = batch.column(2).slice(c.first, c.n).to_pylist()
-                keep, whole = np.zeros(len(start), bool), np.zeros(len(start), bool)
+                keep, times = [], []
                 edges = np.searchsorted(p["text"], np.arange(c.n + 1))
                 for i, w in enumerate(wanted):
-                    own = slice(edges[i], edges[i + 1])
-                    keep[own] = np.isin(start[own], [x["start"] for x in w])
-                    whole[own] = np.isin(start[own], [x["start"] for x in w if not x["opened"]])
-                if not keep.any():
+                    keep += (edges[i] + np.searchsorted(start[edges[i] : edges[i + 1]], [x["start"] for x in w])).tolist()
+                    times += [x["n"] for x in w]
+                if not keep:
                     continue
                 p = {**p, **{k: p[k][keep] for k in ("text", "at", "count", "seed")}}
-                whole = whole[keep]
+                start, times = start[keep], np.array(times)
+                whole, times = times < 0, np.abs(times)  # a path that is not opened has its number negated
                 h1, h2 = path_hashes(p, window)
                 n = np.where(whole, 1, p["count"])
                 k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -150,7 +151,8 @@ def _open(window: int, seed: int):
                 at, w = p["at"][of] + k, np.where(whole, p["count"], 1)[of]
                 e = [np.where(whole[of], h[of], window_hashes(mix(p["hashes"], salt), window)[at]) for salt, h in ((43, h1), (44, h2))]
                 node = window_hashes(mix(p["hashes"], 45), window - 1)
-                cols = (h1[of], h2[of], k.astype(np.int32), w.astype(np.int32), *e, node[at], node[at + w])
+                ids = _ids(batch, c)[p["text"]]
+                cols = (h1[of], h2[of], k.astype(np.int32), w.astype(np.int32), *e, node[at], node[at + w], times[of], ids[of], (start[of] + k).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == U else x) for x in cols], names=names)
 
     return run
@@ -186,19 +188,18 @@ def compacted(edges: DataFrame, tmp: Scratch) -> DataFrame:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(source, head, words) of the wanted stretches of texts: (doc, text, array of head and number of words)."""
+    """(source, stretch, from, words) of the wanted stretches of texts: (doc, text, array of stretch, from, number of words)."""
     for batch in batches:
         for c in chunks(batch.column(1)):
             starts, ends, cuts = c.words()
-            docs, heads, found = [], [], []
+            found: list[tuple] = []
             raw = c.buf.tobytes()
             for i, (doc, wanted) in enumerate(zip(_ids(batch, c).tolist(), batch.column(2).slice(c.first, c.n).to_pylist(), strict=True)):
                 for x in wanted:
-                    at = slice(cuts[i] + x["head"], cuts[i] + x["head"] + x["words"])
-                    docs.append(doc)
-                    heads.append(x["head"])
-                    found.append(" ".join([raw[p:q].decode() for p, q in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(heads, pa.int32()), pa.array(found, pa.string())], names=["source", "head", "words"])
+                    at = slice(cuts[i] + x["from"], cuts[i] + x["from"] + x["words"])
+                    found.append((doc, x["stretch"], x["from"], " ".join([raw[p:q].decode() for p, q in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])))
+            cols = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["source", "stretch", "from", "words"])
 
 
 def repeated_spans(rows: DataFrame, several_rows: bool, *, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -219,40 +220,53 @@ def repeated_spans(rows: DataFrame, several_rows: bool, *, window: int = WINDOW,
         merged = tmp.written(sources.groupBy("p1", "p2", "windows").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("seed").alias("seed")))
         several = tmp.written(merged.groupBy("seed").agg(F.count(F.lit(1)).alias("paths")).where("paths > 1").select("seed", F.lit(True).alias("opened")))
         known = merged.join(offered(several, 24), "seed", "left").where("opened or n > 1")
-        known = tmp.written(known.select("p1", "p2", "n", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), F.coalesce("opened", F.lit(False)).alias("opened")))
-        wanted = tmp.written(known.groupBy("doc").agg(F.collect_list(F.struct("start", "opened")).alias("starts")))
-        texts = rows.select("doc", "text").join(offered(wanted, F.size("starts") * 16 + 64), "doc").select("doc", "text", "starts")
-        edges = texts.mapInArrow(_open(window, seed), "p1 long, p2 long, k int, w int, e1 long, e2 long, l long, r long")
-        edges = once(edges, "p1", "p2", "k").join(known.select("p1", "p2", "n", "doc", "start"), ["p1", "p2"])
-        edges = tmp.written(edges.select("p1", "p2", "k", "w", "e1", "e2", "l", "r", "n", "doc", (F.col("start") + F.col("k")).alias("start")))
+        n = F.when(F.col("opened"), F.col("n")).otherwise(-F.col("n"))
+        wanted = tmp.written(known.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), n.alias("n"))).alias("starts")))
+        texts = marked(rows.select("doc", "text"), wanted, tmp).where("maybe").join(wanted, "doc").select("doc", "text", "starts")
+        edges = texts.mapInArrow(_open(window, seed), "p1 long, p2 long, k int, w int, e1 long, e2 long, l long, r long, n long, doc long, start int")
+        edges = tmp.written(once(edges, "p1", "p2", "k"))
         graph = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc", "start")).alias("first"), F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("w", "l", "r"))).where("n > 1")
         graph = tmp.written(graph.select("e1", "e2", "first.doc", "first.start", "w", "l", "r"))
-        heads = compacted(graph, tmp)
-        chains = tmp.written(graph.join(heads, ["doc", "start"]).select("e1", "e2", F.col("doc").alias("source"), F.col("start").alias("at"), "head", "w"))
-        # The pieces of each path that lie on one chain.
-        on = edges.select("p1", "p2", "k", "w", "e1", "e2").join(chains.drop("w"), ["e1", "e2"])
-        order = Window.partitionBy("p1", "p2").orderBy("k")
-        follows = (F.lag(F.col("k") + F.col("w")).over(order) == F.col("k")) & (F.lag("source").over(order) == F.col("source")) & (F.lag("head").over(order) == F.col("head")) & (F.lag(F.col("at") + F.col("w")).over(order) == F.col("at"))
-        on = on.withColumn("new", F.coalesce((~follows).cast("int"), F.lit(1))).withColumn("piece", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        pieces = on.groupBy("p1", "p2", "piece").agg(F.min("k").alias("k"), F.sum("w").cast("int").alias("w"), F.first("source").alias("source"), F.min("at").alias("at"), F.first("head").alias("head"))
-        pieces = tmp.written(pieces.groupBy("p1", "p2").agg(F.collect_list(F.struct("k", "w", "source", "at", "head")).alias("pieces")))
+        chains = chained(graph, compacted(graph, tmp))
+        # The pieces of each path that lie on one stretch of a source.
+        on = edges.select("p1", "p2", "k", "w", "e1", "e2").join(tmp.written(chains), ["e1", "e2"])
+        pieces = _runs(on, ("p1", "p2"), "k")
+        pieces = tmp.written(pieces.groupBy("p1", "p2").agg(F.collect_list(F.struct("k", "w", "source", "at", "stretch")).alias("pieces")))
         hits = sources.select("p1", "p2", "doc", "start").join(pieces, ["p1", "p2"]).select("doc", "start", F.explode("pieces").alias("s"))
-        hits = hits.select("doc", (F.col("start") + F.col("s.k")).alias("a"), "s.w", "s.source", "s.at", "s.head").where("doc <> source or a <> at")
-        # Repeats that go on along the chain are one span.
-        order = Window.partitionBy("doc").orderBy("a")
-        follows = (F.lag(F.col("a") + F.col("w")).over(order) == F.col("a")) & (F.lag("source").over(order) == F.col("source")) & (F.lag("head").over(order) == F.col("head")) & (F.lag(F.col("at") + F.col("w")).over(order) == F.col("at"))
-        spans = hits.withColumn("new", F.coalesce((~follows).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        spans = tmp.written(spans.groupBy("doc", "run").agg(F.min("a").alias("a"), F.sum("w").cast("int").alias("w"), F.first("source").alias("source"), F.first("head").alias("head"), (F.min("at") - F.first("head")).alias("off")))
-        # The words of each chain that has spans, at its source coordinate.
-        used = spans.groupBy("source", "head").agg(F.max(F.col("off") + F.col("w")).alias("w"))
-        wanted = tmp.written(used.groupBy(F.col("source").alias("doc")).agg(F.collect_list(F.struct("head", (F.col("w") + window - 1).alias("words"))).alias("heads")))
-        words = rows.select("doc", "text").join(offered(wanted, F.size("heads") * 16 + 64), "doc").select("doc", "text", "heads").mapInArrow(_words, "source long, head int, words string")
-        words = tmp.written(once(words, "source", "head"))
-        part = F.array_join(F.slice(F.split("words", " "), F.col("off") + 1, F.col("w") + window - 1), " ")
-        checked = spans.join(offered(words, F.length("words") + 64), ["source", "head"]).select("doc", F.struct("a", "w", part.alias("words")).alias("s"))
+        hits = hits.select("doc", (F.col("start") + F.col("s.k")).alias("a"), "s.w", "s.source", "s.at", "s.stretch").where("doc <> source or a <> at")
+        # Repeats that go on along the source are one span.
+        spans = tmp.written(_runs(hits, ("doc",), "a"))
+        # The words of each stretch that has spans, at its source coordinate.
+        used = spans.groupBy("source", "stretch").agg(F.min("at").alias("from"), F.max(F.col("at") + F.col("w")).alias("to"))
+        wanted = tmp.written(used.groupBy(F.col("source").alias("doc")).agg(F.collect_list(F.struct("stretch", "from", (F.col("to") - F.col("from") + window - 1).alias("words"))).alias("stretches")))
+        words = marked(rows.select("doc", "text"), wanted, tmp).where("maybe").join(wanted, "doc").select("doc", "text", "stretches").mapInArrow(_words, "source long, stretch int, from int, words string")
+        words = tmp.written(once(words, "source", "stretch"))
+        part = F.array_join(F.slice(F.split("words", " "), F.col("at") - F.col("from") + 1, F.col("w") + window - 1), " ")
+        checked = spans.join(words, ["source", "stretch"]).select("doc", F.struct("a", "w", part.alias("words")).alias("s"))
         return written(checked.groupBy("doc").agg(F.collect_list("s").alias("spans")))
 
 
+def chained(graph: DataFrame, heads: DataFrame) -> DataFrame:
+    """e1, e2, source, at, stretch of every edge: chains that follow each other in one source are a stretch of it.
+
+    ``stretch`` is its first window.  The chains of a source are ordered in one task: they are no more than its windows.
+    """
+    placed = graph.select("e1", "e2", "doc", "start", "w").join(heads, ["doc", "start"])
+    chains = placed.groupBy("doc", "head").agg(F.max(F.col("start") + F.col("w")).alias("end"))
+    order = Window.partitionBy("doc").orderBy("head")
+    first = F.when(F.coalesce(F.lag("end").over(order) != F.col("head"), F.lit(True)), F.col("head"))
+    stretches = chains.select("doc", "head", first.alias("first")).select("doc", "head", F.last("first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
+    return placed.join(stretches, ["doc", "head"]).select("e1", "e2", F.col("doc").alias("source"), F.col("start").alias("at"), "stretch")
+
+
+def _runs(rows: DataFrame, by: tuple[str, ...], place: str) -> DataFrame:
+    """Rows (``place``, w windows) that follow each other both here and in their source, as one: by, place, w, source, at, stretch."""
+    order = Window.partitionBy(*by).orderBy(place)
+    goes_on = (F.lag(F.col(place) + F.col("w")).over(order) == F.col(place)) & (F.lag("source").over(order) == F.col("source")) & (F.lag(F.col("at") + F.col("w")).over(order) == F.col("at"))
+    rows = rows.withColumn("new", F.coalesce((~goes_on).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*by, "run").agg(F.min(place).alias(place), F.sum("w").cast("int").alias("w"), F.first("source").alias("source"), F.min("at").alias("at"), F.first("stretch").alias("stretch"))
+
+
 def removed_words(words: list[bytes], spans: list[dict], window: int) -> np.ndarray:
     """Which words the spans' windows cover, of those spans whose words are these."""
     cover = np.zeros(len(words) + 1, np.int64)
@@ -288,10 +302,11 @@ def _kept(window: int):
 def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words kept, joined by one space) of every document.
 
-    The spans join the texts by broadcast while their counted size is under the bound, else by a shuffle.
+    Texts without a repeat are passed by; the others are joined with their spans.
     """
     rows, numbered = identified(docs, text, doc_id, merged=True)
     spans = repeated_spans(rows, numbered, window=window, seed=seed)
-    size = F.aggregate("spans", F.lit(64), lambda t, s: t + F.length(s["words"]) + 32)
-    found = rows.join(offered(spans, size), "doc", "left").select("id", "text", "spans")
-    return found.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
+    rows = marked(rows, spans.select("doc"), Scratch(docs.sparkSession))  # its filter stays: the result reads it
+    found = rows.where("maybe").join(spans, "doc", "left").select("id", "text", "spans")
+    rest = rows.where("not maybe").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return found.unionAll(rest).mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")

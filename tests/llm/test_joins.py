@@ -115,8 +115,8 @@ def test_jaccard_by_shuffles_only(spark, monkeypatch):
     docs = dict(enumerate(t for s, (size, n, e) in enumerate([(20, 90, 9), (15, 40, 6)]) for t in family(s, size, n, e)))
     rows = spark.createDataFrame([*docs.items()], "doc_id long, text string")
     monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(shared, "FILTER_LEAST", 12)
-    monkeypatch.setattr(shared, "FILTER_MOST", 12)
+    monkeypatch.setattr(shared, "FILTER_LEAST", 13)
+    monkeypatch.setattr(shared, "FILTER_MOST", 13)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(rows, words=5, num=80, den=100).collect()}
     assert got == brute.jaccard(docs, 5, 80, 100)
 
@@ -198,7 +198,7 @@ def test_substrings_by_shuffles_only(spark, monkeypatch):
 
     passage = prose(60, 5)
     docs = {d: " ".join(prose(30, d) + passage[d % 7 : 60 - d % 5] + prose(9, 200 + d)) for d in range(25)}
-    for name, value in (("BROADCAST_BYTES", 0), ("FILTER_LEAST", 12), ("FILTER_MOST", 12)):
+    for name, value in (("BROADCAST_BYTES", 0), ("FILTER_LEAST", 13), ("FILTER_MOST", 13)):
         monkeypatch.setattr(shared, name, value)
     got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept"]) for x in substring_dedup.dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
     assert got == brute.substrings(docs)
