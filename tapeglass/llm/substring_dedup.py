@@ -213,8 +213,9 @@ def repeated_spans(rows: DataFrame, several_rows: bool, *, window: int = WINDOW,
         seeds = rows.select("doc", "text").mapInArrow(_seeds(window, seed), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
         shared = tmp.written(seeds.select("seed"))
         bits = spark.sparkContext.broadcast(key_filter(shared, "seed"))
-        sources = rows.select("doc", "text").mapInArrow(_paths(window, seed, bits), "seed long, p1 long, p2 long, windows int, doc long, start int").join(offered(shared, 24), "seed", "left_semi")
-        sources = tmp.written(once(sources.select("seed", "p1", "p2", "windows", "doc", "start"), "doc", "start"))
+        sources = rows.select("doc", "text").mapInArrow(_paths(window, seed, bits), "seed long, p1 long, p2 long, windows int, doc long, start int")
+        # What the filter lets through besides is a path by itself, which the next steps drop.
+        sources = tmp.written(once(sources, "doc", "start"))
         bits.unpersist()
         # Equal paths meet: one row a path, with its earliest source.
         merged = tmp.written(sources.groupBy("p1", "p2", "windows").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("seed").alias("seed")))
@@ -267,12 +268,30 @@ def _runs(rows: DataFrame, by: tuple[str, ...], place: str) -> DataFrame:
     return rows.groupBy(*by, "run").agg(F.min(place).alias(place), F.sum("w").cast("int").alias("w"), F.first("source").alias("source"), F.min("at").alias("at"), F.first("stretch").alias("stretch"))
 
 
-def removed_words(words: list[bytes], spans: list[dict], window: int) -> np.ndarray:
-    """Which words the spans' windows cover, of those spans whose words are these."""
-    cover = np.zeros(len(words) + 1, np.int64)
-    for s in spans or ():
+def joined(c: Chunk, starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words joined by one space, text by text without a break, and the words' starts among them.
+
+    ``starts`` and ``ends`` are of words in ``c.buf``, ``cuts`` the texts' offsets among the words.
+    """
+    size = (ends - starts).astype(np.int64)
+    spaced = np.ones(len(size), np.int64)
+    spaced[cuts[:-1][cuts[:-1] < len(size)]] = 0  # no space before a text's first word
+    at = np.cumsum(size + spaced) - size
+    out = np.full(int((size + spaced).sum()), 0x20, np.uint8)
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(at, size) + inside] = c.buf[np.repeat(starts, size) + inside]
+    return out, at
+
+
+def removed_words(n_words: int, raw: bytes, at: list[int], ends: list[int], spans: list[dict], window: int) -> np.ndarray:
+    """Which words of a text the spans' windows cover, of those spans whose words are these.
+
+    ``raw``: joined words, ``at`` and ``ends``: where each word of the text starts and ends there.
+    """
+    cover = np.zeros(n_words + 1, np.int64)
+    for s in spans:
         a, b = s["a"], s["a"] + s["w"] + window - 1
-        if b" ".join(words[a:b]) == s["words"].encode():
+        if raw[at[a] : ends[b - 1]] == s["words"].encode():
             cover[a] += 1
             cover[b] -= 1
     return np.cumsum(cover)[:-1] > 0
@@ -283,18 +302,24 @@ def _kept(window: int):
         for batch in batches:
             for c in chunks(batch.column(1)):
                 starts, ends, cuts = c.words()
-                spans = batch.column(2).slice(c.first, c.n).to_pylist()
-                n, texts = np.diff(cuts), []
-                gone = np.zeros(c.n, np.int64)
-                raw = c.buf.tobytes()
-                for i in range(c.n):
-                    words = [raw[x:y] for x, y in zip(starts[cuts[i] : cuts[i + 1]].tolist(), ends[cuts[i] : cuts[i + 1]].tolist(), strict=True)]
-                    if spans[i]:
-                        out = removed_words(words, spans[i], window)
-                        gone[i] = out.sum()
-                        words = [words[k] for k in np.flatnonzero(~out).tolist()]
-                    texts.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(n), pa.array(gone), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                n = np.diff(cuts)
+                gone = np.zeros(len(starts), bool)
+                spans = batch.column(2).slice(c.first, c.n)
+                having = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+                if len(having):
+                    raw, at = joined(c, starts, ends, cuts)
+                    raw, last = raw.tobytes(), at + (ends - starts)
+                    for i in having.tolist():
+                        own = slice(cuts[i], cuts[i + 1])
+                        gone[own] = removed_words(int(n[i]), raw, at[own].tolist(), last[own].tolist(), spans[i].as_py(), window)
+                total = np.zeros(len(gone) + 1, np.int64)
+                np.cumsum(gone, out=total[1:])
+                kept = cuts - total[cuts]
+                out, at = joined(c, starts[~gone], ends[~gone], kept)
+                # A text's bytes end where the next one's begin.
+                edges = np.append(at, len(out))[kept] if len(at) else np.zeros(c.n + 1, np.int64)
+                texts = pa.Array.from_buffers(pa.large_string(), c.n, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(out)]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(n), pa.array(total[cuts[1:]] - total[cuts[:-1]]), texts], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
