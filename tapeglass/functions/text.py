@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,11 +88,15 @@ def url_title(url: Column) -> Column:
     return F.when((F.length(url) >= 10) & (F.length(title) >= 8) & ~title.rlike(r"^[\d ]+$"), title)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once however often it is named: the optimiser does not copy it into each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def json_block(answer: Column) -> Column:
     """The first innermost braced block of a model's answer, without code fences."""
     bare = F.trim(F.regexp_replace(F.coalesce(answer, F.lit("")), "```(?:json)?", ""))
-    found = F.regexp_extract(bare, r"(?s)\{[^{}]*\}", 0)
-    return F.when(found != "", found)
+    return once(F.regexp_extract(bare, r"(?s)\{[^{}]*\}", 0), lambda found: F.when(found != "", found))
 
 
 #: Confidence is read as text: a quoted number is accepted.
@@ -100,18 +104,22 @@ ANSWER = "sentiment string, confidence string, rationale string, entities array<
 
 
 def checked_answer(answer: Column) -> Column:
-    """struct(valid, message, sentiment, confidence, score, entities) of a model's answer."""
-    block = json_block(answer)
-    a = F.from_json(block, ANSWER)
-    sentiment, confidence = a["sentiment"], a["confidence"].try_cast("double")
-    message = F.when(block.isNull() | a.isNull(), "Not a dict")
-    for field in ("sentiment", "confidence", "rationale", "entities"):
-        message = message.when(a[field].isNull(), f"Missing field: {field}")
-    message = message.when(~sentiment.isin("bullish", "bearish", "neutral"), "Invalid sentiment")
-    message = message.when(confidence.isNull() | F.isnan(confidence), "Invalid confidence").when((confidence < 0) | (confidence > 1), "Confidence out of range").otherwise("OK")
-    ok = message == "OK"
-    sign = F.when(sentiment == "bullish", 1.0).when(sentiment == "bearish", -1.0).otherwise(0.0)
-    return F.struct(ok.alias("valid"), message.alias("message"), F.when(ok, sentiment).alias("sentiment"), F.when(ok, confidence).alias("confidence"), F.when(ok, sign * confidence).alias("score"), F.when(ok, F.to_json(a["entities"])).alias("entities"))
+    """struct(valid, message, sentiment, confidence, score, entities) of a model's answer, which is parsed once."""
+
+    def fields(a: Column, confidence: Column, message: Column) -> Column:
+        ok, sentiment = message == "OK", a["sentiment"]
+        sign = F.when(sentiment == "bullish", 1.0).when(sentiment == "bearish", -1.0).otherwise(0.0)
+        return F.struct(ok.alias("valid"), message.alias("message"), F.when(ok, sentiment).alias("sentiment"), F.when(ok, confidence).alias("confidence"), F.when(ok, sign * confidence).alias("score"), F.when(ok, F.to_json(a["entities"])).alias("entities"))
+
+    def checked(a: Column, confidence: Column) -> Column:
+        message = F.when(a.isNull(), "Not a dict")
+        for field in ("sentiment", "confidence", "rationale", "entities"):
+            message = message.when(a[field].isNull(), f"Missing field: {field}")
+        message = message.when(~a["sentiment"].isin("bullish", "bearish", "neutral"), "Invalid sentiment")
+        message = message.when(confidence.isNull() | F.isnan(confidence), "Invalid confidence").when((confidence < 0) | (confidence > 1), "Confidence out of range").otherwise("OK")
+        return once(message, lambda m: fields(a, confidence, m))
+
+    return once(F.from_json(json_block(answer), ANSWER), lambda a: once(a["confidence"].try_cast("double"), lambda confidence: checked(a, confidence)))
 
 
 def prompt(title: Column, repair: Column | None = None) -> Column:

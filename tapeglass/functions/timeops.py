@@ -44,7 +44,7 @@ def next_trading_day(dates: DataFrame, calendar: DataFrame, date: str = "date",
     span = F.year("d")
     first_of_year = calendar.groupBy((F.year(day) - 1).alias("y")).agg(F.min(day).alias("f"))
     w = Window.partitionBy(span).orderBy(F.desc("d"), F.desc_nulls_last("t")).rowsBetween(Window.unboundedPreceding, 0)
-    found = every.withColumn("in_year", F.last("t", ignorenulls=True).over(w)).where("t is null").withColumn("y", span).join(F.broadcast(first_of_year), "y", "left")
+    found = every.withColumn("in_year", F.last("t", ignorenulls=True).over(w)).where("t is null").withColumn("y", span).join(first_of_year, "y", "left")
     found = found.select("d", F.coalesce("in_year", "f", "d").alias("next_day"))
     return dates.join(found, dates[date] == found["d"], "left").drop("d")
 
@@ -55,6 +55,19 @@ def effective_date(local: Column, bucket: Column) -> Column:
     return on_weekday(F.when(bucket == "CLOSED_POST", F.date_add(d, 1)).otherwise(d))
 
 
+#: Date windows that charts and summaries mark: label, first day, last day (none: open).
+WINDOWS = (("COVID", "2020-03-01", "2020-06-30"), ("Holdout", "2024-07-01", None))
+
+
+def window_label(date: Column, windows: tuple[tuple[str, str, str | None], ...] = WINDOWS) -> Column:
+    """The first window that holds a date; NULL outside all."""
+    label = F.lit(None).cast("string")
+    for name, first, last in reversed(windows):
+        inside = date >= F.to_date(F.lit(first))
+        label = F.when(inside if last is None else inside & (date <= F.to_date(F.lit(last))), name).otherwise(label)
+    return label
+
+
 def trading_calendar(spark: SparkSession, start: str = "2019-01-01", end: str = "2027-01-01") -> DataFrame:
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias("trading_day"))
     return days.where(F.weekday("trading_day") < 5)

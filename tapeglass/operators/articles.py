@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config
 from ..config import DEFAULT, Settings
@@ -32,13 +36,64 @@ def match_entities(articles: DataFrame, instruments: list[tuple[str, list[str]]]
     return rows.select(*articles.columns, F.explode(F.transform(found, lambda e: e["t"])).alias(as_name))
 
 
+#: Keywords and characters of a dictionary that are sent to the executors at once.
+BLOCK_KEYWORDS, BLOCK_CHARS = 200_000, 8 << 20
+
+
 def match_entities_join(articles: DataFrame, instruments: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The same with a dictionary relation (ticker, keywords) of any size: a nested-loop join at instrument grain."""
-    low = {f"__{c}": text.folded(F.col(c)) for c in columns}
-    rows = articles.withColumns(low)
-    dim = instruments.select("ticker", F.transform("keywords", lambda k: F.lower(k)).alias("__ks"))
-    hit = F.exists("__ks", lambda k: F.greatest(*(F.contains(F.col(c), k) for c in low)) if len(low) > 1 else F.contains(F.col(next(iter(low))), k))
-    return rows.join(dim, hit).select(*articles.columns, "ticker")
+    """The same with a dictionary relation (ticker, keywords) of any size, one row an article and instrument.
+
+    An automaton of all keywords of a block finds those in a text in one pass over it, in Arrow batches and without a
+    shuffle; a block is bounded, and a larger dictionary takes a pass over the articles for each of its blocks.
+    """
+    low = [text.folded(F.col(c)).alias(f"__{i}") for i, c in enumerate(columns)]
+    rows = articles.select(*articles.columns, *low)
+    schema = T.StructType([*articles.schema.fields, T.StructField("ticker", instruments.schema["ticker"].dataType)])
+    out = articles.select("*", F.lit(None).cast(schema["ticker"].dataType).alias("ticker")).where("false")
+    dim = instruments.select("ticker", F.transform("keywords", lambda k: F.lower(k)).alias("ks")).where("ks is not null")
+    for block in _blocks(dim):
+        out = out.unionByName(rows.mapInArrow(_matcher(articles.sparkSession.sparkContext.broadcast(block), len(articles.columns), [f.name for f in schema]), schema))
+    return out
+
+
+def _blocks(dim: DataFrame) -> Iterator[list[tuple[object, list[str]]]]:
+    block, keywords, chars = [], 0, 0
+    for r in dim.toLocalIterator():
+        block.append((r["ticker"], [k for k in r["ks"] if k is not None]))
+        keywords, chars = keywords + len(block[-1][1]), chars + sum(map(len, block[-1][1]))
+        if keywords >= BLOCK_KEYWORDS or chars >= BLOCK_CHARS:
+            yield block
+            block, keywords, chars = [], 0, 0
+    if block:
+        yield block
+
+
+def _matcher(sent, width: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        block = sent.value
+        known, always = ahocorasick.Automaton(), [i for i, (_, ks) in enumerate(block) if "" in ks]
+        owners: dict[str, list[int]] = {}
+        for i, (_, ks) in enumerate(block):
+            for k in filter(None, ks):
+                owners.setdefault(k, []).append(i)
+        for k, found in owners.items():
+            known.add_word(k, found)
+        known.make_automaton()
+        for batch in batches:
+            at, which = [], []
+            for i, texts in enumerate(zip(*(c.to_pylist() for c in batch.columns[width:]), strict=True)):
+                hit = set(always)
+                for t in texts if owners else ():
+                    for _, found in known.iter(t):
+                        hit.update(found)
+                at += [i] * len(hit)
+                which += sorted(hit)
+            got = batch.slice(0).select(list(range(width))).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*got.columns, pa.array([block[k][0] for k in which], pa.string())], names=names)
+
+    return run
 
 
 def weak_labels(articles: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -100,6 +100,11 @@ def prob_group(prob: Column) -> Column:
     return F.when((prob >= 0) & (prob <= 0.3), "organic").when((prob > 0.3) & (prob <= 0.7), "uncertain").when((prob > 0.7) & (prob <= 1), "sponsored")
 
 
+def uncertain(prob: Column, inclusive: bool = False) -> Column:
+    """Between 0.3 and 0.7: without the bounds, or (as one report takes it) with them."""
+    return (prob >= 0.3) & (prob <= 0.7) if inclusive else (prob > 0.3) & (prob < 0.7)
+
+
 def band_counts(rows: DataFrame, count: str) -> DataFrame:
     """Share of cells with 0, 1-2 and 3 or more."""
     c = F.col(count)

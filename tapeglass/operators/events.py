@@ -18,7 +18,7 @@ def thresholds(train: DataFrame, signal: str = SIGNAL, settings: Settings = DEFA
 
 def flagged(rows: DataFrame, limits: DataFrame, signal: str = SIGNAL) -> DataFrame:
     """One row an event: bull (>= p80) and bear (<= p20); a row can be both."""
-    out = rows.join(F.broadcast(limits), "ticker")
+    out = rows.join(limits, "ticker")
     kinds = F.array_compact(F.array(F.when(F.col(signal) >= F.col("p80"), "bull"), F.when(F.col(signal) <= F.col("p20"), "bear")))
     return out.withColumn("kind", F.explode(kinds))
 

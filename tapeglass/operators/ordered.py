@@ -43,7 +43,7 @@ def average_ranks(df: DataFrame, value: str, *by: str, name: str = "rank") -> Da
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     cum = running(counts, (*by, value), {"__cum": "__n"}).withColumn("__before", F.col("__cum") - F.col("__n"))
     base = cum.groupBy(*by).agg(F.min("__before").alias("__base"))
-    ranked = cum.join(F.broadcast(base), list(by)) if by else cum.crossJoin(F.broadcast(base))
+    ranked = cum.join(base, list(by)) if by else cum.crossJoin(F.broadcast(base))
     ranked = ranked.select(*by, value, (F.col("__before") - F.col("__base") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(ranked, [*by, value])
 

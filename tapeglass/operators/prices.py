@@ -36,9 +36,9 @@ def market_regime(index: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 def panel(prices: DataFrame, regimes: DataFrame, dimension: DataFrame) -> DataFrame:
     """Returns with sector, cap_tier (INDEX for what the dimension lacks) and the day's regime (SIDEWAYS by default)."""
-    rows = returns(prices).join(F.broadcast(dimension.select("ticker", "sector", "cap_tier")), "ticker", "left")
+    rows = returns(prices).join(dimension.select("ticker", "sector", "cap_tier"), "ticker", "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit("INDEX")) for c in ("sector", "cap_tier")})
-    return rows.join(F.broadcast(regimes.select("date", "market_regime")), "date", "left").withColumn("market_regime", F.coalesce("market_regime", F.lit("SIDEWAYS")))
+    return rows.join(regimes.select("date", "market_regime"), "date", "left").withColumn("market_regime", F.coalesce("market_regime", F.lit("SIDEWAYS")))
 
 
 def winsorize(rows: DataFrame, columns: tuple[str, ...], low: float = 0.01, high: float = 0.99) -> DataFrame:

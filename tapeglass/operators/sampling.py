@@ -10,6 +10,7 @@ from .ordered import row_ids
 
 def portable_hash(key: Column, seed: int = 42) -> Column:
     """An integer hash below 1,000,003 that any SQL engine repeats."""
+    key = key.cast("long") % 1000003  # nothing overflows, whatever the key
     h = (key * 7919 + seed * 104729) % 1000003
     h = (h * h + key) % 1000003
     return (h * 48271 + seed) % 1000003
@@ -35,7 +36,7 @@ def stratified(df: DataFrame, bucket: str, key: str, total: int, seed: int = 42,
     shares = shares.withColumn("__q", F.least(F.col("__q") + F.when(largest, rest).otherwise(0), F.col("__n"))).select(bucket, "__q")
     rank = F.row_number().over(Window.partitionBy(bucket).orderBy(portable_hash(F.col(key), seed) if order is None else order, key))
     ranked = df.withColumn("__r", rank).where(F.col("__r") <= total)
-    return ranked.join(F.broadcast(shares), bucket).where(F.col("__r") <= F.col("__q")).drop("__r", "__q")
+    return ranked.join(shares, bucket).where(F.col("__r") <= F.col("__q")).drop("__r", "__q")
 
 
 def permuted(df: DataFrame, column: str, key: str, seed: int) -> DataFrame:

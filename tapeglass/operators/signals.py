@@ -81,7 +81,7 @@ def master(signals: DataFrame, returns: DataFrame, dimension: DataFrame | None =
     if dimension is not None:
         gaps = out.agg(*((F.count(F.lit(1)) > F.count(c)).alias(f"__no_{c}") for c in ("sector", "cap_tier")))
         dim = dimension.select("ticker", F.col("sector").alias("__sector"), F.col("cap_tier").alias("__cap_tier"))
-        out = out.join(F.broadcast(dim), "ticker", "left").crossJoin(F.broadcast(gaps))
+        out = out.join(dim, "ticker", "left").crossJoin(F.broadcast(gaps))
         for c in ("sector", "cap_tier"):
             out = out.withColumn(c, F.when(F.col(f"__no_{c}"), F.coalesce(f"__{c}", F.lit("UNKNOWN"))).otherwise(F.col(c)))
     return out.select(*(c for c in MASTER_COLUMNS if c in out.columns))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,31 @@ def ic_cells(rows: DataFrame, least: int = DEFAULT.ic_least) -> DataFrame:
     return ranked.groupBy("cell", "date").agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("rx"), F.col("ry")).alias("ic")).where(F.col("n") >= least)
 
 
+def per_stock_correlation(rows: DataFrame, x: str = "organic_signal", y: str = "sponsored_signal", least: int = 30) -> DataFrame:
+    """ticker, n, corr of two signals for tickers with more than ``least`` complete rows."""
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return both.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col(x), F.col(y)).alias("corr")).where(F.col("n") > least)
+
+
+def poisoned_mean(x: Column) -> Column:
+    """A mean that a single missing value makes missing, as statistics do that are not made for missing values."""
+    return F.when(F.count(x) == F.count(F.lit(1)), F.avg(x))
+
+
+def poisoned_std(x: Column) -> Column:
+    return F.when(F.count(x) == F.count(F.lit(1)), F.stddev_samp(x))
+
+
+def interaction(grid: DataFrame, replicates: int = 5000, seed: int = DEFAULT.seed) -> DataFrame:
+    """The two differences of cell means, their z against resampled days, and two-sided normal p."""
+    cells = [c[0] for c in CELL_RETURNS]
+    means = bootstrap_means(grid, tuple(cells), replicates=replicates, seed=seed)
+    sd = means.agg(F.stddev_samp(F.abs("organic_closed") - F.abs("sponsored_closed")).alias("sd_closed"), F.stddev_samp(F.col("organic_open") - F.col("sponsored_open")).alias("sd_open"))
+    own = grid.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg("organic_closed")) - F.abs(F.avg("sponsored_closed"))).alias("diff_closed"), (F.avg("organic_open") - F.avg("sponsored_open")).alias("diff_open"))
+    out = own.crossJoin(sd).select("n", "diff_closed", "diff_open", F.try_divide("diff_closed", "sd_closed").alias("z_closed"), F.try_divide("diff_open", "sd_open").alias("z_open"))
+    return with_normal_p(with_normal_p(out, "z_closed", "p_closed"), "z_open", "p_open")
+
+
 def t_stat(x: Column) -> Column:
     """t of the mean against zero; missing values are left out."""
     return F.try_divide(F.avg(x), F.stddev_samp(x) / F.sqrt(F.count(x)))
@@ -90,7 +116,7 @@ def bootstrap_means(values: DataFrame, columns: tuple[str, ...], order: tuple[st
     n = F.broadcast(numbered.agg(F.count(F.lit(1)).alias("__n")))
     draws = spark.range(replicates).select(F.col("id").alias("b")).crossJoin(n).withColumn("__d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     draws = draws.select("b", resample_index(F.col("b"), F.col("__d"), F.col("__n"), seed).alias("__i"))
-    return draws.join(F.broadcast(numbered), "__i").groupBy("b").agg(*(F.avg(c).alias(c) for c in columns))
+    return draws.join(numbered, "__i").groupBy("b").agg(*(F.avg(c).alias(c) for c in columns))
 
 
 def interval(means: DataFrame, column: str) -> DataFrame:
@@ -128,13 +154,21 @@ def normal_p(z: float | None) -> float | None:
     return None if z is None or math.isnan(z) else math.erfc(abs(z) / math.sqrt(2))
 
 
+def _student_p(t: pd.Series, dof: pd.Series) -> pd.Series:
+    return pd.Series([student_p(None if pd.isna(a) else a, None if pd.isna(b) else b) for a, b in zip(t, dof, strict=True)], dtype="float64")
+
+
+def _normal_p(z: pd.Series) -> pd.Series:
+    return pd.Series([normal_p(None if pd.isna(x) else x) for x in z], dtype="float64")
+
+
 def with_p(rows: DataFrame, t: str, dof: Column, name: str = "p_value") -> DataFrame:
-    """Adds Student's two-sided p to the few final rows of a test (a Python function, row by row)."""
-    return rows.withColumn(name, F.udf(student_p, "double")(F.col(t), dof.cast("double")))
+    """Adds Student's two-sided p, in Arrow batches."""
+    return rows.withColumn(name, F.pandas_udf(_student_p, "double")(F.col(t), dof.cast("double")))
 
 
 def with_normal_p(rows: DataFrame, z: str, name: str = "p_value") -> DataFrame:
-    return rows.withColumn(name, F.udf(normal_p, "double")(F.col(z)))
+    return rows.withColumn(name, F.pandas_udf(_normal_p, "double")(F.col(z)))
 
 
 def corr_t(r: Column, n: Column) -> Column:

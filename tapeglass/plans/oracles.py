@@ -93,11 +93,26 @@ DESCRIBE = "count({0}) AS n, " + ", ".join(f"round({e}, 6) AS {k}" for e, k in (
 def _bootstrap(replicates: int, source: str, columns: str) -> str:
     """Means of resampled rows, by the same integer draws."""
     return f"""num AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i FROM {source}), cnt AS (SELECT count(*) AS n FROM num),
-        d0 AS (SELECT b, d, n, (b * 7919 + d * 104729 + 42) % 1000003 AS h1 FROM range({replicates}) rb(b), cnt, range(400) rd(d) WHERE d < n),
+        d0 AS (SELECT b, d, n, (b * 7919 + d * 104729 + 42) % 1000003 AS h1 FROM range({replicates}) rb(b), cnt, unnest(range(n)) rd(d)),
         d1 AS (SELECT b, d, n, (h1 * h1 + b) % 1000003 AS h2 FROM d0), d2 AS (SELECT b, d, n, (h2 * h2 + d) % 1000003 AS h3 FROM d1),
         d3 AS (SELECT b, ((h3 * 48271 + b * 31) % 1000003) % n AS i FROM d2), boot AS (SELECT b, {columns} FROM d3 JOIN num USING (i) GROUP BY b)"""
 
 
+def _normal_p(z: str) -> str:
+    """Two-sided p of a normal deviate: one minus the error function, by a series of positive terms."""
+    x = f"(abs({z}) / sqrt(2))"
+    terms = f"list_sum(list_transform(range(0, 400), lambda k: exp(k * ln(2) + (2 * k + 1) * ln({x}) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))))"
+    return f"CASE WHEN {z} = 0 THEN 1 ELSE greatest(0, 1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * {terms}) END"
+
+
+def _student_p(t: str, dof: str) -> str:
+    """Two-sided p of Student's t for whole degrees of freedom: the finite sums over powers of the angle's cosine."""
+    a = f"atan(abs({t}) / sqrt({dof}))"
+    even = f"sin({a}) * list_sum(list_transform(range(0, CAST(({dof}) // 2 AS BIGINT)), lambda k: exp(lgamma(2 * k + 1) - 2 * k * ln(2) - 2 * lgamma(k + 1)) * pow(cos({a}), 2 * k)))"
+    odd = f"2 / pi() * ({a} + sin({a}) * cos({a}) * coalesce(list_sum(list_transform(range(0, CAST(({dof} - 1) // 2 AS BIGINT)), lambda k: exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(cos({a}), 2 * k))), 0))"
+    return f"(1 - CASE WHEN ({dof}) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
 def _add(name: str, needs: str, sql: str) -> None:
     _sql[name] = (needs, sql)
 
@@ -178,6 +193,7 @@ _M = "avg(tone_score) FILTER (WHERE prob_group = '{}')"
 _add("group_mean_difference", "grp", f"SELECT round({_M.format('sponsored')} - {_M.format('organic')}, 6) AS separation, round(abs({_M.format('sponsored')}) - abs({_M.format('organic')}), 6) AS abs_separation FROM grp")
 _add("domain_stats", "art", "SELECT source_domain, count(*) AS n, round(avg(prob), 6) AS mean_prob, round(avg(tone_score), 6) AS mean_tone, arg_min(ticker, article_id) AS first_ticker FROM art GROUP BY source_domain HAVING count(*) >= 5 ORDER BY avg(prob) DESC, source_domain LIMIT 20")
 _add("uncertain_zone", "art", "SELECT source_domain, time_bucket, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM art WHERE prob > 0.3 AND prob < 0.7 GROUP BY source_domain, time_bucket")
+_add("uncertain_zone_inclusive", "art", "SELECT source_domain, time_bucket, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM art WHERE prob >= 0.3 AND prob <= 0.7 GROUP BY source_domain, time_bucket")
 _add("describe", "art", f"SELECT source_domain, {DESCRIBE.format('tone_score')} FROM art GROUP BY source_domain")
 _CELLS = ("signal_organic_closed", "signal_organic_open", "signal_sponsored_closed", "signal_sponsored_open")
 _add("coverage_metrics", "sig", "SELECT count(*) AS n, " + ", ".join(f"count({c}) AS n_{c}, round(100 * count({c}) / count(*), 6) AS pct_{c}" for c in _CELLS) + " FROM sig")
@@ -198,10 +214,19 @@ _add("ic_paired_diff", "ics", f"WITH x AS (SELECT a.ic - b.ic AS v FROM ics a JO
 _add("ic_positional_diff", "ics", """WITH k AS (SELECT cell, ic, row_number() OVER (PARTITION BY cell ORDER BY date) AS i FROM ics), x AS (SELECT a.ic - b.ic AS v FROM k a JOIN k b ON a.i = b.i AND a.cell = 'organic_open' AND b.cell = 'sponsored_open')
     SELECT count(*) AS n, round(avg(v), 6) AS mean_diff, round(stddev_samp(v), 6) AS sd_diff FROM x""")
 _add("ic_bootstrap_ci", "ics", f"WITH one AS (SELECT date, ic FROM ics WHERE cell = 'organic_open'), {_bootstrap(1000, 'one', 'avg(ic) AS ic')} SELECT round(quantile_cont(ic, 0.025), 6) AS ci_low, round(quantile_cont(ic, 0.975), 6) AS ci_high, round(stddev_samp(ic), 6) AS sd FROM boot")
-_add("interaction_test", "grid", f"""WITH {_bootstrap(500, "grid", ", ".join(f"avg({c}) AS {c}" for c in ("organic_closed", "organic_open", "sponsored_closed", "sponsored_open")))},
+_add("interaction_test", "grid", f"""WITH {_bootstrap(5000, "grid", ", ".join(f"avg({c}) AS {c}" for c in ("organic_closed", "organic_open", "sponsored_closed", "sponsored_open")))},
     s AS (SELECT stddev_samp(abs(organic_closed) - abs(sponsored_closed)) AS sc, stddev_samp(organic_open - sponsored_open) AS so FROM boot),
-    o AS (SELECT count(*) AS n, abs(avg(organic_closed)) - abs(avg(sponsored_closed)) AS dc, avg(organic_open) - avg(sponsored_open) AS dop FROM grid)
-    SELECT n, round(dc, 6) AS diff_closed, round(dop, 6) AS diff_open, round(dc / nullif(sc, 0), 6) AS z_closed, round(dop / nullif(so, 0), 6) AS z_open FROM o, s""")
+    o AS (SELECT count(*) AS n, abs(avg(organic_closed)) - abs(avg(sponsored_closed)) AS dc, avg(organic_open) - avg(sponsored_open) AS dop FROM grid),
+    z AS (SELECT n, dc, dop, dc / nullif(sc, 0) AS zc, dop / nullif(so, 0) AS zo FROM o, s)
+    SELECT n, round(dc, 6) AS diff_closed, round(dop, 6) AS diff_open, round(zc, 6) AS z_closed, round(zo, 6) AS z_open, round({_normal_p("zc")}, 6) AS p_closed, round({_normal_p("zo")}, 6) AS p_open FROM z""")
+_add("poisoned_metrics", "ics", "SELECT cell, count(*) AS n, round(CASE WHEN count(ic) = count(*) THEN avg(ic) END, 6) AS ic_mean, round(CASE WHEN count(ic) = count(*) THEN stddev_samp(ic) END, 6) AS ic_std FROM ics GROUP BY cell")
+_add("date_windows", "", """SELECT label, count(*) AS n, min(d) AS first_day, max(d) AS last_day FROM (SELECT CAST(d AS DATE) AS d, CASE WHEN d >= DATE '2020-03-01' AND d < DATE '2020-07-01' THEN 'COVID' WHEN d >= DATE '2024-07-01' THEN 'Holdout' END AS label
+    FROM range(DATE '2019-01-01', DATE '2027-01-02', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6) WHERE label IS NOT NULL GROUP BY label""")
+_add("p_values", "rolled", f"WITH m AS (SELECT cell, count(*) AS n_days, {T.format('ic')} AS t FROM rolled GROUP BY cell) SELECT cell, n_days, round(t, 6) AS t_stat, round({_student_p('t', 'n_days - 1')}, 6) AS p_value FROM m")
+_add("verdicts", "rolled", f"""WITH m AS (SELECT cell, count(*) AS n, avg(ic) AS ic, {T.format('ic')} AS t FROM rolled GROUP BY cell), o AS (SELECT max(ic) FILTER (WHERE cell = 'organic_open') AS a, max(ic) FILTER (WHERE cell = 'sponsored_open') AS b, max(t) AS t, max(n) AS n FROM m)
+    SELECT round(a, 6) AS a, round(b, 6) AS b, CASE WHEN a > b AND {_student_p('t', 'n - 1')} < 0.05 THEN 'SUPPORTED' WHEN a <= b THEN 'NOT SUPPORTED' ELSE 'MIXED' END AS verdict FROM o""")
+_add("dated_split", "wl", """SELECT effective_date <= DATE '2023-08-31' AS is_train, count(*) AS n, CAST(sum(weak_label) AS BIGINT) AS sponsored, min(effective_date) AS first_day, max(effective_date) AS last_day FROM wl
+    WHERE weak_label IS NOT NULL AND effective_date BETWEEN DATE '2023-01-01' AND DATE '2023-12-31' GROUP BY 1""")
 _add("event_study_car", "lim", f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, count(ar) OVER v AS full_n FROM ab WINDOW v AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 2 PRECEDING AND 5 FOLLOWING)),
     e AS (SELECT n.*, kind FROM n JOIN lim USING (ticker) CROSS JOIN (SELECT unnest(['bull', 'bear']) AS kind) WHERE full_n = 8 AND article_count_total >= 3 AND CASE kind WHEN 'bull' THEN signal_organic_closed >= p80 ELSE signal_organic_closed <= p20 END),
     p AS (SELECT e.kind, e.ticker, e.date, k.i - e.i AS k, sum(k.ar) OVER (PARTITION BY e.kind, e.ticker, e.date ORDER BY k.i) AS car FROM e JOIN n k ON k.ticker = e.ticker AND k.i BETWEEN e.i - 2 AND e.i + 5)

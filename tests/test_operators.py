@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeglass import schemas
 from tapeglass.functions import nulls, text, timeops
-from tapeglass.operators import articles, audit, events, nlp, ordered, prices, sampling, signals, stats
+from tapeglass.operators import articles, audit, events, ml, nlp, ordered, prices, sampling, signals, stats
 from tapeglass.sources import files, news, quotes
 from tapeglass.streaming import ingest
 
@@ -268,3 +268,87 @@ def test_quotes(spark, tmp_path):
     (tmp_path / "i.jsonl").write_text('{"ticker": "A", "company": "Co", "sector": "S", "keywords": ["co"], "cap_tier": "MID"}\n')
     assert quotes.instruments(spark, str(tmp_path / "i.jsonl")).first()["keywords"] == ["co"]
     assert quotes.file_name("^X") == "IDX_X.parquet"
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answers_are_parsed_once(spark):
+    df = spark.createDataFrame([('{"sentiment": "bullish", "confidence": 0.5, "rationale": "r", "entities": []}',)], "a string").select(text.checked_answer(F.col("a")).alias("c"))
+    optimized = df.select("c.valid", "c.message", "c.score", "c.entities")._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("from_json") <= 1 and optimized.count("regexp_extract(") <= 1
+    assert df.select("c.valid", "c.score").first() == (True, 0.5)
+
+
+def test_entity_join_scans_texts_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Label of BEL", "x"), (2, None, "NOTHing"), (3, "", None)], "i int, t string, u string")
+    known = [("B", ["bel", None]), ("C", ["noth", "othi"]), ("D", []), ("E", None), ("F", [""]), (None, ["label"])]
+    dim = spark.createDataFrame(known, "ticker string, keywords array<string>")
+    for size in (1, 100):
+        monkeypatch.setattr(articles, "BLOCK_KEYWORDS", size)
+        got = articles.match_entities_join(docs, dim, ("t", "u"))
+        assert "NestedLoop" not in plan(got) and got.columns == ["i", "t", "u", "ticker"]
+        assert sorted((r["i"], str(r["ticker"])) for r in got.collect()) == [(1, "B"), (1, "F"), (1, "None"), (2, "C"), (2, "F"), (3, "F")]
+    assert articles.match_entities_join(docs, dim.where("false"), ("t",)).count() == 0 and articles.match_entities_join(docs.where("false"), dim, ("t",)).count() == 0
+
+
+def labelled(spark, n=400):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(n, 5))
+    y = (x[:, 0] + 0.2 * r.normal(size=n) > 0).astype(float)
+    rows = [(i, dt.date(2022, 1, 1) + dt.timedelta(days=i), float(y[i]), *map(float, x[i])) for i in range(n)]
+    return spark.createDataFrame(rows, "id int, date date, label double, is_pr_wire double, has_promo_ratio double, has_risk_words double, source_tier double, tone_score double")
+
+
+def test_split_by_date(spark):
+    rows = labelled(spark)
+    got = ml.with_split(rows, "id", train=("2022-01-01", "2022-06-30"), valid=("2022-07-01", "2022-12-31"))
+    assert {(r["is_train"], r["n"]) for r in got.groupBy("is_train").agg(F.count("*").alias("n")).collect()} == {(True, 181), (False, 184)}
+    back = ml.with_split(rows, "id", train=("2020-01-01", "2020-02-01"))
+    assert back.where("is_train").count() == 280 and back.count() == 400
+    with pytest.raises(ValueError):
+        ml.with_split(rows.limit(12), "id", train=("2020-01-01", "2020-02-01"))
+
+
+def test_classifier_chain(spark, tmp_path):
+    features = (*ml.RULE_FEATURES, ml.TIER_FEATURE, "tone_score")
+    rows = ml.with_split(labelled(spark), "id", train=("2022-01-01", "2022-09-30"), valid=("2022-10-01", "2023-12-31")).persist()
+    model = ml.fit(rows, features, depth=3, rounds=20)
+    valid = rows.where("not is_train")
+    full = ml.auc(valid, model)
+    gain = dict(ml.importance(model, features))
+    assert full > 0.93 and gain["is_pr_wire"] > 60 and abs(sum(gain.values()) - 100) < 1e-6
+    ml.save(model, str(tmp_path / "m"))
+    ml.save(model, str(tmp_path / "m"))
+    again = ml.load(str(tmp_path / "m"))
+    score = lambda m: [r["sponsored_prob"] for r in ml.scored(valid, m).orderBy("id").collect()]
+    assert score(again) == score(model) and all(0 <= p <= 1 for p in score(model))
+    drops = {r["feature"]: r["drop_mean"] for r in ml.permutation_importance(valid, model, features, "id", repeats=2).collect()}
+    assert drops["is_pr_wire"] > 0.2 and abs(drops["source_tier"]) < 0.1
+    got = ml.circularity(rows, model, "id", features, repeats=1, rounds=3).first()
+    assert got["is_circular"] and got["rule_gain_pct"] > 60 and got["auc_without_rules"] < 0.65 and got["auc_full"] == full
+    assert not ml.circular(60, 60, 0.65, 0.15) and ml.circular(0, 0, 0.64, 0) and ml.circular(0, 0, 0.9, 0.16) and ml.circular(61, 0, 1, 0) and ml.circular(0, 61, 1, 0)
+    assert ml.feature_sets()["without rules and tier"] == tuple(f for f in articles.FEATURES if f not in features[:4])
+    rows.unpersist()
+
+
+def test_normal_and_student_p(spark):
+    df = spark.createDataFrame([(0.0,), (1.959963984540054,), (-8.0,), (None,)], "z double")
+    got = [r["p"] for r in stats.with_normal_p(df, "z", "p").collect()]
+    assert got[0] == 1 and abs(got[1] - 0.05) < 1e-12 and 0 < got[2] < 1e-14 and got[3] is None
+    t = [r["p"] for r in stats.with_p(df, "z", F.lit(10), "p").collect()]
+    assert t[0] == 1 and abs(t[1] - 0.0784) < 1e-3 and t[3] is None
+
+
+def test_poisoned_statistics(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 1.0), ("b", None)], "k string, v double")
+    got = {r["k"]: (r["m"], r["s"]) for r in df.groupBy("k").agg(stats.poisoned_mean(F.col("v")).alias("m"), stats.poisoned_std(F.col("v")).alias("s")).collect()}
+    assert got["a"][0] == 1.5 and got["b"] == (None, None)
+
+
+def test_window_labels(spark):
+    days = [dt.date(2020, 2, 29), dt.date(2020, 3, 1), dt.date(2020, 6, 30), dt.date(2020, 7, 1), dt.date(2024, 7, 1), None]
+    assert column(spark, days, "date", timeops.window_label) == [None, "COVID", "COVID", None, "Holdout", None]
+    assert column(spark, [0.3, 0.5, 0.7, None], "double", audit.uncertain) == [False, True, False, None]
+    assert column(spark, [0.3, 0.5, 0.7, None], "double", lambda c: audit.uncertain(c, inclusive=True)) == [True, True, True, None]
