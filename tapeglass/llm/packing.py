@@ -34,7 +34,7 @@ def _pieces(path: str, sequence: int, end_id: int):
     end = np.uint32(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own, had = encoder(path), 0
         for batch in batches:
             for c in chunks(batch.column(1)):
                 ids, cuts = own.texts(c)
@@ -52,15 +52,17 @@ def _pieces(path: str, sequence: int, end_id: int):
                 raw = memoryview(whole).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + m)]) for a, m in zip(at.tolist(), length.tolist(), strict=True)]
                 keys = batch.column(0).slice(c.first, c.n).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size[doc])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                nth = np.arange(had, had + len(doc))
+                had += len(doc)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(size[doc]), pa.array(nth)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"])
 
     return run
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id", sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece of every whole text."""
+    """doc_id, start, length, ids_crc32, doc_tokens of every piece of every whole text, and its number within its task (nth)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer, sequence, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(_pieces(tokenizer, sequence, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long")
 
 
 def knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -143,13 +145,14 @@ def plan(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int], int
 def pack(cut: DataFrame, sequence: int = SEQUENCE, grain: int = GRAIN) -> DataFrame:
     """The pieces (as :func:`pieces` gives them, written) with sequence_id and offset.
 
-    Ranks within a class come from counts by (class, bucket), so that no class, however common, is sorted in one task.
+    Ranks within a class come from counts by (class, bucket), so that no class, however common, is sorted in one task;
+    repeated rows are dealt over buckets by their number within the task that read them.
     The driver sees the histogram (at most sequence / grain counts) and the patterns.
     """
     spark = cut.sparkSession
     total = cut.count()
     buckets = max(1, -(-total // RANKED))
-    rows = cut.withColumn("__class", F.ceil(F.col("length") / grain).cast("int")).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    rows = cut.withColumn("__class", F.ceil(F.col("length") / grain).cast("int")).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "nth"), F.lit(buckets)))
     counts = written(rows.groupBy("__class", "__bucket").agg(F.count(F.lit(1)).alias("n")))
     before = Window.partitionBy("__class").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("__class", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
@@ -163,7 +166,7 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, grain: int = GRAIN) -> DataFr
             slot += pattern[k]
         first += n
     dealt = spark.createDataFrame(intervals, "class int, lo long, hi long, each long, first long, slot long")
-    own = Window.partitionBy("__class", "__bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    own = Window.partitionBy("__class", "__bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "nth")
     ranked = rows.join(bases, ["__class", "__bucket"]).withColumn("__rank", F.col("__base") + F.row_number().over(own) - 1)
     placed = ranked.join(F.broadcast(dealt), (F.col("__class") == F.col("class")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")))
     nth = F.col("__rank") - F.col("lo")

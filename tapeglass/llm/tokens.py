@@ -161,7 +161,7 @@ class Encoder:
     def texts(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a chunk one after the other, and the texts' offsets among them."""
         code, at = decode(c.buf)
-        kind = classes()[code]
+        kind = classes()[np.minimum(code, 0xFFFF)]  # beyond the basic plane: unsure, as its last code point is
         where = np.searchsorted(at, c.cuts)
         starts = boundaries(code, where, kind)
         owner_cuts = np.searchsorted(starts, where)
