@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernel import lean
 from .shared import offered, written
 
 START, STOP = "<s>", "</s>"
@@ -154,4 +155,4 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What :func:`parse` and the loss mask give back of each formatted conversation, as counts and digests."""
-    return formatted.select("conv", "formatted", "loss_mask").mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv", "formatted", "loss_mask").mapInArrow(lean(_read_back), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

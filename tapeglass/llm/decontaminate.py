@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Chunk, U, chunks, mix, value_hashes
+from .kernel import U, Chunk, chunks, lean, mix, value_hashes
 from .language import CODES, decode
 from .shared import written
 
@@ -227,12 +227,12 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: s
         own = spark.sparkContext.broadcast(b)
     if own is None:
         return spark.createDataFrame([], SCHEMA)
-    return rows.mapInArrow(_find(own), SCHEMA) if out is None else _done(out, rows, own)
+    return rows.mapInArrow(lean(_find(own)), SCHEMA) if out is None else _done(out, rows, own)
 
 
 def _done(out: DataFrame | None, rows: DataFrame, sent) -> DataFrame:
     """``out`` and the rows of a block, which are written; the block is dropped."""
-    part = written(rows.mapInArrow(_find(sent), SCHEMA))
+    part = written(rows.mapInArrow(lean(_find(sent)), SCHEMA))
     sent.unpersist()
     return part if out is None else out.unionAll(part)
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import BYTE2, Chunk, U, chunks, mix, window_hashes, windows_inside
+from .kernel import BYTE2, U, Chunk, chunks, lean, mix, window_hashes, windows_inside
 from .shared import Scratch, components, identified, key_filter, offered, passes, written
 from .textstats import tagged
 
@@ -105,11 +105,15 @@ def sizes_of(num: int, den: int) -> Sizes:
     return _sizes.setdefault((num, den), Sizes(num, den))
 
 
-def shingle_sets(c: Chunk, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of each text (a hash, by which they ascend, and an independent one) and the texts' offsets."""
+def shingle_sets(c: Chunk, words: int, both: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text (a hash, by which they ascend, and an independent one) and the texts' offsets.
+
+    Without ``both`` the second hash is not made: enough to find candidates, which are then compared by both.
+    """
     _, _, cuts = c.words()
     n = np.diff(cuts)
-    both = c.hashes(lower=True), c.hashes(lower=True, byte=BYTE2)
+    first = c.hashes(lower=True)
+    second = c.hashes(lower=True, byte=BYTE2) if both else first
     owner = c.owner(n)
     found, again, of = [], [], []
     for k in range(1, words + 1):
@@ -118,8 +122,8 @@ def shingle_sets(c: Chunk, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
             continue
         at = np.flatnonzero(windows_inside(cuts, k))
         at = at[which[owner[at]]]
-        found.append(window_hashes(both[0], k)[at])
-        again.append(window_hashes(both[1], k)[at])
+        found.append(window_hashes(first, k)[at])
+        again.append(window_hashes(second, k)[at] if both else found[-1])
         of.append(owner[at])
     if not found:
         return np.zeros(0, U), np.zeros(0, U), np.zeros(c.n + 1, np.int64)
@@ -197,7 +201,7 @@ def _index(words: int, num: int, den: int, filter_=None):
         had: set[int] = set()
         for batch in batches:
             for c in chunks(batch.column(0)):
-                h1, _, cuts = shingle_sets(c, words)
+                h1, _, cuts = shingle_sets(c, words, both=False)
                 prints = _sums(mix(h1, 21), cuts)
                 new = np.zeros(c.n, bool)
                 for i, f in enumerate(prints.tolist()):
@@ -383,7 +387,7 @@ def links_by_hubs(rows: DataFrame, pairs: DataFrame, words: int, num: int, den:
     hubs = counts.select(F.col("hub").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s")).select("doc", place(F.col("doc"), F.col("s"), 0).alias("to"))
     wanted = tmp.written(member.unionAll(hubs).groupBy("doc").agg(F.collect_list("to").alias("to")))
     bodies = rows.select("doc", "text").join(offered(wanted, F.size("to") * 24 + 64), "doc").select(F.explode("to").alias("to"), "doc", "text").select("to.hub", "to.salt", "to.kind", "doc", "text")
-    around = tmp.written(bodies.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "doc").mapInArrow(_compare(words, num, den), DELTA))
+    around = tmp.written(bodies.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "doc").mapInArrow(lean(_compare(words, num, den)), DELTA))
     inner = F.col("cost") <= (den - num) * F.col("size")
     direct = around.where(inner).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
     # Only hubs with a set that is not linked to them need the second step.
@@ -392,7 +396,7 @@ def links_by_hubs(rows: DataFrame, pairs: DataFrame, words: int, num: int, den:
     fields = ("doc", "size", "cost", "gone", "added")
     members = near.select("hub", F.col("own").alias("block"), F.lit(0).alias("kind"), *fields)
     probes = near.where(~inner & (F.col("blocks") > 1)).select("hub", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))).alias("block"), F.lit(1).alias("kind"), *fields)
-    more = members.unionAll(probes).repartition("hub", "block").sortWithinPartitions("hub", "block", "kind", "doc").mapInArrow(_around(num, den), "a long, b long")
+    more = members.unionAll(probes).repartition("hub", "block").sortWithinPartitions("hub", "block", "kind", "doc").mapInArrow(lean(_around(num, den)), "a long, b long")
     return written(direct.unionAll(more))
 
 
@@ -401,10 +405,10 @@ def linked_components(rows: DataFrame, classes: DataFrame, words: int, num: int,
     spark = rows.sparkSession
     with Scratch(spark) as tmp:
         texts = rows.select("text")
-        index = texts.mapInArrow(_index(words, num, den), "key long, print long")
+        index = texts.mapInArrow(lean(_index(words, num, den)), "key long, print long")
         lists = tmp.written(index.groupBy("key").agg(F.min("print").alias("hub"), F.max("print").alias("last")).where("hub <> last").select("key", "hub"))
         bits = spark.sparkContext.broadcast(key_filter(lists, "key"))
-        index = texts.mapInArrow(_index(words, num, den, bits), "key long, print long")
+        index = texts.mapInArrow(lean(_index(words, num, den, bits)), "key long, print long")
         entries = tmp.written(index.join(lists, "key").select("key", "print", "hub"))
         bits.unpersist()
         shared = tmp.written(entries.where("print <> hub").groupBy("print", "hub").agg(F.count(F.lit(1)).alias("n")))
@@ -439,7 +443,7 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words:
     Two documents link when den * (size of the intersection) >= num * (size of the union) and neither set is empty.
     """
     rows, numbered = identified(docs, text, doc_id)
-    sets = written(rows.select("doc", "text").mapInArrow(_prints(words), "doc long, n long, f1 long, f2 long"))
+    sets = written(rows.select("doc", "text").mapInArrow(lean(_prints(words)), "doc long, n long, f1 long, f2 long"))
     classes = written(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("copies")))
     same = linked_components(rows, classes.select(F.col("f1").alias("print"), F.col("node").alias("doc")), words, num, den)
     node = sets.join(offered(classes.where("copies > 1").select("n", "f1", "f2", "node"), 56), ["n", "f1", "f2"], "left").withColumn("node", F.coalesce("node", "doc"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import chunks
+from .kernel import chunks, lean
 
 UNKNOWN = "und"
 #: The sample of a language: at most this many labelled rows, and characters of their whole texts; a text longer than the
@@ -325,7 +325,7 @@ def predict(docs: DataFrame, model: Samples, text: str = "text", keep: tuple[str
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(c.first, c.n) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(surprise, pa.float64())], names=[*keep, "lang_pred", "score", "surprise"])
 
     schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("surprise", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def familiar(model: Model, buf: np.ndarray, cuts: np.ndarray, max_surprise: float = MAX_SURPRISE) -> np.ndarray:
@@ -360,4 +360,5 @@ def accepted(docs: DataFrame, model: Samples, text: str = "text", max_surprise:
             for c in chunks(batch.column(at), CHUNK):
                 yield batch.slice(c.first, c.n).filter(pa.array(familiar(own, c.buf, c.cuts, max_surprise)))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # the call takes no column name with a back-tick
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)

@@ -14,7 +14,8 @@ share needs no large task.  Partners are verified word by word.
 
 Cases: a null text stays null; blank and short lines stay; a repeated row (same id, same text) is treated like the first;
 rows with a null id come before all others; an empty table gives an empty table; the other columns are passed through
-whatever their names; __n_lines and __n_dropped are added.
+whatever their names; the counts of lines and of dropped lines are added, as __n_lines and __n_dropped (with more
+underscores behind where the table has such a column).
 """
 
 from __future__ import annotations
@@ -30,12 +31,25 @@ ORD = ["__doc", "__th", "__line"]
 LOW40 = (1 << 40) - 1
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def count_names(columns: list[str]) -> tuple[str, str]:
+    """The names of the two counts beside these columns."""
+    names = ["__n_lines", "__n_dropped"]
+    while {n.lower() for n in names} & {c.lower() for c in columns}:
+        names = [n + "_" for n in names]
+    return names[0], names[1]
+
+
 def words_of(line: Column) -> Column:
     return F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), "")
 
 
 def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__doc"), F.xxhash64(F.col(text)).alias("__th"), F.col(text).alias("__text"))
+    body, own = F.col(quoted(text)), F.col(quoted(doc_id)).cast("long")
+    return docs.where(body.isNotNull()).select(F.coalesce(own, F.lit(-(1 << 63))).alias("__doc"), F.xxhash64(body).alias("__th"), body.alias("__text"))
 
 
 def _lines(rows: DataFrame, min_words: int) -> DataFrame:
@@ -136,18 +150,19 @@ def dropped_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
 
 
 def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """``docs`` with the dropped lines taken out of ``text``, and __n_lines and __n_dropped of each row.
+    """``docs`` with the dropped lines taken out of ``text``, and the two counts (:func:`count_names`) of each row.
 
     The line numbers join the texts by broadcast while their counted size is under the bound, else by a shuffle.
     """
     drops = dropped_lines(docs, text=text, doc_id=doc_id, min_words=min_words, near_words=near_words)
     drops = offered(drops, F.size("__drop") * 8 + 80)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    keyed = docs.select(row, F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__doc"), F.xxhash64(F.col(text)).alias("__th"), F.split(text, "\n").alias("__lines"))
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("__row")
+    body, own = F.col(quoted(text)), F.col(quoted(doc_id)).cast("long")
+    keyed = docs.select(row, F.coalesce(own, F.lit(-(1 << 63))).alias("__doc"), F.xxhash64(body).alias("__th"), F.split(body, "\n").alias("__lines"))
     out = keyed.join(drops, ["__doc", "__th"], "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
-    old = F.col(f"__row.`{text}`")
+    old = F.col(f"__row.{quoted(text)}")
     new = F.when(F.col("__drop").isNull(), old).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
-    columns = [new.alias(c) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    columns = [new.alias(c) if c == text else F.col(f"__row.{quoted(c)}").alias(c) for c in docs.columns]
     counts = F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long")
-    return out.select(*columns, counts[0].alias("__n_lines"), counts[1].alias("__n_dropped"))
+    return out.select(*columns, *(c.alias(n) for c, n in zip(counts, count_names(docs.columns), strict=True)))

@@ -5,8 +5,8 @@ logistic regression gives most rules the weight zero; the rest are compiled into
 
 The fit uses a bounded sample of labelled rows (``FIT_ROWS``, those whose key has the least hash) on the driver; scores
 are computed for every row.  Cases: a null or empty text has zero statistics and is scored like any; repeated rows get
-equal scores; without labelled rows, or with one class only, the score is that class's smoothed share; columns other than
-those named are not read.
+equal scores; of several labels of one id the least counts; without labelled rows, or with one class only, the score is
+that class's smoothed share; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import chunks
+from .kernel import chunks, lean
 from .textstats import FEATURES, rich
 
 #: The most labelled rows used for the fit.
@@ -38,7 +38,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def features(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and the statistics of every whole text."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_features, "doc_id long, " + ", ".join(f"{k} double" for k in FEATURES))
+    return rows.mapInArrow(lean(_features), "doc_id long, " + ", ".join(f"{k} double" for k in FEATURES))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether above, threshold)
@@ -176,7 +176,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ensemble:
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) -> Ensemble:
     """An ensemble from those labelled rows (at most ``fit_rows``) whose key has the least hash."""
     spark = docs.sparkSession
-    chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
     chosen = [(r["doc_id"], r["label"]) for r in chosen.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(fit_rows).collect()]
     if not chosen:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernel import lean
+
 #: Most bytes that one side of a join may have, by its row count and width, to be broadcast.
 BROADCAST_BYTES = 24 << 20
 #: The shuffle files of a write that is done are of no more use: Spark deletes them at once.
@@ -118,7 +120,7 @@ def _filter_parts(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
     """The parts of a filter of the hashes in ``column`` (of a written table), and the logarithm of its bits."""
     size = min(max(FILTER_LEAST, (BITS_A_KEY * keys.count()).bit_length()), FILTER_MOST)
     dealt = keys.select(column).repartition(F.shiftrightunsigned(column, 64 - size + 12))
-    return dealt.mapInArrow(_bitmap(size), "part long, bits binary"), size
+    return dealt.mapInArrow(lean(_bitmap(size)), "part long, bits binary"), size
 
 
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import Chunk, U, chunks, mix, window_hashes
+from .kernel import U, Chunk, chunks, lean, mix, window_hashes
 from .shared import Scratch, identified, key_filter, marked, offered, passes, written
 
 WINDOW, SEED = 20, 8
@@ -210,10 +210,10 @@ def repeated_spans(rows: DataFrame, several_rows: bool, *, window: int = WINDOW,
     spark = rows.sparkSession
     once = lambda df, *key: df.dropDuplicates([*key]) if several_rows else df
     with Scratch(spark) as tmp:
-        seeds = rows.select("doc", "text").mapInArrow(_seeds(window, seed), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
+        seeds = rows.select("doc", "text").mapInArrow(lean(_seeds(window, seed)), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
         shared = tmp.written(seeds.select("seed"))
         bits = spark.sparkContext.broadcast(key_filter(shared, "seed"))
-        sources = rows.select("doc", "text").mapInArrow(_paths(window, seed, bits), "seed long, p1 long, p2 long, windows int, doc long, start int")
+        sources = rows.select("doc", "text").mapInArrow(lean(_paths(window, seed, bits)), "seed long, p1 long, p2 long, windows int, doc long, start int")
         # What the filter lets through besides is a path by itself, which the next steps drop.
         sources = tmp.written(once(sources, "doc", "start"))
         bits.unpersist()
@@ -224,7 +224,7 @@ def repeated_spans(rows: DataFrame, several_rows: bool, *, window: int = WINDOW,
         n = F.when(F.col("opened"), F.col("n")).otherwise(-F.col("n"))
         wanted = tmp.written(known.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), n.alias("n"))).alias("starts")))
         texts = marked(rows.select("doc", "text"), wanted, tmp).where("maybe").join(wanted, "doc").select("doc", "text", "starts")
-        edges = texts.mapInArrow(_open(window, seed), "p1 long, p2 long, k int, w int, e1 long, e2 long, l long, r long, n long, doc long, start int")
+        edges = texts.mapInArrow(lean(_open(window, seed)), "p1 long, p2 long, k int, w int, e1 long, e2 long, l long, r long, n long, doc long, start int")
         edges = tmp.written(once(edges, "p1", "p2", "k"))
         graph = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc", "start")).alias("first"), F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("w", "l", "r"))).where("n > 1")
         graph = tmp.written(graph.select("e1", "e2", "first.doc", "first.start", "w", "l", "r"))
@@ -240,7 +240,7 @@ def repeated_spans(rows: DataFrame, several_rows: bool, *, window: int = WINDOW,
         # The words of each stretch that has spans, at its source coordinate.
         used = spans.groupBy("source", "stretch").agg(F.min("at").alias("from"), F.max(F.col("at") + F.col("w")).alias("to"))
         wanted = tmp.written(used.groupBy(F.col("source").alias("doc")).agg(F.collect_list(F.struct("stretch", "from", (F.col("to") - F.col("from") + window - 1).alias("words"))).alias("stretches")))
-        words = marked(rows.select("doc", "text"), wanted, tmp).where("maybe").join(wanted, "doc").select("doc", "text", "stretches").mapInArrow(_words, "source long, stretch int, from int, words string")
+        words = marked(rows.select("doc", "text"), wanted, tmp).where("maybe").join(wanted, "doc").select("doc", "text", "stretches").mapInArrow(lean(_words), "source long, stretch int, from int, words string")
         words = tmp.written(once(words, "source", "stretch"))
         part = F.array_join(F.slice(F.split("words", " "), F.col("at") - F.col("from") + 1, F.col("w") + window - 1), " ")
         checked = spans.join(words, ["source", "stretch"]).select("doc", F.struct("a", "w", part.alias("words")).alias("s"))
@@ -334,4 +334,4 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window
     rows = marked(rows, spans.select("doc"), Scratch(docs.sparkSession))  # its filter stays: the result reads it
     found = rows.where("maybe").join(spans, "doc", "left").select("id", "text", "spans")
     rest = rows.where("not maybe").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    return found.unionAll(rest).mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
+    return found.unionAll(rest).mapInArrow(lean(_kept(window)), "doc_id long, n_words long, n_removed long, kept string")
