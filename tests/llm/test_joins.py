@@ -220,6 +220,15 @@ def test_lines_equal_brute_force(spark):
     assert got == brute.lines(docs)
 
 
+def test_lines_beside_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "one two three four\none two three four", 5, "a", True, 7)], ["doc_id", "text", "__n_lines", "a.b", "c`d", "__doc"])
+    out = line_dedup.dedup(df)
+    assert out.columns == [*df.columns, "__n_lines_", "__n_dropped_"]
+    assert tuple(out.first()) == (1, "one two three four", 5, "a", True, 7, 2, 1)
+    odd = df.withColumnsRenamed({"text": "te`x.t", "doc_id": "i.d"})
+    assert line_dedup.dedup(odd, text="te`x.t", doc_id="i.d").first()["te`x.t"] == "one two three four"
+
+
 def test_line_cases(spark, odd, none):
     out = line_dedup.dedup(odd)
     assert out.columns == [*odd.columns, "__n_lines", "__n_dropped"] and out.count() == odd.count()

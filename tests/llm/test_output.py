@@ -1,5 +1,6 @@
 """Packing, chat formatting and the pipeline."""
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -149,3 +150,26 @@ def test_pipeline_stages(spark):
     leaks = {d for d, t in few.items() if any(s in t for s in items.values())}
     assert got.isdisjoint(leaks) and len(got) >= len(few) - len(leaks) - 3
     assert language.UNKNOWN == "und"
+
+
+def test_pipeline_from_end_to_end(spark, library):
+    """``run`` on the whole smallest table against the stages' plain versions, packing included."""
+    texts = {r["doc_id"]: r["text"] for r in queries.table(spark, DATA, "documents").collect()}
+    texts = {d: t for d, t in texts.items() if any(unicodedata.category(c)[0] == "L" for c in t or "")}
+    texts = {d: t for d, (_, dropped, t) in brute.lines(texts).items() if not (dropped and not brute.WORD.search(t))}
+    texts = {d: texts[d] for d, (_, c) in brute.jaccard(texts, 5, 80, 100).items() if c == d}
+    items = {r["item_id"]: r["text"] for r in queries.table(spark, DATA, "benchmark").collect()}
+    leaks = {d for d, _ in brute.fast_overlaps(texts, items)}
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    assert leaks and {r["doc_id"] for r in rows} == set(texts) - leaks
+    check_packing(rows, [(d, t) for d, t in texts.items() if d not in leaks], library)
+
+
+def test_stages_with_odd_rows_and_columns(spark, odd, none):
+    """Nulls, repeats and other columns with names of the operators' own, on every stage but the last, and none at all."""
+    extra = odd.select("*", F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("a.b"), F.lit(2).alias("__n_dropped"), F.lit(3).alias("c`d"), F.lit(4).alias("maybe"), F.lit(5).alias("component"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, DATA)
+        assert out.columns == extra.columns and 0 < out.count() <= extra.count(), name
+        assert stage(spark, extra.where("false"), DATA).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, extra, DATA).count() > 0

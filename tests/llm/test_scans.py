@@ -185,6 +185,72 @@ def test_quality(spark, odd, none):
     assert rule_ensemble.scored(none, model).count() == 0
 
 
+def plain_statistics(text):
+    """The statistics of a text, one by one, by their definitions on bytes and words."""
+    from collections import Counter
+    from math import log1p, log2
+
+    w, raw = WORD.findall(text or ""), (text or "").encode()
+    lines = [s for s in (text or "").split("\n") if WORD.search(s)]
+    n, size, nl = max(len(w), 1), max(sum(map(len, w)), 1), max(len(lines), 1)
+    inside = lambda chars: sum(b in chars.encode() for b in raw)
+    spots = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    again = {i + j for i in range(len(w) - 7) if spots[tuple(w[i : i + 8])] > 1 for j in range(8)}
+    counts = Counter(w)
+    symbols, upper = "#*$%&|<>", "".join(map(chr, range(65, 91)))
+    return {
+        "log_words": log1p(len(w)), "mean_word": sum(map(len, w)) / n, "long_words": sum(len(x.encode()) > 15 for x in w) / n, "short_words": sum(len(x.encode()) <= 3 for x in w) / n,
+        "symbol_share": inside(symbols) / size, "upper_share": inside(upper) / size, "digit_share": inside("0123456789") / size,
+        "letter_share": sum(b >= 128 or chr(b).isalpha() for b in raw) / max(len(raw), 1), "stop_share": inside(".!?") / n, "bang_share": inside("!") / n, "comma_share": inside(",;:") / n,
+        "pipe_share": inside("|") / n, "symbol_ends": sum(x[-1] in symbols for x in w) / n, "upper_starts": sum(x[0] in upper for x in w) / n, "distinct_share": len(counts) / n,
+        "word_entropy": log2(n) - sum(k * log2(k) for k in counts.values()) / n, "repeat_share": len(again) / n, "dup_line_share": (len(lines) - len(set(lines))) / nl, "words_a_line": len(w) / nl,
+    }
+
+
+def test_statistics_are_those_of_a_plain_count(spark):
+    texts = [t for _, t, *_ in odd_documents()] + [r["text"] for r in queries.table(spark, DATA, "documents").collect()]
+    got = rule_ensemble.features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    for i, t in enumerate(texts):
+        want = plain_statistics(t)
+        assert set(want) == set(rule_ensemble.FEATURES) and all(abs(got.loc[i, k] - v) < 1e-9 for k, v in want.items()), i
+
+
+def test_a_split_is_the_best_one():
+    """One level of a tree cuts where the squared error falls most, by trying every cut."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(200, 3)), 1)
+    y = (x[:, 1] > 0.3) * 1.0 + 0.1 * rng.normal(size=200)
+    binned, edges = rule_ensemble._bins(x)
+    rules, value = rule_ensemble._grow(binned, edges, y, np.ones(200), np.arange(3), 1)
+
+    def error(j, at):
+        parts = [y[x[:, j] <= at], y[x[:, j] > at]]
+        return sum(((p - p.mean()) ** 2).sum() for p in parts) if min(map(len, parts)) >= rule_ensemble.MIN_LEAF else np.inf
+
+    best = min((error(j, at), j) for j in range(3) for at in edges[j])
+    (j, _, at) = rules[0][0]
+    assert abs(error(j, at) - best[0]) < 1e-9 and abs(((y - value) ** 2).sum() - best[0]) < 1e-9
+
+
+def test_lasso_meets_its_conditions():
+    """At the optimum the gradient is within the penalty, and at it where a weight is not zero."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(500, 6))
+    y = (z[:, 0] - z[:, 1] + 0.5 * rng.normal(size=500) > 0).astype(float)
+    w = np.full(500, 0.7)
+    b0, beta = rule_ensemble._lasso(z, y, w, 0.05, 4000)
+    r = w * (1 / (1 + np.exp(-(z @ beta + b0))) - y) / w.sum()
+    slope = z.T @ r
+    used = np.abs(beta) > 1e-6
+    assert used[0] and used[1] and not used.all() and (np.abs(slope) <= 0.05 + 1e-4).all() and np.allclose(slope[used], -0.05 * np.sign(beta[used]), atol=1e-4) and abs(r.sum()) < 1e-4
+
+
+def test_labels_that_disagree(spark, odd):
+    labels = spark.createDataFrame([(d, q) for d in range(1, 19) for q in (0, d % 2)], "doc_id long, quality int")
+    one = rule_ensemble.train(odd, labels)
+    assert one.rules == [] and one.intercept < 0  # of two labels the least: one class only
+
+
 def test_compiled_rules_equal_the_ensemble(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 4))
