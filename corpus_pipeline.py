@@ -17,6 +17,11 @@ from tapeglass.llm.shared import offered, written
 ROW = "__row"
 
 
+def _as(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, whatever they are named."""
+    return out.select(*(F.col(line_dedup.quoted(c)) for c in docs.columns))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts unlike every learned language; learns from labelled rows outside the held-out fold."""
     return language.accepted(docs, language.train(docs.where(fold(5) != 0)))
@@ -24,10 +29,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that occur earlier (but for a word at most); a text left without a word goes."""
-    out = line_dedup.dedup(docs.select(*docs.columns))
-    emptied = (F.col("__n_dropped") > 0) & (F.size(line_dedup.words_of(F.translate("text", "\n", " "))) == 0)
-    changed = F.when(F.col("__n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", changed).select(*docs.columns)
+    out = line_dedup.dedup(docs)
+    dropped = F.col(line_dedup.count_names(docs.columns)[1]) > 0
+    emptied = dropped & (F.size(line_dedup.words_of(F.translate("text", "\n", " "))) == 0)
+    changed = F.when(dropped, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return _as(out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", changed), docs)
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -49,14 +55,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)
         stay = found.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{key}"))
         gone = found.select(key).join(stay, key, "left_anti")
-    return rows.join(offered(written(gone.distinct()), 24), key, "left_anti").select(*docs.columns)
+    return _as(rows.join(offered(written(gone.distinct()), 24), key, "left_anti"), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows with an aligned benchmark window."""
     rows, key = keyed(docs)
     gone = written(decontaminate.find(rows, table(spark, sf_dir, "benchmark"), doc_id=key).select(F.col("doc_id").alias(key)).distinct())
-    return rows.join(offered(gone, 24), key, "left_anti").select(*docs.columns)
+    return _as(rows.join(offered(gone, 24), key, "left_anti"), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
