@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from ..functions.nulls import row_mean, rounded, safe_corr
 from ..operators import articles as art
 from ..operators import audit, events, ml, nlp, ordered, prices, sampling, signals, stats
 from ..sources import adapters, files, news
-from . import oracles
+from . import oracles, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -227,6 +228,21 @@ def master_dataset(spark, d):
     return signals.master(signals.daily_signals(adapters.articles(spark, d)), panel, _dimension(spark))
 
 
+def stage_tables(spark: SparkSession, d: str) -> str:
+    """A folder of the shared one with the first tables of the stages, made of the driver's."""
+    folder = f"{files.shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    files.write(adapters.prices_short(spark, d), f"{folder}/quotes")
+    files.write(adapters.table(spark, d, "events").groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("Close")), f"{folder}/index")
+    files.write(news.processed(adapters.raw_news(spark, d)), f"{folder}/news")
+    return folder
+
+
+@query
+def stage_chain(spark, d):
+    """Prices, label, score, signals and master, each from the tables that the ones before wrote."""
+    return stages.run(spark, stage_tables(spark, d), adapters.firms(spark))
+
+
 @query
 def return_consistency(spark, d):
     m, r = _master(spark, d).alias("m"), _returns(spark, d).alias("r")

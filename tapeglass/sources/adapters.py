@@ -99,6 +99,22 @@ def tone_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(i.alias("article_id"), raw.alias("V2Tone"), code.alias("DATE"))
 
 
+def raw_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw news rows: each names a firm, and has the address of a page."""
+    e = tone_strings(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("article_id"), "user_id"), "article_id")
+    pages = urls(spark, sf_dir).select(F.col("article_id").alias("page"), F.col("source_url").alias("DocumentIdentifier"))
+    count = pages.agg(F.count(F.lit(1)).alias("pages"), F.min("page").alias("least"))
+    e = e.crossJoin(F.broadcast(count)).withColumn("page", F.col("least") + F.col("article_id") % F.col("pages"))
+    named = F.concat(F.lit("Bank;Firm T"), (F.col("user_id") % 20).cast("string"), F.lit(" Corp;"))
+    return e.join(pages, "page").select("article_id", "DATE", F.lit("web").alias("SourceCommonName"), "DocumentIdentifier", "V2Tone", named.alias("V2Organizations"))
+
+
+def firms(spark: SparkSession) -> DataFrame:
+    """The twenty instruments of :func:`raw_news`."""
+    rows = [(f"T{i}", f"Firm T{i}", f"S{i % 4}", [f"firm t{i} corp"], "TOP10" if i < 4 else "MID" if i < 10 else "TAIL") for i in range(20)]
+    return spark.createDataFrame(rows, "ticker string, company string, sector string, keywords array<string>, cap_tier string")
+
+
 def entities(spark: SparkSession) -> DataFrame:
     """Ten made-up instruments with keywords that occur in the documents' invented prose."""
     words = ("then", "ation", "quel", "unge", "ciones", "ther", "lich", "eaux", "ción", "heit")

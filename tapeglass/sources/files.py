@@ -60,17 +60,21 @@ def month_coverage(spine: DataFrame, rows: DataFrame, key: str = "year_month") -
     return spine.join(counts, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("is_empty"))
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written once in the folder that ``spark.checkpoint.dir`` names and read again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
     Where that is unset, a local session gets a folder of its own; on a cluster that would be one machine's, so it is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
-    base = base or f"file://{tempfile.mkdtemp(prefix='tapeglass-')}"
-    path = f"{base.rstrip('/')}/tapeglass-{uuid.uuid4().hex}"
+    return (base or f"file://{tempfile.mkdtemp(prefix='tapeglass-')}").rstrip("/")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written once in the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tapeglass-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

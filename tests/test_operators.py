@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from tapeglass import schemas
 from tapeglass.functions import nulls, text, timeops
 from tapeglass.operators import articles, audit, events, ml, nlp, ordered, prices, sampling, signals, stats
-from tapeglass.sources import files, news, quotes
+from tapeglass.plans import catalogue, stages
+from tapeglass.sources import adapters, files, news, quotes
 from tapeglass.streaming import ingest
 
+from .conftest import DATA
+
 TS = dt.datetime
 
 
@@ -352,3 +355,22 @@ def test_window_labels(spark):
     assert column(spark, days, "date", timeops.window_label) == [None, "COVID", "COVID", None, "Holdout", None]
     assert column(spark, [0.3, 0.5, 0.7, None], "double", audit.uncertain) == [False, True, False, None]
     assert column(spark, [0.3, 0.5, 0.7, None], "double", lambda c: audit.uncertain(c, inclusive=True)) == [True, True, True, None]
+
+
+def test_stages_from_news_to_master(spark, tmp_path):
+    firms = adapters.firms(spark)
+    with pytest.raises(files.MissingTable):
+        stages.signals(spark, str(tmp_path / "none"))
+    folder = catalogue.stage_tables(spark, DATA)
+    got = stages.run(spark, folder, firms)
+    scored = files.read(spark, f"{folder}/scored")
+    assert got.columns == list(schemas.MASTER_COLUMNS) and scored.where("sponsored_prob between 0 and 1").count() == scored.count() == files.read(spark, f"{folder}/labelled").count()
+    want = signals.master(signals.daily_signals(scored), files.read(spark, f"{folder}/returns"), firms)
+    assert got.count() == want.count() > 0 and files.content_hash(nulls.rounded(got)) == files.content_hash(nulls.rounded(want))
+    model = ml.load(f"{folder}/model")
+    one = ml.scored(scored.drop("sponsored_prob"), model)
+    assert one.join(scored.select("article_id", "ticker", F.col("sponsored_prob").alias("p")), ["article_id", "ticker"]).where("abs(p - sponsored_prob) > 1e-12").count() == 0
+    before = files.content_hash(scored)
+    assert stages.run(spark, folder, firms, again=False).count() == got.count() and files.content_hash(files.read(spark, f"{folder}/scored")) == before
+    with pytest.raises(stages.NothingLeft):
+        stages.label(spark, folder, firms.where("ticker = 'T99'"))
