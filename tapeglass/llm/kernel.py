@@ -107,6 +107,13 @@ def window_hashes(values: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * powers(WORD_INVERSE, len(values) - k + 1), k)
 
 
+def run_hashes(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of ``size`` consecutive values from each place on."""
+    total = np.zeros(len(values) + 1, U)
+    np.cumsum(values * powers(WORD_BASE, len(values)), out=total[1:])
+    return mix((total[at + size] - total[at]) * powers(WORD_INVERSE, len(values) + 1)[at] + size.astype(U) * U(BASE))
+
+
 def windows_inside(cuts: np.ndarray, k: int) -> np.ndarray:
     """Which windows of k lie inside one text, given the texts' offsets among the words."""
     n = int(cuts[-1])

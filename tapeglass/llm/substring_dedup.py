@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import U, Chunk, chunks, lean, mix, window_hashes
+from .kernel import U, Chunk, chunks, lean, mix, run_hashes, window_hashes
 from .shared import Scratch, identified, key_filter, marked, offered, passes, written
 
 WINDOW, SEED = 20, 8
@@ -78,18 +78,9 @@ def paths(c: Chunk, window: int, seed: int) -> dict[str, np.ndarray]:
     return {"text": owner[at[first]], "at": at[first], "count": np.diff(np.append(first, len(at))), "seed": seeds[mine[first]], "hashes": hashes, "cuts": cuts}
 
 
-def path_hashes(p: dict[str, np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
+def path_hashes(p: dict[str, np.ndarray], window: int) -> list[np.ndarray]:
     """Two hashes of each path's words (all words of its windows)."""
-    out = []
-    for salt in (41, 42):
-        h = mix(p["hashes"], salt)
-        words = p["count"] + window - 1
-        got = np.zeros(len(words), U)
-        for size in np.unique(words):
-            which = np.flatnonzero(words == size)
-            got[which] = window_hashes(h, int(size))[p["at"][which]]
-        out.append(got)
-    return out[0], out[1]
+    return [run_hashes(mix(p["hashes"], salt), p["at"], p["count"] + window - 1) for salt in (41, 42)]
 
 
 def _ids(batch: pa.RecordBatch, c: Chunk) -> np.ndarray:
@@ -107,7 +98,7 @@ def _seeds(window: int, seed: int):
 
 
 def _paths(window: int, seed: int, filter_):
-    names = ["seed", "p1", "p2", "windows", "doc", "start"]
+    names = ["seed", "p1", "p2", "windows", "doc", "start", "leads"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filter_.value
@@ -118,7 +109,10 @@ def _paths(window: int, seed: int, filter_):
                 p = {**p, **{k: p[k][seen] for k in ("text", "at", "count", "seed")}}
                 h1, h2 = path_hashes(p, window)
                 start = p["at"] - p["cuts"][:-1][p["text"]]
-                yield pa.RecordBatch.from_arrays([pa.array(p["seed"].view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(p["count"].astype(np.int32)), pa.array(_ids(batch, c)[p["text"]]), pa.array(start.astype(np.int32))], names=names)
+                order = np.lexsort((h2, h1, p["text"]))
+                leads = np.ones(len(order), bool)
+                leads[order[1:]] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]]) | (p["text"][order[1:]] != p["text"][order[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(p["seed"].view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(p["count"].astype(np.int32)), pa.array(_ids(batch, c)[p["text"]]), pa.array(start.astype(np.int32)), pa.array(leads)], names=names)
 
     return run
 
@@ -213,20 +207,20 @@ def repeated_spans(rows: DataFrame, several_rows: bool, *, window: int = WINDOW,
         seeds = rows.select("doc", "text").mapInArrow(lean(_seeds(window, seed)), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1")
         shared = tmp.written(seeds.select("seed"))
         bits = spark.sparkContext.broadcast(key_filter(shared, "seed"))
-        sources = rows.select("doc", "text").mapInArrow(lean(_paths(window, seed, bits)), "seed long, p1 long, p2 long, windows int, doc long, start int")
+        sources = rows.select("doc", "text").mapInArrow(lean(_paths(window, seed, bits)), "seed long, p1 long, p2 long, windows int, doc long, start int, leads boolean")
         # What the filter lets through besides is a path by itself, which the next steps drop.
         sources = tmp.written(once(sources, "doc", "start"))
         bits.unpersist()
-        # Equal paths meet: one row a path, with its earliest source.
-        merged = tmp.written(sources.groupBy("p1", "p2", "windows").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("seed").alias("seed")))
+        # Equal paths meet: one row a path, with its earliest source (of one text's, that which leads).
+        merged = tmp.written(sources.groupBy("p1", "p2", "windows").agg(F.min("doc").alias("doc"), F.min_by("start", F.when(F.col("leads"), F.col("doc"))).alias("start"), F.count(F.lit(1)).alias("n"), F.min("seed").alias("seed")))
         several = tmp.written(merged.groupBy("seed").agg(F.count(F.lit(1)).alias("paths")).where("paths > 1").select("seed", F.lit(True).alias("opened")))
         known = merged.join(offered(several, 24), "seed", "left").where("opened or n > 1")
         n = F.when(F.col("opened"), F.col("n")).otherwise(-F.col("n"))
-        wanted = tmp.written(known.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), n.alias("n"))).alias("starts")))
+        wanted = tmp.written(known.groupBy("doc").agg(F.collect_list(F.struct("start", n.alias("n"))).alias("starts")))
         texts = marked(rows.select("doc", "text"), wanted, tmp).where("maybe").join(wanted, "doc").select("doc", "text", "starts")
         edges = texts.mapInArrow(lean(_open(window, seed)), "p1 long, p2 long, k int, w int, e1 long, e2 long, l long, r long, n long, doc long, start int")
         edges = tmp.written(once(edges, "p1", "p2", "k"))
-        graph = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc", "start")).alias("first"), F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("w", "l", "r"))).where("n > 1")
+        graph = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc", "start")).alias("first"), F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("w", "l", "r"))).where("n > 1")
         graph = tmp.written(graph.select("e1", "e2", "first.doc", "first.start", "w", "l", "r"))
         chains = chained(graph, compacted(graph, tmp))
         # The pieces of each path that lie on one stretch of a source.
@@ -283,42 +277,39 @@ def joined(c: Chunk, starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) ->
     return out, at
 
 
-def removed_words(n_words: int, raw: bytes, at: list[int], ends: list[int], spans: list[dict], window: int) -> np.ndarray:
-    """Which words of a text the spans' windows cover, of those spans whose words are these.
-
-    ``raw``: joined words, ``at`` and ``ends``: where each word of the text starts and ends there.
-    """
-    cover = np.zeros(n_words + 1, np.int64)
-    for s in spans:
-        a, b = s["a"], s["a"] + s["w"] + window - 1
-        if raw[at[a] : ends[b - 1]] == s["words"].encode():
-            cover[a] += 1
-            cover[b] -= 1
-    return np.cumsum(cover)[:-1] > 0
-
-
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column(2)
+            having, edges = lists.is_valid().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            a, w, words = (lists.values.field(k) for k in ("a", "w", "words"))
+            a, w = a.to_numpy(), w.to_numpy()
+            words_at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+            there = memoryview(words.buffers()[2]).cast("B") if len(words) and words.buffers()[2] is not None else memoryview(b"")
             for c in chunks(batch.column(1)):
                 starts, ends, cuts = c.words()
                 n = np.diff(cuts)
                 gone = np.zeros(len(starts), bool)
-                spans = batch.column(2).slice(c.first, c.n)
-                having = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
-                if len(having):
-                    raw, at = joined(c, starts, ends, cuts)
-                    raw, last = raw.tobytes(), at + (ends - starts)
-                    for i in having.tolist():
-                        own = slice(cuts[i], cuts[i + 1])
-                        gone[own] = removed_words(int(n[i]), raw, at[own].tolist(), last[own].tolist(), spans[i].as_py(), window)
+                own = np.flatnonzero(having[c.first : c.first + c.n])
+                if len(own):
+                    out, at = joined(c, starts, ends, cuts)
+                    here, last = memoryview(out), at + (ends - starts)
+                    cover = np.zeros(len(starts) + 1, np.int64)
+                    of = np.concatenate([np.arange(edges[c.first + i], edges[c.first + i + 1]) for i in own])
+                    first = np.repeat(cuts[own], edges[c.first + own + 1] - edges[c.first + own]) + a[of]
+                    behind = first + w[of] + window - 1
+                    # Of the spans those whose words are the ones at their source.
+                    same = [here[x:y] == there[u:v] for x, y, u, v in zip(at[first].tolist(), last[behind - 1].tolist(), words_at[of].tolist(), words_at[of + 1].tolist(), strict=True)]
+                    np.add.at(cover, first[same], 1)
+                    np.add.at(cover, behind[same], -1)
+                    gone = np.cumsum(cover)[:-1] > 0
                 total = np.zeros(len(gone) + 1, np.int64)
                 np.cumsum(gone, out=total[1:])
                 kept = cuts - total[cuts]
                 out, at = joined(c, starts[~gone], ends[~gone], kept)
                 # A text's bytes end where the next one's begin.
-                edges = np.append(at, len(out))[kept] if len(at) else np.zeros(c.n + 1, np.int64)
-                texts = pa.Array.from_buffers(pa.large_string(), c.n, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(out)]).cast(pa.string())
+                places = np.append(at, len(out))[kept] if len(at) else np.zeros(c.n + 1, np.int64)
+                texts = pa.Array.from_buffers(pa.large_string(), c.n, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(out)]).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(n), pa.array(total[cuts[1:]] - total[cuts[:-1]]), texts], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run

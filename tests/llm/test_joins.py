@@ -188,8 +188,17 @@ def test_chains_are_compacted_and_verified(spark, monkeypatch):
         with Scratch(spark) as tmp:
             got = {(x["doc"], x["start"]): x["head"] for x in substring_dedup.compacted(edges, tmp).collect()}
         assert got == {(d, s): {1: 0 if s < 5 else 5, 3: 7, 2: 0 if s < 2100 else 2500}[d] for d, s, *_ in rows}
-    spans = [{"a": 0, "w": 1, "words": "a bb"}, {"a": 2, "w": 2, "words": "c d X"}]
-    assert substring_dedup.removed_words(5, b"..a bb c d e f", [2, 4, 7, 9, 11], [3, 6, 8, 10, 12], spans, 2).tolist() == [True, True, False, False, False]
+
+
+def test_spans_are_removed_only_if_their_words_are_those_at_the_source():
+    import pyarrow as pa
+
+    spans = pa.list_(pa.struct([("a", pa.int32()), ("w", pa.int32()), ("words", pa.string())]))
+    rows = [("x  a bb\tc d e f", [{"a": 1, "w": 1, "words": "a bb"}, {"a": 3, "w": 2, "words": "c d X"}]), ("", None), ("q r s", None), ("ä b c", [{"a": 0, "w": 1, "words": "ä b"}, {"a": 1, "w": 1, "words": "b c"}]), (None, None), ("one two", [])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["cut off", *(t for t, _ in rows)]), pa.array([None, *(s for _, s in rows)], spans)], names=["id", "text", "spans"])
+    out = pa.Table.from_batches(substring_dedup._kept(2)([batch, batch.slice(1)])).to_pylist()
+    assert out[7:] == out[1:7] and out[0]["kept"] == "cut off"
+    assert [(r["n_words"], r["n_removed"], r["kept"]) for r in out[1:7]] == [(7, 2, "x c d e f"), (0, 0, ""), (3, 0, "q r s"), (3, 3, ""), (0, 0, ""), (2, 0, "one two")]
 
 
 def test_substrings_by_shuffles_only(spark, monkeypatch):
