@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import lean
+from .kernel import bounded, lean
 from .shared import offered, written
 
 START, STOP = "<s>", "</s>"
@@ -120,7 +120,7 @@ def format_paths(nodes: DataFrame, top: int = 1, *, unique: bool = False) -> Dat
 
     ``unique``: ids are known to be unique, and are not checked.
     """
-    nodes = written(nodes.select("id", "parent", F.col("score").cast("double").alias("score"), "conv", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null"))
+    nodes = written(bounded(nodes).select("id", "parent", F.col("score").cast("double").alias("score"), "conv", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null"))
     if not unique and nodes.count() > nodes.select("id").distinct().count():
         least = nodes.groupBy("id").agg(F.min(F.struct("parent", "role", "text", "score", "conv")).alias("m"))
         nodes = written(least.select("id", "m.*"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, Chunk, chunks, lean, mix, value_hashes
+from .kernel import U, Chunk, bounded, chunks, lean, mix, value_hashes
 from .language import CODES, decode
 from .shared import written
 
@@ -218,7 +218,7 @@ SCHEMA = "doc_id long, item_id long, equal_words long, window_words long, first_
 def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, equal_words, window_words, first_word: the best overlap of every overlapping document and item."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out: DataFrame | None = None
     own, following = None, blocks(benchmark, item_id, item_text)
     for b in following:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import chunks, lean
+from .kernel import bounded, chunks, lean
 from .shared import offered, written
 from .textstats import basic
 
@@ -36,7 +36,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_stats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source") -> DataFrame:
     """doc_id, host and the statistics of every whole text."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(lean(_stats), "doc_id long, host string, " + ", ".join(f"{k} long" for k in STATS))
 
 

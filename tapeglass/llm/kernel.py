@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
 CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 1 << 14
@@ -124,6 +125,17 @@ def windows_inside(cuts: np.ndarray, k: int) -> np.ndarray:
     return ok
 
 
+#: Bytes of rows that Spark hands to a worker at once: texts differ in length by orders of magnitude, their number says little.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on bounds the bytes of Arrow batches, unless it has a bound of its own."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for ``mapInArrow``, after which the worker gives back memory that it does not use.
 

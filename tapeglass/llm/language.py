@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import chunks, lean
+from .kernel import bounded, chunks, lean
 
 UNKNOWN = "und"
 #: The sample of a language: at most this many labelled rows, and characters of their whole texts; a text longer than the
@@ -315,7 +315,7 @@ def predict(docs: DataFrame, model: Samples, text: str = "text", keep: tuple[str
     """The kept columns, lang_pred, score and surprise of every whole text: one pass without a shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = len(keep)
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    rows = bounded(docs).select(*keep, F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value.model()
@@ -360,5 +360,5 @@ def accepted(docs: DataFrame, model: Samples, text: str = "text", max_surprise:
             for c in chunks(batch.column(at), CHUNK):
                 yield batch.slice(c.first, c.n).filter(pa.array(familiar(own, c.buf, c.cuts, max_surprise)))
 
-    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # the call takes no column name with a back-tick
+    plain = bounded(docs).toDF(*(f"c{i}" for i in range(len(docs.columns))))  # the call takes no column name with a back-tick
     return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)

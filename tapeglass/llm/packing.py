@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import chunks, lean
+from .kernel import bounded, chunks, lean
 from .shared import written
 from .tokens import encoder
 
@@ -61,7 +61,7 @@ def _pieces(path: str, sequence: int, end_id: int):
 
 def pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id", sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece of every whole text, and its number within its task (nth)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(lean(_pieces(tokenizer, sequence, end_id)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import lean
+from .kernel import bounded, lean
 
 #: Most bytes that one side of a join may have, by its row count and width, to be broadcast.
 BROADCAST_BYTES = 24 << 20
@@ -163,7 +163,7 @@ def identified(docs: DataFrame, text: str, doc_id: str, *, merged: bool = False)
     The numbers ascend with (id, hash of the text), null ids first.  Rows equal in both have a number each, or, ``merged``,
     that of the first.  The numbered texts are written once; where ids name the rows, nothing is.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     n = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("distinct")).first()
     if n["rows"] == n["distinct"]:
         return rows.select(F.col("id").alias("doc"), "text", "id"), False
