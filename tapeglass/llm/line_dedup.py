@@ -52,22 +52,36 @@ def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.where(body.isNotNull()).select(F.coalesce(own, F.lit(-(1 << 63))).alias("__doc"), F.xxhash64(body).alias("__th"), body.alias("__text"))
 
 
+def _canonical(line: Column) -> Column:
+    """A line's words joined by one space (``line`` without other white space): most lines are that already."""
+    odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(odd, F.array_join(words_of(line), " ")).otherwise(line)
+
+
 def _lines(rows: DataFrame, min_words: int) -> DataFrame:
-    """ORD, words, n and the hash of every line that may be dropped."""
-    lines = rows.select("__doc", "__th", F.posexplode(F.split("__text", "\n")).alias("__line", "__s"))
-    lines = lines.select(*ORD, words_of(F.col("__s")).alias("__w")).where(F.size("__w") >= min_words)
-    return lines.select(*ORD, "__w", F.size("__w").alias("__n"), F.xxhash64(F.col("__w")).alias("__h1"), F.xxhash64(F.lit(7), F.col("__w")).alias("__h2"))
+    """ORD, the joined words, n and the hash of every line that may be dropped.
+
+    Lines are made canonical before they become rows, so that the filter on their words does not repeat that.
+    """
+    text, other = F.col("__text"), "\t\x0b\f\r"
+    has = F.contains(text, F.lit(other[0]))
+    for c in other[1:]:
+        has = has | F.contains(text, F.lit(c))
+    plain = F.when(has, F.translate(text, other, "    ")).otherwise(text)
+    lines = rows.select("__doc", "__th", F.posexplode(F.transform(F.split(plain, "\n"), _canonical)).alias("__line", "__c"))
+    n = F.when(F.col("__c") != "", F.octet_length("__c") - F.octet_length(F.replace("__c", F.lit(" "), F.lit(""))) + 1).otherwise(0)
+    return lines.where(n >= min_words).select(*ORD, "__c", n.alias("__n"), F.xxhash64("__c").alias("__h1"), F.xxhash64(F.lit(7), "__c").alias("__h2"))
 
 
 def _half_keys(near_words: int) -> Column:
     """The keys of a line's halves: as the shorter (or equal) line of a pair, and as the longer one."""
-    w, n = F.col("__w"), F.col("__n")
+    c, n = F.col("__c"), F.col("__n")
     keys = []
     for small in (n, n - 1):
         h = F.floor(small / 2).cast("int")
         ok = small >= near_words
-        keys.append(F.when(ok, F.xxhash64(F.lit(1), small, F.slice(w, F.lit(1), h))))
-        keys.append(F.when(ok, F.xxhash64(F.lit(2), small, F.slice(w, n - (small - h) + 1, small - h))))
+        keys.append(F.when(ok, F.xxhash64(F.lit(1), small, F.call_function("substring_index", c, F.lit(" "), h))))
+        keys.append(F.when(ok, F.xxhash64(F.lit(2), small, F.call_function("substring_index", c, F.lit(" "), h - small))))
     return F.array(*keys)
 
 
