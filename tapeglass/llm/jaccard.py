@@ -18,8 +18,9 @@ Two indexes lead to the pairs that may be linked.
   position in its difference (and by cost); a block whose position leaves too few shingles in common is skipped whole.
 
 A class is compared with one hub first, that with which it shares most lists.  Lists whose classes are then in one
-component, or were all compared around one hub, are settled; classes go to further hubs only for the other lists.  No
-pairs of a group are spelled out; hubs with many sets are dealt over salts and blocks.
+component, or were all compared with the list's own hub, are settled; classes go to further hubs only for the other lists.
+Differences are made only for sets on a list with several sets, one of which is not linked to the hub.  No pairs of a
+group are spelled out; hubs with many sets are dealt over salts and blocks.
 
 Cases: a null or empty text has an empty set and is its own component; a text of fewer words than a shingle has one
 shingle, its whole sequence; where ids are null or repeated, each row is a document of its own (so rows that share an id
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import BYTE2, U, Chunk, chunks, lean, mix, window_hashes, windows_inside
-from .shared import Scratch, components, identified, key_filter, offered, passes, written
+from .shared import Scratch, components, identified, key_filter, marked, offered, passes, written
 from .textstats import tagged
 
 WORDS, NUM, DEN = 3, 90, 100
@@ -237,11 +238,15 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(col, _TYPES[t]) for col, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
 
-DELTA = "hub long, doc long, size long, cost long, gone binary, added binary"
+COST = "hub long, doc long, size long, cost long"
+DELTA = COST + ", gone binary, added binary"
 
 
-def _compare(words: int, num: int, den: int):
-    """Streams sorted (hub, salt, kind, doc): the hub's text comes first, then each member's; one set is held at a time."""
+def _compare(words: int, num: int, den: int, deltas: bool):
+    """Streams sorted (hub, salt, kind, doc): the hub's text comes first, then each member's; one set is held at a time.
+
+    Gives each member's cost, and with ``deltas`` its difference from the hub.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub = None, None
@@ -263,9 +268,10 @@ def _compare(words: int, num: int, den: int):
                     missing[place[both]] = False
                     inter = int(both.sum())
                     cost = den * (len(hub[0]) - inter) + num * (len(both) - inter)
-                    rows.append((h, doc, len(hub[0]), cost, _packed(hub[0][missing], hub[1][missing]), _packed(h1[own][~both], h2[own][~both])))
+                    row = (h, doc, len(hub[0]), cost)
+                    rows.append((*row, _packed(hub[0][missing], hub[1][missing]), _packed(h1[own][~both], h2[own][~both])) if deltas else row)
                 if rows:
-                    yield _batch(rows, DELTA)
+                    yield _batch(rows, DELTA if deltas else COST)
 
     return run
 
@@ -375,28 +381,46 @@ def _around(num: int, den: int):
     return run
 
 
-def links_by_hubs(rows: DataFrame, pairs: DataFrame, words: int, num: int, den: int, tmp: Scratch) -> DataFrame:
-    """(a, b): links of the sets in ``pairs`` (written: doc, hub) with their hubs and with each other around a hub.
+def _compared(rows: DataFrame, pairs: DataFrame, words: int, num: int, den: int, deltas: bool, tmp: Scratch) -> DataFrame:
+    """The sets in ``pairs`` (written: doc, hub) compared with their hubs.
 
-    A text crosses the shuffle once for each of its hubs, a hub's once a salt.  The result is written (not in ``tmp``).
+    A text crosses the shuffle once for each of its hubs, a hub's once a salt.
     """
     counts = tmp.written(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT_SETS).cast("int").alias("salts")))
-    salted = pairs.join(offered(counts, 32), "hub")
     place = lambda hub, salt, kind: F.struct(hub.alias("hub"), salt.cast("int").alias("salt"), F.lit(kind).alias("kind"))
-    member = salted.select("doc", place(F.col("hub"), F.pmod(F.xxhash64("doc"), F.col("salts")), 1).alias("to"))
+    member = pairs.join(offered(counts, 32), "hub").select("doc", place(F.col("hub"), F.pmod(F.xxhash64("doc"), F.col("salts")), 1).alias("to"))
     hubs = counts.select(F.col("hub").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s")).select("doc", place(F.col("doc"), F.col("s"), 0).alias("to"))
     wanted = tmp.written(member.unionAll(hubs).groupBy("doc").agg(F.collect_list("to").alias("to")))
-    bodies = rows.select("doc", "text").join(offered(wanted, F.size("to") * 24 + 64), "doc").select(F.explode("to").alias("to"), "doc", "text").select("to.hub", "to.salt", "to.kind", "doc", "text")
-    around = tmp.written(bodies.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "doc").mapInArrow(lean(_compare(words, num, den)), DELTA))
+    texts = marked(rows.select("doc", "text"), wanted, tmp).where("maybe").join(offered(wanted, F.size("to") * 24 + 64), "doc")
+    bodies = texts.select(F.explode("to").alias("to"), "doc", "text").select("to.hub", "to.salt", "to.kind", "doc", "text")
+    return bodies.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "doc").mapInArrow(lean(_compare(words, num, den, deltas)), DELTA if deltas else COST)
+
+
+def links_by_hubs(rows: DataFrame, lists: DataFrame, named, words: int, num: int, den: int, tmp: Scratch) -> DataFrame:
+    """(a, b): links of the sets on ``lists`` (written: key, print, hub) with their hubs and with each other around a hub.
+
+    ``named`` gives (doc, hub) and the fingerprints of pairs (print, hub).  The result is written (not in ``tmp``).
+    """
+    pairs = tmp.written(named(lists.select("print", "hub").distinct()))
+    costs = tmp.written(_compared(rows, pairs.select("doc", "hub"), words, num, den, False, tmp))
     inner = F.col("cost") <= (den - num) * F.col("size")
-    direct = around.where(inner).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-    # Only hubs with a set that is not linked to them need the second step.
-    open_hubs = tmp.written(around.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum((~inner).cast("long")).alias("out")).where("out > 0 and m > 1").select("hub", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks")))
-    near = around.join(offered(open_hubs, 32), "hub").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    fields = ("doc", "size", "cost", "gone", "added")
-    members = near.select("hub", F.col("own").alias("block"), F.lit(0).alias("kind"), *fields)
-    probes = near.where(~inner & (F.col("blocks") > 1)).select("hub", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))).alias("block"), F.lit(1).alias("kind"), *fields)
-    more = members.unionAll(probes).repartition("hub", "block").sortWithinPartitions("hub", "block", "kind", "doc").mapInArrow(lean(_around(num, den)), "a long, b long")
+    direct = costs.where(inner).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+    # Sets that are not linked to their hub may be linked to others of a list that they share; sets of other lists need no
+    # second look.
+    out = tmp.written(costs.where(~inner).select("doc", "hub").join(offered(pairs, 48), ["doc", "hub"]).select("print", F.col("hub_print").alias("hub")))
+    keys = tmp.written(lists.join(offered(out, 32), ["print", "hub"]).select("key").distinct())
+    some = tmp.written(lists.join(offered(keys, 24), "key", "left_semi"))
+    several = tmp.written(some.groupBy("key").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b").select("key"))
+    again = tmp.written(named(some.join(offered(several, 24), "key", "left_semi").select("print", "hub").distinct()).select("doc", "hub"))
+    if again.isEmpty():
+        return written(direct)
+    blocks = tmp.written(again.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks")))
+    near = _compared(rows, again, words, num, den, True, tmp).join(offered(blocks, 32), "hub").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    # One row a set in its own block, and one in each other block if it is not linked to the hub.
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))
+    to = F.concat(F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("kind"))), F.when(inner, F.array()).otherwise(F.transform(others, lambda b: F.struct(b.alias("block"), F.lit(1).alias("kind")))))
+    dealt = near.select("hub", F.explode(to).alias("to"), "doc", "size", "cost", "gone", "added").select("hub", "to.block", "to.kind", "doc", "size", "cost", "gone", "added")
+    more = dealt.repartition("hub", "block").sortWithinPartitions("hub", "block", "kind", "doc").mapInArrow(lean(_around(num, den)), "a long, b long")
     return written(direct.unionAll(more))
 
 
@@ -414,20 +438,22 @@ def linked_components(rows: DataFrame, classes: DataFrame, words: int, num: int,
         shared = tmp.written(entries.where("print <> hub").groupBy("print", "hub").agg(F.count(F.lit(1)).alias("n")))
         seen = shared.select("print").union(shared.select("hub")).distinct()
         nodes = tmp.written(classes.join(offered(tmp.written(seen), 24), "print", "left_semi").select("print", "doc"))
-        named = lambda pairs: pairs.join(offered(nodes, 32), "print").join(offered(nodes.select(F.col("print").alias("hub"), F.col("doc").alias("h")), 32), "hub").select("doc", F.col("h").alias("hub"))
+        hubs = nodes.select(F.col("print").alias("hub"), F.col("doc").alias("h"))
+        named = lambda pairs: pairs.join(offered(nodes, 32), "print").join(offered(hubs, 32), "hub").select("doc", F.col("h").alias("hub"), "print", F.col("hub").alias("hub_print"))
         main = tmp.written(shared.groupBy("print").agg(F.max_by("hub", F.struct("n", "hub")).alias("main")))
-        first = links_by_hubs(rows, tmp.written(named(main.select("print", F.col("main").alias("hub")))), words, num, den, tmp)
+        lists = entries.join(offered(main.withColumnRenamed("main", "hub"), 32), ["print", "hub"])
+        first = links_by_hubs(rows, tmp.written(lists.select("key", "print", "hub")), named, words, num, den, tmp)
         found = components(first)
-        # Settled lists: one component, or all compared around one hub.
+        # Settled lists: one component, or all compared with the list's own hub.
         state = nodes.join(offered(main, 32), "print", "left").join(found.withColumnRenamed("node", "doc"), "doc", "left")
         state = tmp.written(state.select("print", F.coalesce("main", "print").alias("main"), F.coalesce("component", "doc").alias("label")))
-        other = F.when(F.col("print") != F.col("hub"), F.col("main"))
-        lists = entries.join(offered(state, 40), "print").groupBy("key").agg(F.first("hub").alias("hub"), *(f(c).alias(n) for c, n in (("label", "l"), ("main", "m")) for f, n in ((F.min, n + "0"), (F.max, n + "1"))), F.min(other).alias("o0"), F.max(other).alias("o1"))
-        unsettled = tmp.written(lists.where("l0 <> l1 and m0 <> m1 and not (o0 = o1 and o0 = hub)").select("key"))
+        with_hub = (F.col("print") == F.col("hub")) | (F.col("main") == F.col("hub"))
+        lists = entries.join(offered(state, 40), "print").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(with_hub.cast("int")).alias("all_with_hub"))
+        unsettled = tmp.written(lists.where("low <> high and all_with_hub = 0").select("key"))
         if unsettled.isEmpty():
             return found
-        rest = entries.where("print <> hub").join(offered(unsettled, 24), "key", "left_semi").select("print", "hub").distinct()
-        second = links_by_hubs(rows, tmp.written(named(rest)), words, num, den, tmp)
+        rest = entries.where("print <> hub").join(offered(unsettled, 24), "key", "left_semi").select("key", "print", "hub")
+        second = links_by_hubs(rows, tmp.written(rest), named, words, num, den, tmp)
         label = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}0"))
         known = second.join(offered(label("a"), 32), "a", "left").join(offered(label("b"), 32), "b", "left")
         above = components(known.select(F.coalesce("a0", "a").alias("a"), F.coalesce("b0", "b").alias("b")))
