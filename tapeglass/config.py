@@ -44,6 +44,7 @@ PR_WIRES = 10
 
 @dataclass(frozen=True)
 class Settings:
+    #: Thresholds, weights, windows and dates that results depend on.
     zone_minutes: int = 330
     open_minute: int = 9 * 60 + 15
     close_minute: int = 15 * 60 + 30
