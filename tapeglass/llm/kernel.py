@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 U = np.uint64
-CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 1 << 14
+CHUNK_BYTES, CHUNK_TEXTS = 1 << 19, 1 << 14
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 INVERSE, WORD_INVERSE = pow(BASE, -1, 1 << 64), pow(WORD_BASE, -1, 1 << 64)
