@@ -17,6 +17,9 @@ Two indexes lead to the pairs that may be linked.
   over the prefixes of the differences are read.  A list is kept in blocks by how many shingles follow an entry's
   position in its difference (and by cost); a block whose position leaves too few shingles in common is skipped whole.
 
+Before texts are compared, bitmaps of the sets are: where these differ in more bits than linked sets may in shingles, the
+sets are not linked.
+
 A class is compared with one hub first, that with which it shares most lists.  Lists whose classes are then in one
 component, or were all compared with the list's own hub, are settled; classes go to further hubs only for the other lists.
 Differences are made only for sets on a list with several sets, one of which is not linked to the hub.  No pairs of a
@@ -156,7 +159,87 @@ def _prints(words: int):
         for batch in batches:
             for c in chunks(batch.column(1)):
                 h1, h2, cuts = shingle_sets(c, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(np.diff(cuts)), _long(_sums(mix(h1, 21), cuts)), _long(_sums(mix(h2, 22), cuts))], names=["doc", "n", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(np.diff(cuts)), _long(_sums(mix(h1, 21), cuts)), _long(_sums(mix(h2, 22), cuts)), sketches(h1, cuts)], names=["doc", "n", "f1", "f2", "sketch"])
+
+    return run
+
+
+def sketches(sets: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A bitmap of each set, about a bit a shingle: each shingle flips one bit.
+
+    The bits in which two bitmaps differ are at most the shingles in which their sets do.  Sizes are powers of two, so the
+    larger of two is folded onto the smaller.
+    """
+    n = np.diff(cuts)
+    size = np.where(n > 0, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)), 0)
+    base = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(n)), n)
+    cell = base[owner] + (mix(sets, 41) & (size[owner] - 1).astype(U)).astype(np.int64)
+    flipped = (np.bincount(cell, minlength=int(size.sum())) & 1).astype(np.uint8)
+    edges = np.concatenate([[0], np.cumsum(size // 8)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(np.packbits(flipped, bitorder="little"))])
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, U).reshape(-1, size // 8), axis=0)
+
+
+def may_link(n: int, sketch: bytes, sizes: np.ndarray, others: list[bytes], num: int, den: int) -> np.ndarray:
+    """Which of other sets (sizes and bitmaps) may be linked with a set: no set is told apart that is linked."""
+    ok = np.zeros(len(others), bool)
+    kinds = np.array([len(o) for o in others])
+    for kind in np.unique(kinds).tolist():
+        at = np.flatnonzero(kinds == kind)
+        small = min(kind, len(sketch))
+        rest = np.frombuffer(b"".join([others[i] for i in at]), U).reshape(len(at), -1, small // 8)
+        apart = np.bitwise_count(np.bitwise_xor.reduce(rest, axis=1) ^ folded(sketch, small)).sum(axis=1, dtype=np.int64)
+        ok[at] = (den + num) * apart <= (den - num) * (n + sizes[at])
+    return ok
+
+
+def _likely(num: int, den: int):
+    """Of rows (doc, hub, n, sketch, hub's n, hub's sketch) those that may be linked: (doc, hub)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, sketch, m, other = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [bool(may_link(n[i], sketch[i], np.array([m[i]]), [other[i]], num, den)[0]) for i in range(batch.num_rows)]
+            yield batch.select(["doc", "hub"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _close(num: int, den: int):
+    """Streams sorted (hub, block, kind, doc, open, n, sketch): the sets that may be linked with another one around the hub.
+
+    Two sets that are both linked to the hub need not be.
+    """
+
+    def found(hub: int, members: list[tuple], probes: list[tuple]) -> Iterator[pa.RecordBatch]:
+        docs, sizes, others = [m[0] for m in members], np.array([m[2] for m in members]), [m[3] for m in members]
+        out: set[int] = set()
+        for row in chain((m for m in members if m[1]), probes):
+            near = [docs[i] for i in np.flatnonzero(may_link(row[2], row[3], sizes, others, num, den)) if docs[i] != row[0]] if docs else []
+            if near:
+                out.update(near)
+                out.add(row[0])
+        if out:
+            yield _batch([(hub, d) for d in sorted(out)], "hub long, doc long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members, probes = None, [], []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if row[:2] != at:
+                    if at is not None:
+                        yield from found(at[0], members, probes)
+                    at, members, probes = row[:2], [], []
+                (probes if row[2] else members).append(row[3:])
+                if len(probes) >= BLOCK_SETS:
+                    yield from found(at[0], members, probes)
+                    probes = []
+        if at is not None:
+            yield from found(at[0], members, probes)
 
     return run
 
@@ -396,36 +479,54 @@ def _compared(rows: DataFrame, pairs: DataFrame, words: int, num: int, den: int,
     return bodies.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind", "doc").mapInArrow(lean(_compare(words, num, den, deltas)), DELTA if deltas else COST)
 
 
-def links_by_hubs(rows: DataFrame, lists: DataFrame, named, words: int, num: int, den: int, tmp: Scratch) -> DataFrame:
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows (hub, doc, open) dealt over blocks of their hub: one row in a set's own block (kind 0) and, of an open set, one in each other (kind 1)."""
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))
+    place = F.struct(F.col("own").alias("block"), F.lit(0).alias("kind"))
+    to = F.concat(F.array(place), F.when(~F.col("open"), F.array().cast("array<struct<block:int,kind:int>>")).otherwise(F.transform(others, lambda b: F.struct(b.alias("block"), F.lit(1).alias("kind")))))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = rows.select("hub", F.explode(to).alias("to"), "doc", *columns).select("hub", "to.block", "to.kind", "doc", *columns)
+    return rows.repartition("hub", "block").sortWithinPartitions("hub", "block", "kind", "doc")
+
+
+def _with_blocks(pairs: DataFrame, tmp: Scratch) -> DataFrame:
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
+    return offered(tmp.written(blocks), 32)
+
+
+def links_by_hubs(rows: DataFrame, lists: DataFrame, named, marks: DataFrame, words: int, num: int, den: int, tmp: Scratch) -> DataFrame:
     """(a, b): links of the sets on ``lists`` (written: key, print, hub) with their hubs and with each other around a hub.
 
-    ``named`` gives (doc, hub) and the fingerprints of pairs (print, hub).  The result is written (not in ``tmp``).
+    ``named`` gives (doc, hub) and the fingerprints of pairs (print, hub); ``marks`` (written) has doc, n, sketch.  Texts
+    are compared only where bitmaps leave a link possible.  The result is written (not in ``tmp``).
     """
+    marks, pair = offered(marks, F.octet_length("sketch") + 48), ["doc", "hub"]
     pairs = tmp.written(named(lists.select("print", "hub").distinct()))
-    costs = tmp.written(_compared(rows, pairs.select("doc", "hub"), words, num, den, False, tmp))
-    inner = F.col("cost") <= (den - num) * F.col("size")
-    direct = costs.where(inner).select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+    hubs = marks.select(F.col("doc").alias("hub"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    likely = tmp.written(pairs.select(*pair).join(marks, "doc").join(hubs, "hub").select("doc", "hub", "n", "sketch", "m", "other").mapInArrow(lean(_likely(num, den)), "doc long, hub long"))
+    costs = tmp.written(_compared(rows, likely, words, num, den, False, tmp))
+    linked = tmp.written(costs.where(F.col("cost") <= (den - num) * F.col("size")).select(*pair))
+    direct = linked.select(F.col("doc").alias("a"), F.col("hub").alias("b"))
     # Sets that are not linked to their hub may be linked to others of a list that they share; sets of other lists need no
     # second look.
-    out = tmp.written(costs.where(~inner).select("doc", "hub").join(offered(pairs, 48), ["doc", "hub"]).select("print", F.col("hub_print").alias("hub")))
+    out = tmp.written(pairs.join(offered(linked, 32), pair, "left_anti").select("print", F.col("hub_print").alias("hub")))
     keys = tmp.written(lists.join(offered(out, 32), ["print", "hub"]).select("key").distinct())
     some = tmp.written(lists.join(offered(keys, 24), "key", "left_semi"))
     several = tmp.written(some.groupBy("key").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b").select("key"))
-    again = tmp.written(named(some.join(offered(several, 24), "key", "left_semi").select("print", "hub").distinct()).select("doc", "hub"))
-    if again.isEmpty():
+    again = tmp.written(named(some.join(offered(several, 24), "key", "left_semi").select("print", "hub").distinct()).select(*pair))
+    again = again.join(offered(linked.withColumn("to_hub", F.lit(True)), 32), pair, "left").select(*pair, F.col("to_hub").isNull().alias("open"))
+    near = _dealt(again.join(marks, "doc").join(_with_blocks(again, tmp), "hub"), "open", "n", "sketch").mapInArrow(lean(_close(num, den)), "hub long, doc long")
+    near = tmp.written(near.distinct().select(*pair))
+    if near.isEmpty():
         return written(direct)
-    blocks = tmp.written(again.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks")))
-    near = _compared(rows, again, words, num, den, True, tmp).join(offered(blocks, 32), "hub").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    # One row a set in its own block, and one in each other block if it is not linked to the hub.
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))
-    to = F.concat(F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("kind"))), F.when(inner, F.array()).otherwise(F.transform(others, lambda b: F.struct(b.alias("block"), F.lit(1).alias("kind")))))
-    dealt = near.select("hub", F.explode(to).alias("to"), "doc", "size", "cost", "gone", "added").select("hub", "to.block", "to.kind", "doc", "size", "cost", "gone", "added")
-    more = dealt.repartition("hub", "block").sortWithinPartitions("hub", "block", "kind", "doc").mapInArrow(lean(_around(num, den)), "a long, b long")
+    deltas = _compared(rows, near, words, num, den, True, tmp).withColumn("open", F.col("cost") > (den - num) * F.col("size"))
+    more = _dealt(deltas.join(_with_blocks(near, tmp), "hub"), "size", "cost", "gone", "added").mapInArrow(lean(_around(num, den)), "a long, b long")
     return written(direct.unionAll(more))
 
 
-def linked_components(rows: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(node, component) of the linked classes.  ``rows``: doc, text; ``classes`` (written): print, doc (one row a class)."""
+def linked_components(rows: DataFrame, classes: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(node, component) of the linked classes.  ``rows``: doc, text; ``classes`` (written): print, doc (one row a class);
+    ``sets`` (written): doc, n, sketch."""
     spark = rows.sparkSession
     with Scratch(spark) as tmp:
         texts = rows.select("text")
@@ -440,9 +541,10 @@ def linked_components(rows: DataFrame, classes: DataFrame, words: int, num: int,
         nodes = tmp.written(classes.join(offered(tmp.written(seen), 24), "print", "left_semi").select("print", "doc"))
         hubs = nodes.select(F.col("print").alias("hub"), F.col("doc").alias("h"))
         named = lambda pairs: pairs.join(offered(nodes, 32), "print").join(offered(hubs, 32), "hub").select("doc", F.col("h").alias("hub"), "print", F.col("hub").alias("hub_print"))
+        marks = tmp.written(sets.join(offered(nodes.select("doc"), 24), "doc", "left_semi").select("doc", "n", "sketch"))
         main = tmp.written(shared.groupBy("print").agg(F.max_by("hub", F.struct("n", "hub")).alias("main")))
         lists = entries.join(offered(main.withColumnRenamed("main", "hub"), 32), ["print", "hub"])
-        first = links_by_hubs(rows, tmp.written(lists.select("key", "print", "hub")), named, words, num, den, tmp)
+        first = links_by_hubs(rows, tmp.written(lists.select("key", "print", "hub")), named, marks, words, num, den, tmp)
         found = components(first)
         # Settled lists: one component, or all compared with the list's own hub.
         state = nodes.join(offered(main, 32), "print", "left").join(found.withColumnRenamed("node", "doc"), "doc", "left")
@@ -453,7 +555,7 @@ def linked_components(rows: DataFrame, classes: DataFrame, words: int, num: int,
         if unsettled.isEmpty():
             return found
         rest = entries.where("print <> hub").join(offered(unsettled, 24), "key", "left_semi").select("key", "print", "hub")
-        second = links_by_hubs(rows, tmp.written(rest), named, words, num, den, tmp)
+        second = links_by_hubs(rows, tmp.written(rest), named, marks, words, num, den, tmp)
         label = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}0"))
         known = second.join(offered(label("a"), 32), "a", "left").join(offered(label("b"), 32), "b", "left")
         above = components(known.select(F.coalesce("a0", "a").alias("a"), F.coalesce("b0", "b").alias("b")))
@@ -469,10 +571,10 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words:
     Two documents link when den * (size of the intersection) >= num * (size of the union) and neither set is empty.
     """
     rows, numbered = identified(docs, text, doc_id)
-    sets = written(rows.select("doc", "text").mapInArrow(lean(_prints(words)), "doc long, n long, f1 long, f2 long"))
+    sets = written(rows.select("doc", "text").mapInArrow(lean(_prints(words)), "doc long, n long, f1 long, f2 long, sketch binary"))
     classes = written(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("copies")))
-    same = linked_components(rows, classes.select(F.col("f1").alias("print"), F.col("node").alias("doc")), words, num, den)
-    node = sets.join(offered(classes.where("copies > 1").select("n", "f1", "f2", "node"), 56), ["n", "f1", "f2"], "left").withColumn("node", F.coalesce("node", "doc"))
+    same = linked_components(rows, classes.select(F.col("f1").alias("print"), F.col("node").alias("doc")), sets, words, num, den)
+    node = sets.drop("sketch").join(offered(classes.where("copies > 1").select("n", "f1", "f2", "node"), 56), ["n", "f1", "f2"], "left").withColumn("node", F.coalesce("node", "doc"))
     out = node.join(offered(same, 32), "node", "left").select("doc", "n", F.coalesce("component", "node").alias("component"))
     if not numbered:
         return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

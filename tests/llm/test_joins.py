@@ -108,6 +108,28 @@ def test_blocks_of_lists_are_skipped():
     assert skipped > 100 and read > 100
 
 
+def test_bitmaps_tell_no_linked_sets_apart():
+    r = random.Random(12)
+    np = jaccard.np
+    told = 0
+    for num, den in ((90, 100), (80, 100)):
+        sets = []
+        for n in (1, 3, 20, 63, 64, 65, 300, 700):
+            base = r.sample(range(1 << 62), n)
+            for _ in range(12):
+                gone = r.randint(0, n // 4)
+                sets.append(sorted(base[gone:] + r.sample(range(1 << 62), r.randint(0, n // 4))))
+        cuts = np.cumsum([0, *map(len, sets)])
+        marks = jaccard.sketches(np.array([x for s in sets for x in s], np.uint64), cuts).to_pylist()
+        sizes = np.array([len(s) for s in sets])
+        for i, a in enumerate(sets):
+            ok = jaccard.may_link(len(a), marks[i], sizes, marks, num, den)
+            linked = np.array([den * len({*a} & {*b}) >= num * len({*a} | {*b}) for b in sets])
+            assert (ok | ~linked).all()
+            told += int((~ok).sum())
+    assert told > 10_000
+
+
 def test_jaccard_by_shuffles_only(spark, monkeypatch):
     """Nothing is broadcast and no filter helps: the same rows."""
     from tapeglass.llm import shared
