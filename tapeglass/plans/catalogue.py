@@ -593,7 +593,7 @@ def _articles_with_features(spark, d):
 
 def _labelled(spark, d):
     """Labelled articles with is_train.  None is of the reference's training years, so this is the fall-back split."""
-    return ml.with_split(_articles_with_features(spark, d).where("label is not null"), "article_id", "effective_date")
+    return files.materialized(ml.with_split(files.materialized(_articles_with_features(spark, d).where("label is not null")), "article_id", "effective_date"))
 
 
 @query
